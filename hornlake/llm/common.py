@@ -74,3 +74,46 @@ _LOWER = {i: i + 32 for i in range(ord("A"), ord("Z") + 1)}
 def lower_ascii(text: str) -> str:
     """Lower-case A-Z only."""
     return text.lower() if text.isascii() else text.translate(_LOWER)
+
+
+class WordHash(dict):
+    """Word -> 64-bit hash, remembered up to a bound."""
+
+    BOUND = 1_000_000
+
+    def __missing__(self, word: str) -> int:
+        import xxhash
+
+        if len(self) >= self.BOUND:
+            self.clear()
+        found = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return found
+
+    def array(self, words: list[str]):
+        import numpy as np
+
+        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+
+
+def mix64(x):
+    """The splitmix64 finaliser over a uint64 array."""
+    import numpy as np
+
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def run_hashes(words, n: int):
+    """Hashes of all runs of ``n`` consecutive words, from their uint64 hashes."""
+    import numpy as np
+
+    count = len(words) - n + 1
+    if count <= 0:
+        return np.empty(0, dtype=np.uint64)
+    total = np.zeros(count, dtype=np.uint64)
+    odd = 0x9E3779B97F4A7C15
+    for k in range(n):
+        total += words[k : k + count] * np.uint64(odd)
+        odd = odd * 0xD1342543DE82EF95 % 2**64
+    return mix64(total)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import langid, packing, tokencount
+from . import langid, neardup, packing, tokencount
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def learned_languages(docs: DataFrame) -> dict[str, bytes]:
     """Dictionaries from the rows outside the held-out fold (crc32 of the id, mod 5, is 0)."""
     return langid.learn(docs.filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).select("text", "lang"))
@@ -31,6 +35,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op5_token_counts": op5_token_counts,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op9_language_id": op9_language_id,
 }
 
