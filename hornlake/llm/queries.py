@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import fingerprint, langid, neardup, packing, substring, tokencount
+from . import fingerprint, langid, neardup, packing, substring, tokencount, urlgraph
 from .common import table
 
 
@@ -29,6 +29,10 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlgraph.judge(table(spark, sf_dir, "pages"))
+
+
 def learned_languages(docs: DataFrame) -> dict[str, bytes]:
     """Dictionaries from the rows outside the held-out fold (crc32 of the id, mod 5, is 0)."""
     return langid.learn(docs.filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).select("text", "lang"))
@@ -47,6 +51,7 @@ QUERIES = {
     "op5_token_counts": op5_token_counts,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op8_url_filters": op8_url_filters,
     "op9_language_id": op9_language_id,
 }
 
