@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import fingerprint, langid, neardup, packing, substring, tokencount, urlgraph
+from . import fingerprint, langid, neardup, packing, pii, substring, tokencount, urlgraph
 from .common import table
 
 
+def op1_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.sanitize(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pii_sanitisation": op1_pii_sanitisation,
     "op2_fingerprints": op2_fingerprints,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_token_counts": op5_token_counts,
