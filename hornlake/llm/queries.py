@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import fingerprint, langid, neardup, packing, pii, substring, tokencount, urlgraph
+from . import decontam, fingerprint, langid, neardup, packing, pii, substring, tokencount, toxicity, urlgraph
 from .common import table
 
 
@@ -16,6 +16,18 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def _remainder(of: int):
+    """crc32 of the id as text, by remainder."""
+    return F.crc32(F.col("doc_id").cast("string")) % of
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").filter(_remainder(4) != 2))
+    held_out = F.coalesce(_remainder(4) == 2, F.lit(False))
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring.keep_unique(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -39,25 +51,31 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def learned_languages(docs: DataFrame) -> dict[str, bytes]:
     """Dictionaries from the rows outside the held-out fold (crc32 of the id, mod 5, is 0)."""
-    return langid.learn(docs.filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).select("text", "lang"))
+    return langid.learn(docs.filter(_remainder(5) != 0).select("text", "lang"))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.classify(docs.select("doc_id", "text"), learned_languages(docs))
-    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    held_out = F.coalesce(_remainder(5) == 0, F.lit(False))
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_pii_sanitisation": op1_pii_sanitisation,
     "op2_fingerprints": op2_fingerprints,
+    "op3_toxicity": op3_toxicity,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_token_counts": op5_token_counts,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_url_filters": op8_url_filters,
     "op9_language_id": op9_language_id,
+    "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {}
