@@ -1,31 +1,56 @@
-"""A corpus pipeline of five operators; each stage reads what the one before wrote."""
+"""A corpus pipeline of five operators; each stage reads what the one before wrote.
+
+Language ID drops documents it can't tell, near-duplicates keep the smallest
+doc_id of each group, decontamination drops documents that hold a benchmark
+item, sanitisation rewrites texts, packing ends with one row per piece. All but
+the last return the columns of ``documents``. Rows without a doc_id pass the
+near-duplicate stage; rows that share one count as one document there.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from hornlake.llm import langid, packing
+from hornlake.llm import decontam, langid, neardup, packing, pii
 from hornlake.llm.common import materialize, table
 from hornlake.llm.queries import learned_languages
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told; rejected ones go."""
     found = langid.classify(docs, learned_languages(docs))
     return found.filter("not rejected").select(*docs.columns)
 
 
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    kept = neardup.near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
+    one = Window.partitionBy("doc_id").orderBy("text")
+    rows = docs.join(kept, "doc_id", "left_semi").withColumn("__row", F.row_number().over(one)).filter("__row = 1")
+    return rows.select(*docs.columns).union(docs.filter("doc_id is null"))
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = decontam.contaminate(docs, table(spark, sf_dir, "benchmark"))
+    return found.filter(F.size("matches") == 0).select(*docs.columns)
+
+
+def sanitisation_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    clean = pii.sanitize(docs).withColumn("text", F.col("clean_text"))
+    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The last stage: one row per packed piece."""
     return packing.pack(docs)
 
 
 STAGES = [
     ("language_id", language_stage),
+    ("minhash_near_dedup", near_duplicate_stage),
+    ("benchmark_decontamination", decontamination_stage),
+    ("pii_sanitisation", sanitisation_stage),
     ("best_fit_packing", packing_stage),
 ]
 
-#: Compression, tokenizers and learned tables have no SQL form.
+#: Compression, tokenizers and packing have no SQL form; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
