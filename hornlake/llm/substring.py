@@ -2,21 +2,23 @@
 
 A window is ``WINDOW`` consecutive words of one document. Its minimiser is the
 smallest hash of the ``MINI`` consecutive words inside it. Consecutive windows
-with one minimiser travel as one packed string (a super-k-mer) to the
-minimiser's bucket; there the windows of the distinct strings are sorted, so
-that equal ones stand together and the smallest doc_id of each is exact.
+with one minimiser form a super-k-mer. First its place alone is noted (narrow
+rows); where a minimiser occurs in several documents, the super-k-mer travels
+as one packed string to the minimiser's bucket. There the windows of the
+distinct strings are sorted, so that equal ones stand together and the smallest
+doc_id of each is exact.
 
 A document other than the smallest one that holds a packed string loses it as
 a whole, so a bucket only reports, per string, that smallest id and which of
-its windows an even smaller document holds. What stays per occurrence is narrow
-(string id, document, place) and meets the reports in a join Spark can split.
+its windows an even smaller document holds. Reports meet the places in a join
+Spark can split. A string's id is its minimiser with a hash of its words.
 
 Hot groups: a task sends a string again only for a smaller document or, once,
 as a mark that it repeats, so copies don't pile up in a bucket. Minimisers under
 which more than ``hot_strings`` different strings lie (such as those of a passage
-that many documents share) are counted first; their windows travel one by one
-and are dealt by the window itself. At most ``HOT_KEYS`` minimisers can be hot
-(the limit rises with the table), which bounds what the tasks are told.
+that many documents share) are told to the tasks, at most ``HOT_KEYS`` of them (the
+limit rises with the table); their windows travel one by one and are dealt by
+the window itself.
 
 Cases: null and empty texts and those shorter than a window lose nothing; rows
 of one doc_id never remove from each other; rows with a null doc_id neither
@@ -29,7 +31,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .common import WordHash, map_arrow, materialize, mix64, run_hashes, words_of
@@ -40,7 +41,9 @@ HOT_STRINGS = 20_000
 HOT_KEYS = 100_000
 #: Strings a task remembers having sent.
 MEMO = 200_000
-_NAMES = ["mini", "sid1", "sid2", "doc_id", "text_id", "start", "windows"]
+_STEP = 0xD6E8FEB86659FD93
+_BACK = pow(_STEP, -1, 2**64)
+_PLACES = "mini long, sid long, doc_id long, text_id long, start int, windows int"
 
 
 def minimisers(words: np.ndarray, window: int = WINDOW, mini: int = MINI) -> np.ndarray:
@@ -54,71 +57,94 @@ def minimisers(words: np.ndarray, window: int = WINDOW, mini: int = MINI) -> np.
     return np.minimum(low[: len(low) - rest], low[rest:]) if rest else low
 
 
-def super_kmers(words: np.ndarray, hot: np.ndarray, window: int = WINDOW, mini: int = MINI) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(minimiser, first window, windows) of each run; windows of hot minimisers stand alone, under their own hash."""
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, dtype=np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def super_kmers(words: np.ndarray, window: int = WINDOW, mini: int = MINI) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(minimiser, string id, first window, windows) of each run of windows with one minimiser."""
     low = minimisers(words, window, mini)
-    cut = np.empty(len(low), dtype=bool)
-    cut[0] = True
-    np.not_equal(low[1:], low[:-1], out=cut[1:])
-    if len(hot):
-        alone = np.isin(low, hot)
-        if alone.any():
-            cut |= alone
-            cut[1:] |= alone[:-1]
-            low = np.where(alone, run_hashes(words, window) | np.uint64(1), low)
-    first = np.nonzero(cut)[0]
-    return low[first], first, np.diff(np.append(first, len(low)))
-
-
-def _occurrences(docs: DataFrame, hot: np.ndarray, packed: bool, window: int) -> DataFrame:
-    """Rows per super-k-mer. With ``packed``, strings ride along, and what a task has sent already stays away."""
-    schema = "mini long, sid1 long, sid2 long, doc_id long, text_id long, start int, windows int" + (", packed string" if packed else "")
+    first = np.nonzero(np.concatenate(([True], low[1:] != low[:-1])))[0]
+    count = np.diff(np.append(first, len(low)))
+    n = len(words)
+    sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(words * _powers(_STEP, n), dtype=np.uint64)))
+    sid = mix64((sums[first + count + window - 1] - sums[first]) * _powers(_BACK, n)[first] + count.astype(np.uint64))
+    return low[first], sid, first, count
+
+
+def _batch(columns: list, schema: str) -> pa.RecordBatch:
+    names = [c.split()[0] for c in schema.split(", ")]
+    return pa.RecordBatch.from_arrays(columns, names)
+
+
+def places_of(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Where the super-k-mers of ``docs`` (doc_id, text_id, text) lie."""
+
+    def make():
+        hashes = WordHash()
+
+        def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            found = []
+            for doc, text_id, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                words = words_of(text)
+                if doc is not None and len(words) >= window:
+                    low, sid, first, count = super_kmers(hashes.array(words), window)
+                    found.append((low.view(np.int64), sid.view(np.int64), np.full(len(low), doc), np.full(len(low), text_id), first.astype(np.int32), count.astype(np.int32)))
+            if found:
+                yield _batch([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], _PLACES)
+
+        return step
+
+    return map_arrow(docs, make, _PLACES)
+
+
+def _strings(docs: DataFrame, hot: frozenset[int], window: int, packed: bool) -> DataFrame:
+    """Packed strings of the super-k-mers wanted; for ``hot`` minimisers each window by itself.
+
+    docs: doc_id, text_id, text, wanted (mini, sid, start, windows). What a task has
+    sent already stays away. Without ``packed``: the places of the hot windows.
+    """
+    schema = "mini long, sid long, doc_id long, packed string" if packed else _PLACES
 
     def make():
         hashes = WordHash()
-        sent: dict[bytes, list] = {}
+        sent: dict[tuple[int, int], list] = {}
 
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            ids, text_ids, texts = (batch.column(k).to_pylist() for k in range(3))
-            rows, strings = [], []
-
-            def flush():
-                table = np.array(rows, dtype=np.int64).reshape(-1, 7)
-                columns = [pa.array(table[:, k]) for k in range(5)] + [pa.array(table[:, k].astype(np.int32)) for k in (5, 6)]
-                out = pa.RecordBatch.from_arrays(columns + ([pa.array(strings, pa.string())] if packed else []), _NAMES + ["packed"] * packed)
-                rows.clear()
-                strings.clear()
-                return out
-
-            for doc, text_id, text in zip(ids, text_ids, texts, strict=True):
+            rows: list[tuple] = []
+            for doc, text_id, text, wanted in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 words = words_of(text)
-                if doc is None or len(words) < window:
-                    continue
-                hashed = hashes.array(words)
-                minis, first, counts = super_kmers(hashed, hot, window)
-                for m, at, n in zip(minis.view(np.int64).tolist(), first.tolist(), counts.tolist(), strict=True):
-                    sid = xxhash.xxh3_128_digest(hashed[at : at + n + window - 1].tobytes())
+                alone = None
+                runs = []
+                for w in wanted:
+                    if w["mini"] not in hot:
+                        runs.append((w["mini"], w["sid"], w["start"], w["windows"]))
+                        continue
+                    if alone is None:
+                        alone = (run_hashes(hashes.array(words), window) | np.uint64(1)).view(np.int64)
+                    for at in range(w["start"], w["start"] + w["windows"]):
+                        one = int(alone[at])
+                        runs.append((one, 0, at, 1))
+                        if not packed:
+                            rows.append((one, 0, doc, text_id, at, 1))
+                for mini, sid, at, n in runs if packed else ():
+                    known = sent.get((mini, sid))
                     string = None
-                    if packed:
-                        known = sent.get(sid)
-                        if known is None:
-                            if len(sent) >= MEMO:
-                                sent.clear()
-                            sent[sid] = [doc, False]
-                            string = " ".join(words[at : at + n + window - 1])
-                        elif doc < known[0]:
-                            sent[sid] = [doc, False]
-                            string = " ".join(words[at : at + n + window - 1])
-                        elif doc == known[0] or known[1]:
-                            continue
-                        else:
-                            known[1] = True
-                    rows.append((m, int.from_bytes(sid[:8], "little", signed=True), int.from_bytes(sid[8:], "little", signed=True), doc, text_id, at, n))
-                    strings.append(string)
-                if len(rows) >= 8192:
-                    yield flush()
+                    if known is None or doc < known[0]:
+                        if known is None and len(sent) >= MEMO:
+                            sent.clear()
+                        sent[mini, sid] = [doc, False]
+                        string = " ".join(words[at : at + n + window - 1])
+                    elif doc == known[0] or known[1]:
+                        continue
+                    else:
+                        known[1] = True
+                    rows.append((mini, sid, doc, string))
             if rows:
-                yield flush()
+                kinds = [pa.int64()] * 3 + ([pa.string()] if packed else [pa.int64(), pa.int32(), pa.int32()])
+                yield _batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], schema)
 
         return step
 
@@ -126,15 +152,14 @@ def _occurrences(docs: DataFrame, hot: np.ndarray, packed: bool, window: int) ->
 
 
 def _count_bucket(rows: list[tuple], window: int) -> Iterator[tuple]:
-    """Reports of one bucket: (sid1, sid2, smallest doc, held by several, window ranges [from, to) that smaller documents hold).
+    """Reports of one bucket: (sid, smallest doc, window ranges [from, to) that smaller documents hold).
 
-    rows: (sid1, sid2, doc, packed or None).
+    rows: (sid, doc, packed or None). Strings that nobody else holds any part of aren't reported.
     """
-    low: dict[tuple, int] = {}
-    several: set[tuple] = set()
-    text: dict[tuple, str] = {}
-    for s1, s2, doc, packed in rows:
-        sid = (s1, s2)
+    low: dict[int, int] = {}
+    several: set[int] = set()
+    text: dict[int, str] = {}
+    for sid, doc, packed in rows:
         if sid in low and low[sid] != doc:
             several.add(sid)
             low[sid] = min(low[sid], doc)
@@ -142,7 +167,7 @@ def _count_bucket(rows: list[tuple], window: int) -> Iterator[tuple]:
             low.setdefault(sid, doc)
         if packed is not None:
             text[sid] = packed
-    ranges: dict[tuple, list] = {}
+    ranges: dict[int, list] = {}
     if len(set(low.values())) > 1:
         windows = []
         for sid, packed in text.items():
@@ -168,50 +193,68 @@ def _count_bucket(rows: list[tuple], window: int) -> Iterator[tuple]:
                     joined[-1][1] = k + 1
                 else:
                     joined.append([k, k + 1])
-            yield (*sid, own, joined)
+            yield sid, own, joined
 
 
 def _buckets(strings: DataFrame, window: int) -> DataFrame:
     """Reports of all buckets: strings are dealt by minimiser and come sorted by it."""
+    schema = "mini long, sid long, low long, ranges array<array<int>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, mini, out = [], None, []
 
-        def batch_of(found):
-            return pa.RecordBatch.from_arrays([*(pa.array([f[k] for f in found], pa.int64()) for k in range(3)), pa.array([f[3] for f in found], pa.list_(pa.list_(pa.int32())))], ["sid1", "sid2", "low", "ranges"])
+        def close():
+            if len(bucket) > 1:
+                out.extend((mini, *found) for found in _count_bucket(bucket, window))
+
+        def flush():
+            kinds = [pa.int64()] * 3 + [pa.list_(pa.list_(pa.int32()))]
+            return _batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], schema)
 
         for batch in batches:
-            for m, *row in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            for m, *row in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 if m != mini:
-                    if len(bucket) > 1:
-                        out += _count_bucket(bucket, window)
+                    close()
                     bucket, mini = [], m
                 bucket.append(row)
             if len(out) > 4096:
-                yield batch_of(out)
+                yield flush()
                 out = []
-        if len(bucket) > 1:
-            out += _count_bucket(bucket, window)
+        close()
         if out:
-            yield batch_of(out)
+            yield flush()
+
+    return strings.repartition("mini").sortWithinPartitions("mini").mapInArrow(run, schema)
+
 
-    dealt = strings.select("mini", "sid1", "sid2", "doc_id", "packed").repartition("mini").sortWithinPartitions("mini")
-    return dealt.mapInArrow(run, "sid1 long, sid2 long, low long, ranges array<array<int>>")
+def _hot(repeated: DataFrame, places: DataFrame, hot_strings: int) -> frozenset[int]:
+    """Minimisers with more different strings than the limit; at most HOT_KEYS."""
+    total = repeated.agg(F.sum("n")).first()[0] or 0
+    limit = max(hot_strings, total // HOT_KEYS)
+    crowded = repeated.filter(F.col("n") > limit).select("mini")  # fewer than HOT_KEYS: each has more than a HOT_KEYS-th of all rows
+    if crowded.isEmpty():
+        return frozenset()
+    kinds = places.join(F.broadcast(crowded), "mini").groupBy("mini", "sid").agg(F.lit(1)).groupBy("mini").agg(F.count("*").alias("n"))
+    return frozenset(r["mini"] for r in kinds.filter(F.col("n") > limit).collect())
 
 
 def removed_ranges(docs: DataFrame, window: int = WINDOW, hot_strings: int = HOT_STRINGS) -> DataFrame:
-    """(doc_id, text_id, ranges): word ranges [from, to) to remove, of every document that loses words.
+    """(doc_id, text_id, ranges): word ranges [a, b) to remove, of every document that loses words.
 
     docs: doc_id, text_id, text.
     """
-    plain = _occurrences(docs, np.empty(0, dtype=np.uint64), False, window)
-    kinds = plain.groupBy("mini", "sid1", "sid2").agg(F.lit(1).alias("one")).groupBy("mini").agg(F.count("*").alias("n"))
-    kinds = materialize(kinds.filter(F.col("n") > hot_strings), "hot")
-    limit = max(hot_strings, (kinds.agg(F.sum("n")).first()[0] or 0) // HOT_KEYS)
-    hot = np.array([r["mini"] for r in kinds.filter(F.col("n") > limit).select("mini").collect()], dtype=np.int64).view(np.uint64)
-    reports = _buckets(_occurrences(docs, hot, True, window), window)
-    places = _occurrences(docs, hot, False, window).drop("mini")
-    met = places.join(reports, ["sid1", "sid2"])
+    places = materialize(places_of(docs, window), "places")
+    seen = places.groupBy("mini").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n"))
+    repeated = materialize(seen.filter("lo <> hi").select("mini", "n"), "repeated")
+    hot = _hot(repeated, places, hot_strings)
+    wanted = materialize(places.join(repeated.select("mini"), "mini"), "wanted")
+    by_doc = wanted.groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("mini", "sid", "start", "windows")).alias("wanted"))
+    held = docs.join(by_doc, ["doc_id", "text_id"]).select("doc_id", "text_id", "text", "wanted")
+    reports = _buckets(_strings(held, hot, window, True), window)
+    if hot:
+        known = docs.sparkSession.createDataFrame([(m,) for m in sorted(hot)], "mini long")  # at most HOT_KEYS
+        wanted = wanted.join(F.broadcast(known), "mini", "left_anti").union(_strings(held, hot, window, False))
+    met = wanted.join(reports, ["mini", "sid"])
     own = F.transform("ranges", lambda r: F.struct((F.col("start") + r[0]).alias("a"), (F.col("start") + r[1] + (window - 1)).alias("b")))
     whole = F.array(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("windows") + (window - 1)).alias("b")))
     spans = met.select("doc_id", "text_id", F.explode(F.when(F.col("doc_id") > F.col("low"), whole).otherwise(own)).alias("span"))
