@@ -3,7 +3,8 @@
 Rules with one body atom (taxonomies, inverses, domains, ranges) are closed on the
 driver beforehand and applied by a single join, so that hierarchies need no
 rounds. Rules with several atoms run semi-naively over filtered views of the
-facts. Equality merges terms by their smallest representative and restarts with
+facts; each round is written to the shared folder, so plans stay small and a lost
+executor repeats one round at most. Equality merges terms by their smallest representative and restarts with
 everything as delta. Bounds make the closure incomplete, never silently short.
 """
 
@@ -14,7 +15,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import builtin
-from ..model import EQ, NEQ, TOP, Atom, Const, Rule, Var, Witness
+from ..model import EQ, NEQ, TOP, Atom, Const, Rule, Var, Witness, variables
 from ..ontology.compiler import Ontology
 from ..sources.rdf import XSD
 from ..storage import materialize
@@ -147,12 +148,12 @@ class Reckoner:
 
     @staticmethod
     def _ordered(rule: Rule) -> list[Atom]:
-        """EQ and NEQ after the atoms that bind them; others so that each joins what came before, if it can."""
+        """EQ, NEQ and atoms over witnesses after what binds them; others so that each joins what came before, if it can."""
         todo, done, bound = list(rule.body), [], set()
-        late = (EQ, NEQ)
+        names = lambda a: variables(*a.args)
+        late = lambda a: a.predicate in (EQ, NEQ) or any(isinstance(t, Witness) for t in a.args)
         while todo:
-            names = lambda a: {t.name for t in a.args if isinstance(t, Var)}
-            pick = next((a for a in todo if a.predicate in late and names(a) <= bound), None) or next((a for a in todo if a.predicate not in late and (not bound or names(a) & bound or not names(a))), None) or next((a for a in todo if a.predicate not in late), todo[0])
+            pick = next((a for a in todo if late(a) and names(a) <= bound), None) or next((a for a in todo if not late(a) and (not bound or names(a) & bound or not names(a))), None) or next((a for a in todo if not late(a)), todo[0])
             todo.remove(pick)
             done.append(pick)
             bound |= names(pick)
@@ -195,7 +196,7 @@ class Reckoner:
             extra = [(TOP, t, None) for t in sorted({SEED, *self.constants})]
             base = base.union(self.spark.createDataFrame(extra, SCHEMA))
         flip = base.filter(F.col("p") == NEQ).select("p", F.col("o").alias("s"), F.col("s").alias("o"))
-        total = delta = self.expand(base.union(flip)).distinct().persist()
+        total = delta = materialize(self.expand(base.union(flip)).distinct(), "facts")
         eq_edges = literal_edges(delta)
         while True:
             live = {r["p"] for r in delta.select("p").distinct().collect()}
@@ -222,7 +223,7 @@ class Reckoner:
             made = made.filter(~((F.col("p") == EQ) & F.col("s").eqNullSafe(F.col("o"))))
             same = [F.col("n.p") == F.col("t.p"), F.col("n.s") == F.col("t.s"), F.col("n.o").eqNullSafe(F.col("t.o"))]
             fresh = self.expand(made).distinct().alias("n").join(total.alias("t"), same, "left_anti")
-            delta = materialize(fresh, "round") if out.rounds % CUT == 0 else fresh.persist()
+            delta = materialize(fresh, "round")
             if delta.isEmpty():
                 break
             if any(isinstance(t, Witness) for r in self.rules for t in r.head.args) and self._depth(delta) > depth:

@@ -38,7 +38,7 @@ def components(edges: DataFrame) -> DataFrame:
         now = materialize(small.select(high("u", "v").alias("u"), low("u", "v").alias("v")).distinct(), "equal")
         new = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
         if new == state:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("rep"))
+            return now.select(F.col("u").alias("node"), F.col("v").alias("rep"))  # as written
         state = new
 
 

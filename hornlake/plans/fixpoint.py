@@ -1,10 +1,10 @@
 """Semi-naive least fixpoints for the recursive rules.
 
 Each round joins, per rule and recursive body position, the last delta with the
-full relations, and keeps what is new by an anti join. Rounds stay in executor
-memory; every ``CUT`` rounds the relations are written to the shared folder,
-which cuts the lineage and lets work survive lost executors. A plain transitive
-rule doubles path lengths instead of adding one edge a round.
+full relations, and keeps what is new by an anti join. A round's delta is written
+to the shared folder: plans stay small, and a lost executor repeats one round at
+most. Every ``CUT`` rounds the parts of a relation become one table. A plain
+transitive rule doubles path lengths instead of adding one edge a round.
 """
 
 from __future__ import annotations
@@ -87,9 +87,8 @@ def fixpoint(
         new = united([*start, *given, *([own] if own is not None and seeds is None else [])])
         if seeds is not None and own is not None:
             new = new.join(own, new.columns, "left_anti") if given else own.limit(0)
-        delta[p] = new.persist()
+        delta[p] = materialize(new, "delta")
         total[p] = united([own, delta[p]]) if seeds is not None and own is not None else delta[p]
-    kept: list[DataFrame] = []
     live = {p: d for p, d in delta.items() if not d.isEmpty()}
     while live:
         status.rounds += 1
@@ -118,8 +117,7 @@ def fixpoint(
             new = united(frames)
             if p in total:
                 new = new.join(total[p], new.columns, "left_anti")
-            new = materialize(new, "delta") if status.rounds % CUT == 0 else new.persist()
-            kept.append(new)
+            new = materialize(new, "delta")
             if not new.isEmpty():
                 live[p] = new
         for p, new in live.items():

@@ -190,6 +190,8 @@ class Reasoner:
         p, q = term(sup), term(sub)
         return p == q or (iri(q), iri(p), 0, 1) in self._schema() or self._pair_probe([(self._A, q, self._B)], self._A, p, self._B)
 
+    property_subsumes = subproperty
+
     def equivalent_properties(self, a: str, b: str) -> bool:
         return self.subproperty(a, b) and self.subproperty(b, a)
 
