@@ -247,3 +247,260 @@ rules("exists_lhs", "building orders", "answer(?o) :- orders(?o, ?c), building(?
 rules("forall_rhs", "building orders", "answer(?o) :- building(?c), orders(?o, ?c).", "select distinct o_orderkey o from customer join orders on o_custkey = c_custkey where c_mktsegment = 'BUILDING'")
 rules("has_value", "priority", 'answer(?o) :- priority(?o, "1-URGENT").', "select distinct o_orderkey o from orders where o_orderpriority = '1-URGENT'")
 rules("disjoint_violations", "priority status", 'a(?o) :- priority(?o, "1-URGENT"). b(?o) :- status(?o, "O"). answer(?o) :- a(?o), b(?o).', "select distinct o_orderkey o from orders where o_orderpriority = '1-URGENT' and o_orderstatus = 'O'")
+
+
+# operators over frames
+
+
+def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "orders").selectExpr("o_orderkey", "o_custkey", "cast(o_orderdate as date) s", "date_add(cast(o_orderdate as date), 30) e")
+
+
+_DAY = 86_400_000_000
+
+
+@frame(
+    "stabbing_join",
+    """with p as (select distinct l_shipdate::date as d from lineitem where l_linenumber = 1 and l_orderkey < 100)
+    select distinct o_orderkey, strftime(d, '%Y-%m-%d') as probe from orders join p on o_orderdate::date <= d and d < (o_orderdate::date + 30)::date""",
+)
+def stabbing_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .operators.joins import stabbing_join as join
+
+    probes = _read(spark, sf_dir, "lineitem").filter("l_linenumber = 1 and l_orderkey < 100").selectExpr("cast(l_shipdate as date) at").distinct()
+    found = join(_orders(spark, sf_dir), probes, "s", "e", "at", 30 * _DAY)
+    return found.selectExpr("o_orderkey", "cast(at as string) probe").distinct()
+
+
+@frame(
+    "overlap_join",
+    """select a.o_orderkey x, b.o_orderkey y from orders a join orders b on a.o_custkey = b.o_custkey and a.o_orderkey < b.o_orderkey
+    and a.o_orderdate::date < b.o_orderdate::date + 30 and b.o_orderdate::date < a.o_orderdate::date + 30""",
+)
+def overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .operators.joins import overlap_join as join
+
+    a, b = (_orders(spark, sf_dir).toDF(f"{k}", "o_custkey", f"{k}s", f"{k}e") for k in "xy")
+    return join(a, b, ["o_custkey"], ("xs", "xe"), ("ys", "ye"), 30 * _DAY).filter("x < y").select("x", "y")
+
+
+rules(
+    "bitemporal_lookup", "dated shipped",
+    """valid(?o, ?i) :- dated(?o, ?c, ?a), bind time:add(?a, "P365D"^^xsd:dayTimeDuration) as ?e, bind time:interval(?a, ?e) as ?i.
+    recorded(?o, ?i) :- shipped(?o, 1, ?a), bind time:add(?a, "P90D"^^xsd:dayTimeDuration) as ?e, bind time:interval(?a, ?e) as ?i.
+    answer(?o) :- valid(?o, ?v), recorded(?o, ?r), filter time:contains(?v, "1997-06-15"^^xsd:date), filter time:contains(?r, "1998-01-01"^^xsd:date).""",
+    """select distinct o_orderkey o from orders join lineitem on l_orderkey = o_orderkey and l_linenumber = 1
+    where o_orderdate::date <= '1997-06-15' and o_orderdate::date + 365 > '1997-06-15' and l_shipdate::date <= '1998-01-01' and l_shipdate::date + 90 > '1998-01-01'""",
+)
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "events").selectExpr("event_id", "user_id key", "unix_micros(cast(ts as timestamp)) event_time", "event_type", "value")
+
+
+_END = 1_705_622_400_000_000  # 2024-01-19 00:00 UTC
+_WEEK = 7 * _DAY
+_EVENTS_SQL = "e as (select event_id, user_id k, epoch_us(ts) t, event_type from events)"
+
+
+@frame("window_rows", f"with {_EVENTS_SQL} select event_id from e where t >= {_END - _WEEK} and t < {_END}")
+def window_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .streaming.windows import window_rows as rows
+
+    return rows(_events(spark, sf_dir), _END, _WEEK).select("event_id")
+
+
+@frame("window_history", f"with {_EVENTS_SQL} select event_id from e where t >= {_END - _WEEK} and t < {_END} union all select event_id from (select *, row_number() over (partition by k order by t desc, event_id desc) n from e where t < {_END - _WEEK}) where n = 1")
+def window_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .streaming.windows import history
+
+    return history(_events(spark, sf_dir), _END, _WEEK).select("event_id")
+
+
+@frame("window_predecessor", f"with {_EVENTS_SQL} select event_id, lag(event_id) over (partition by k order by t, event_id) previous from e")
+def window_predecessor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .operators.joins import predecessor
+
+    return predecessor(_events(spark, sf_dir), "key", "event_time", "event_id").select("event_id", "previous")
+
+
+@frame("window_entries", f"with {_EVENTS_SQL}, l as (select *, lag(event_type = 'purchase') over (partition by k order by t, event_id) w from e where t < {_END}) select event_id from l where event_type = 'purchase' and not w and t >= {_END - _WEEK}")
+def window_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .streaming.windows import entries
+
+    return entries(_events(spark, sf_dir), _END, _WEEK, F.col("event_type") == "purchase").select("event_id")
+
+
+@frame("window_late", f"with {_EVENTS_SQL} select event_id from e where t < {_END - _DAY}")
+def window_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .streaming.windows import late
+
+    return late(_events(spark, sf_dir), _END, _DAY).select("event_id")
+
+
+@frame("window_expired", f"with {_EVENTS_SQL}, r as (select *, row_number() over (partition by k order by t desc, event_id desc) n from e where t < {_END - _WEEK}) select event_id from r where n > 1 and t < {_END - _WEEK}")
+def window_expired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .streaming.windows import expired
+
+    return expired(_events(spark, sf_dir), _END, _WEEK, _END, _DAY).select("event_id")
+
+
+@frame("window_changes", f"with {_EVENTS_SQL} select 'add' op, event_id from e where t >= {_END} and t < {_END + _DAY} union all select 'remove', event_id from e where t >= {_END - _WEEK} and t < {_END - _WEEK + _DAY}")
+def window_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .streaming.windows import changes, window_rows as rows
+
+    events = _events(spark, sf_dir).select("event_id", "event_time")
+    return changes(rows(events, _END, _WEEK), rows(events, _END + _DAY, _WEEK)).select("op", "event_id")
+
+
+@frame("latest_revision", "select k, event_id from (select user_id k, event_id, row_number() over (partition by user_id order by event_id desc) n from events) where n = 1")
+def latest_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .streaming.windows import latest
+
+    return latest(_read(spark, sf_dir, "events").selectExpr("user_id k", "event_id", "event_id revision"), "k", "revision").select("k", "event_id")
+
+
+@frame("tumbling_min", "select epoch_us(date_trunc('hour', ts)) as hour_start, min(event_id) as first_id from events group by 1")
+def tumbling_min(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hour = F.floor(F.col("event_time") / 3_600_000_000) * 3_600_000_000
+    return _events(spark, sf_dir).groupBy(hour.cast("long").alias("hour_start")).agg(F.min("event_id").alias("first_id"))
+
+
+def _changed(which: str) -> Query:
+    """Additions or retractions of an answer when its input changes."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from .plans.runtime import QueryRuntime
+
+        runtime = QueryRuntime(spark, PREFIXES + "answer(?c) :- orders(?o, ?c).")
+        orders = _read(spark, sf_dir, "orders")
+        for condition in ("o_orderdate < timestamp_ntz'1996-01-01'", "o_orderdate >= timestamp_ntz'1995-06-01' and o_orderdate < timestamp_ntz'1996-06-01'"):
+            result = runtime.evaluate({"urn:dlp:query:orders": orders.filter(condition).select("o_orderkey", "o_custkey")})
+        return getattr(result, which)["urn:dlp:query:answer"].toDF("c")
+
+    return query
+
+
+_OLD, _NEW = "select o_custkey c from orders where o_orderdate < '1996-01-01'", "select o_custkey c from orders where o_orderdate >= '1995-06-01' and o_orderdate < '1996-06-01'"
+frame("delta_additions", f"{_NEW} except {_OLD}")(_changed("additions"))
+frame("delta_retractions", f"{_OLD} except {_NEW}")(_changed("retractions"))
+
+
+def _points(spark: SparkSession, sf_dir: str, table: str, key: str) -> DataFrame:
+    """Invented places from keys, near the antimeridian among others."""
+    i = F.col(key)
+    return _read(spark, sf_dir, table).select(i, (F.pmod(i * 7919, F.lit(3600)) / 10 - 180).alias("lon"), (F.pmod(i * 104729, F.lit(1600)) / 10 - 80).alias("lat"))
+
+
+@frame("ecef_candidates")
+def ecef_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .operators.joins import candidates
+
+    a, b = _points(spark, sf_dir, "customer", "c_custkey"), _points(spark, sf_dir, "supplier", "s_suppkey").toDF("s_suppkey", "lon2", "lat2")
+    return candidates(a, b, 200_000.0, ("lon", "lat"), ("lon2", "lat2")).select("c_custkey", "s_suppkey")
+
+
+@frame("dwithin_join")
+def dwithin_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .operators.joins import radius_join
+
+    a, b = _points(spark, sf_dir, "customer", "c_custkey"), _points(spark, sf_dir, "supplier", "s_suppkey").toDF("s_suppkey", "lon2", "lat2")
+    return radius_join(a, b, 200_000.0, ("lon", "lat"), ("lon2", "lat2")).select("c_custkey", "s_suppkey", F.round("metres", 3).alias("metres"))
+
+
+rules("wgs84_point", "size", "answer(?p, ?d) :- size(?p, ?z), bind geo:wgs84Point(?z, 0) as ?a, bind geo:wgs84Point(?z, 0) as ?b, bind geo:wgs84Distance(?a, ?b) as ?d, filter geo:dwithin(?a, ?b, 0).", "select distinct p_partkey p, 0::double d from part")
+
+_ROADS = "road as (select distinct n_nationkey a, (n_nationkey * 3 + 1) % 25 b, 10 + n_regionkey m from nation union select distinct n_nationkey, (n_nationkey + 2) % 25, 30 from nation)"
+
+
+def _roads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _read(spark, sf_dir, "nation")
+    return n.selectExpr("n_nationkey src", "(n_nationkey * 3 + 1) % 25 dst", "double(10 + n_regionkey) metres").union(n.selectExpr("n_nationkey", "(n_nationkey + 2) % 25", "30D"))
+
+
+@frame("shortest_distance", f"with recursive {_ROADS}, t as (select n_nationkey s, n_nationkey n, 0 d from nation where n_nationkey < 3 union select s, b, d + m from t join road on n = a where d < 400) select s source, n node, min(d)::double metres from t group by s, n")
+def shortest_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .operators.graphs import shortest_distances
+
+    return shortest_distances(_roads(spark, sf_dir), _read(spark, sf_dir, "nation").filter("n_nationkey < 3").select(F.col("n_nationkey").alias("id")))
+
+
+@frame("route_status", f"with recursive {_ROADS}, t as (select n_nationkey s, n_nationkey n, 0 d from nation where n_nationkey < 3 union select s, b, d + m from t join road on n = a where d < 400), q as (select a.n_nationkey s, b.n_nationkey + 20 d from nation a, nation b where a.n_nationkey < 3 and b.n_nationkey < 10) select q.s src, q.d dst, case when q.d >= 25 then 'out_of_region' when min(t.d) is null then 'no_route' else 'ok' end status, case when q.d < 25 then min(t.d)::double end metres from q left join t on t.s = q.s and t.n = q.d group by q.s, q.d")
+def route_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .operators.graphs import route_status as status
+
+    n = _read(spark, sf_dir, "nation").select("n_nationkey")
+    queries = n.filter("n_nationkey < 3").selectExpr("n_nationkey src").crossJoin(n.filter("n_nationkey < 10").selectExpr("n_nationkey + 20 dst"))
+    return status(_roads(spark, sf_dir), n.selectExpr("n_nationkey id"), queries)
+
+
+@frame("affected_closure", "with recursive d as (select distinct o_custkey * 10 id, o_orderkey * 10 + 1 needs from orders union select distinct l_orderkey * 10 + 1, l_suppkey * 10 + 2 from lineitem), t as (select 12::bigint id union select d.id from t join d on d.needs = t.id) select id from t")
+def affected_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .operators.graphs import affected
+
+    needs = _read(spark, sf_dir, "orders").selectExpr("o_custkey * 10 id", "o_orderkey * 10 + 1 needs").union(_read(spark, sf_dir, "lineitem").selectExpr("l_orderkey * 10 + 1", "l_suppkey * 10 + 2"))
+    return affected(needs.distinct(), spark.range(12, 13))
+
+
+def _ontology(spark: SparkSession, facts: DataFrame, text: str):
+    """The closure of rules of an ontology text over a table of facts (p, s, o)."""
+    from .ontology.compiler import compile_graph
+    from .ontology.syntax import parse_ontology
+    from .plans.closure import Reckoner
+
+    compiled = compile_graph(parse_ontology(f"Namespace(ex = <urn:x:>) Ontology({text})"))
+    return Reckoner(spark, compiled, facts=50_000_000).closure(facts)
+
+
+@frame("class_taxonomy", "select distinct p_partkey part, unnest(['Item', 'Part', case when p_size > 25 then 'Large' else 'Small' end]) class from part")
+def class_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = _read(spark, sf_dir, "part").selectExpr("case when p_size > 25 then 'urn:x:Large' else 'urn:x:Small' end p", "concat('<urn:part:', p_partkey, '>') s", "cast(null as string) o")
+    found = _ontology(spark, facts, "SubClassOf(ex:Large ex:Part) SubClassOf(ex:Small ex:Part) SubClassOf(ex:Part ex:Item)").facts
+    return found.selectExpr("cast(regexp_extract(s, '(\\\\d+)', 1) as bigint) part", "substring(p, 7) class").distinct()
+
+
+@frame(
+    "functional_equality",
+    """with recursive p as (select distinct doc_id, sha256(left(text, 200)) k from documents), m as (select k, min(doc_id) r from p group by k)
+    select p.doc_id, m.r representative from p join m using (k)""",
+)
+def functional_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that share a beginning are one: an inverse functional key merges them; the smallest id stands for them."""
+    name = "concat('<urn:doc:', lpad(doc_id, 12, '0'), '>')"
+    facts = _read(spark, sf_dir, "documents").selectExpr("'urn:x:key' p", f"{name} s", "concat('<urn:key:', sha2(left(text, 200), 256), '>') o")
+    found = _ontology(spark, facts, "ObjectProperty(ex:key InverseFunctional)")
+    number = lambda c: F.regexp_extract(c, r"<urn:doc:(\d+)>", 1).cast("long")
+    merged = found.aliases.select(number("node").alias("doc_id"), number("rep").alias("representative"))
+    alone = found.facts.filter("p = 'urn:x:key'").select(number("s").alias("doc_id"), number("s").alias("representative"))
+    return merged.union(alone).distinct()
+
+
+_ABOUT = "with a as (select doc_id, source from documents), c as (select source, min(quality) lo, max(quality) hi from a left join labels using (doc_id) group by source)"
+
+
+@frame("date_selection", f"{_ABOUT} select source, case when lo is null then 'missing' when lo <> hi then 'conflicting' else 'accepted' end state from c")
+def date_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources whose labelled documents agree in quality."""
+    from .views import select_one
+
+    about = _read(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("id"))
+    rows = about.join(_read(spark, sf_dir, "labels"), "doc_id")
+    accepted, diagnostics = select_one(rows, about, F.col("quality"), F.lit(True), ("missing", "invalid", "conflicting"))
+    return accepted.select(F.col("id").alias("source"), F.lit("accepted").alias("state")).union(diagnostics.select("id", "code"))
+
+
+@frame("osm_change_apply", "select o_orderkey id, case when o_orderkey % 10 = 1 then 2 else 1 end::bigint version from orders where o_orderkey % 10 <> 3 union all select o_orderkey + 10000000, 1 from orders where o_orderkey % 10 = 5")
+def osm_change_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versioned elements after creates, modifications and deletions."""
+    from .sources.osm import apply_changes
+
+    ids = _read(spark, sf_dir, "orders").select("o_orderkey").distinct()
+    make = lambda df, v, *first: df.selectExpr(*first, "'node' type", "o_orderkey id", f"bigint({v}) version", "1D lat", "2D lon", "cast(array() as array<bigint>) nodes", "cast(array() as array<struct<type: string, ref: bigint, role: string>>) members", "map('k', 'v') tags", "'' timestamp", "'' changeset")
+    state = make(ids, 1)
+    changes = make(ids.filter("o_orderkey % 10 = 1"), 2, "'modify' action").union(make(ids.filter("o_orderkey % 10 = 3"), 2, "'delete' action")).union(make(ids.filter("o_orderkey % 10 = 5").selectExpr("o_orderkey + 10000000 o_orderkey"), 1, "'create' action"))
+    new, _ = apply_changes(state, changes)
+    return new.select("id", "version")
