@@ -4,10 +4,11 @@ A text's canonical form is its Unicode compatibility composition, case-folded,
 composed again, with white space runs as one space and trimmed. Its
 fingerprint is a wide xxhash: ``LANES`` 64-bit lanes with different seeds.
 Equal fingerprints make a bucket; inside buckets the canonical bytes are
-compared: a bucket's smallest and largest text are aggregated (partially, so
-that copies meet as one row a task), and where these differ, texts other than
-the smallest get their SHA-256 appended. So equal canonical texts, and no
-others, have equal fingerprints.
+compared: grouping by hash and text (partially first, so that copies leave a
+task as one row) tells how many texts a bucket has. Where there are several, all
+but the text with the smallest digest (half a SHA-256) get theirs appended. So equal
+canonical texts, and no others, have equal fingerprints. Edited texts, which
+exist for comparison only, are told apart inside buckets by their digests.
 
 An exact digest has no degrees: the likeness of two fingerprints is 1 or 0.
 
@@ -20,6 +21,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .common import materialize
+
 LANES = 2
 #: Documents of a bucket of consecutive ids, and the most buckets there can be.
 ROWS = 4096
@@ -36,29 +39,40 @@ def canonical(text: Column) -> Column:
 
 
 def wide_hash(canon: Column, lanes: int = LANES) -> Column:
-    """``lanes`` xxhash64 lanes as hex; lane k hashes k before the text, which seeds it."""
-    return F.concat(*(F.lpad(F.lower(F.hex(F.xxhash64(F.lit(k), canon))), 16, "0") for k in range(lanes)))
+    """``lanes`` xxhash64 lanes, eight bytes each; lane k hashes k before the text, which seeds it."""
+    return F.unhex(F.concat(*(F.lpad(F.hex(F.xxhash64(F.lit(k), canon)), 16, "0") for k in range(lanes))))
+
+
+def digest(text: Column) -> Column:
+    """The first half of the SHA-256: 16 bytes."""
+    return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
 
 
 def settle(hashed: DataFrame) -> DataFrame:
-    """Buckets with several canonical texts: (hash, low), low the text that keeps the plain hash.
+    """Buckets with several canonical texts: (hash, low), low the digest of the text that keeps the plain hash.
 
-    hashed: hash, canon.
+    hashed: hash, canon. Texts are compared byte by byte as grouping keys.
     """
-    ends = hashed.groupBy("hash").agg(F.min("canon").alias("low"), F.max("canon").alias("high"))
-    return ends.filter("low <> high").select("hash", "low")
+    kinds = hashed.select("hash", "canon").distinct().groupBy("hash").agg(F.count("*").alias("kinds"), F.min(digest(F.col("canon"))).alias("low"))
+    return kinds.filter("kinds > 1").select("hash", "low")
 
 
-def fingerprints(docs: DataFrame, lanes: int = LANES) -> DataFrame:
-    """All columns of ``docs`` but ``fingerprint``, and ``fingerprint``."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    hashed = docs.drop("fingerprint").withColumn("__canon", canonical(text)).withColumn("__hash", wide_hash(F.col("__canon"), lanes))
-    clashes = settle(hashed.select(F.col("__hash").alias("hash"), F.col("__canon").alias("canon"))).select(F.col("hash").alias("__hash"), F.col("low").alias("__low"))
-    return hashed.join(clashes, "__hash", "left").withColumn("fingerprint", _resolved("__hash", "__canon", "__low")).drop("__hash", "__canon", "__low")
+def _resolved(hash_: str, sha: str, low: str) -> Column:
+    plain = F.lower(F.hex(hash_))
+    return F.when(F.col(low).isNull() | (F.col(sha) == F.col(low)), plain).otherwise(F.concat(plain, F.lit("+"), F.lower(F.hex(sha))))
 
 
-def _resolved(hash_: str, canon: str, low: str) -> Column:
-    return F.when(F.col(low).isNull() | (F.col(canon) == F.col(low)), F.col(hash_)).otherwise(F.concat(F.col(hash_), F.lit("+"), F.sha2(canon, 256)))
+def fingerprints(docs: DataFrame, lanes: int = LANES) -> DataFrame:
+    """All columns of ``docs`` but ``fingerprint``, and ``fingerprint``."""
+    docs = docs.drop("fingerprint")
+    canon = canonical(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    clashes = materialize(settle(docs.select(canon.alias("canon")).select(wide_hash(F.col("canon"), lanes).alias("hash"), "canon")), "clashes")
+    hashed = docs.withColumn("__canon", canon).withColumn("__hash", wide_hash(F.col("__canon"), lanes))
+    if clashes.isEmpty():
+        return hashed.withColumn("fingerprint", F.lower(F.hex("__hash"))).drop("__canon", "__hash")
+    known = clashes.select(F.col("hash").alias("__hash"), F.col("low").alias("__low"))
+    hashed = hashed.withColumn("__sha", digest(F.col("__canon"))).drop("__canon").join(known, "__hash", "left")
+    return hashed.withColumn("fingerprint", _resolved("__hash", "__sha", "__low")).drop("__hash", "__sha", "__low")
 
 
 def _with_next(docs: DataFrame) -> DataFrame:
@@ -97,14 +111,13 @@ def edited_fingerprints(docs: DataFrame, lanes: int = LANES) -> DataFrame:
     rows = _with_next(docs).withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next_text", F.lit(1), half)))
-    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), canonical(F.col("text")).alias("canon"), canonical(F.col("edited")).alias("e_canon"), canonical(F.col("next_text")).alias("n_canon"))
-    texts = rows.select(F.explode(F.array("canon", "e_canon")).alias("canon")).withColumn("hash", wide_hash(F.col("canon"), lanes))
-    clashes = settle(texts).select("hash", F.sha2("low", 256).alias("low"))
-    # what meets the clashes is narrow: texts are compared with a bucket's smallest by their SHA-256
-    like = lambda a, b: (F.col(a) == F.col(b)).cast("double")
-    narrow = rows.select("doc_id", "n_chars", "edited_sha256", wide_hash(F.col("canon"), lanes).alias("hash"), F.sha2("canon", 256).alias("sha"), wide_hash(F.col("e_canon"), lanes).alias("e_hash"), F.sha2("e_canon", 256).alias("e_sha"), like("canon", "e_canon").alias("near_edited"), like("canon", "n_canon").alias("near_next"))
+    rows = rows.select("doc_id", "n_chars", F.unhex(F.sha2("edited", 256)).alias("edited_sha"), canonical(F.col("text")).alias("canon"), canonical(F.col("edited")).alias("e_canon"), canonical(F.col("next_text")).alias("n_canon"))
+    like = lambda a, b: F.col(a) == F.col(b)
+    narrow = rows.select("doc_id", "n_chars", "edited_sha", wide_hash(F.col("canon"), lanes).alias("hash"), digest(F.col("canon")).alias("sha"), wide_hash(F.col("e_canon"), lanes).alias("e_hash"), digest(F.col("e_canon")).alias("e_sha"), like("canon", "e_canon").alias("near_edited"), like("canon", "n_canon").alias("near_next"))
+    texts = docs.select(canonical(F.col("text")).alias("canon")).select(wide_hash(F.col("canon"), lanes).alias("hash"), "canon")
+    every = narrow.select(F.explode(F.array(F.struct("hash", "sha"), F.struct(F.col("e_hash").alias("hash"), F.col("e_sha").alias("sha")))).alias("x")).groupBy("x.hash").agg(F.min("x.sha").alias("low"), F.max("x.sha").alias("high"))
+    clashes = settle(texts).union(every.filter("low <> high").select("hash", "low")).groupBy("hash").agg(F.min("low").alias("low"))
     for p in ("", "e_"):
-        narrow = narrow.join(clashes.select(F.col("hash").alias(f"{p}hash"), F.col("low").alias(f"{p}low")), f"{p}hash", "left")
-        settled = F.col(f"{p}low").isNull() | (F.col(f"{p}sha") == F.col(f"{p}low"))
-        narrow = narrow.withColumn(f"{p}print", F.when(settled, F.col(f"{p}hash")).otherwise(F.concat_ws("+", f"{p}hash", f"{p}sha")))
-    return narrow.select("doc_id", "n_chars", "edited_sha256", F.col("print").alias("fingerprint"), F.col("e_print").alias("edited_fingerprint"), "near_edited", "near_next")
+        narrow = narrow.join(clashes.select(F.col("hash").alias(f"{p}hash"), F.col("low").alias(f"{p}low")), f"{p}hash", "left").withColumn(f"{p}print", _resolved(f"{p}hash", f"{p}sha", f"{p}low"))
+    sha = F.lower(F.hex("edited_sha")).alias("edited_sha256")
+    return narrow.select("doc_id", "n_chars", sha, F.col("print").alias("fingerprint"), F.col("e_print").alias("edited_fingerprint"), F.col("near_edited").cast("double").alias("near_edited"), F.col("near_next").cast("double").alias("near_next"))
