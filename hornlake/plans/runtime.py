@@ -150,4 +150,6 @@ def run(spark: SparkSession, text: str, relations: Mapping[str, DataFrame], answ
     name = answer if answer in found else f"urn:dlp:query:{answer}"
     head = next(r.head for r in runtime.program.rules if r.head.predicate == name)
     names = [t.name if isinstance(t, Var) else f"c{k}" for k, t in enumerate(head.args)]
+    if not names:
+        return found[name]
     return found[name].toDF(*(n if names.index(n) == k else f"{n}_{k}" for k, n in enumerate(names)))

@@ -130,7 +130,7 @@ class Reasoner:
         self._guard()
         x = term(individual)
         at = self._known(x)
-        rows = at.closure.facts.filter((F.col("s") == at._rep(x)) & F.col("o").isNull() & (F.col("p").like("urn:dlp:internal:top") | ~F.col("p").like("urn:%:%"))).select("p").collect()
+        rows = at.closure.facts.filter((F.col("s") == at._rep(x)) & F.col("o").isNull() & ((F.col("p") == TOP) | ~(F.col("p").startswith("urn:hornlake:") | F.col("p").startswith("urn:dlp:internal:")))).select("p").collect()
         return {THING if r["p"] == TOP else f"<{r['p']}>" for r in rows}
 
     def property_values(self, subject: str, prop: str, witnesses: bool = False) -> set[str]:
