@@ -2,49 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-WORD = r"[^\x20\x09-\x0D]+"
-_ASCII_SPACE = " \t\n\x0b\x0c\r"
+from ..storage import materialize, shared_dir
+
+__all__ = ["WordHash", "lower_ascii", "map_arrow", "materialize", "mix64", "run_hashes", "shared_dir", "table", "words_of"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``).
-
-    Only where the session names none, as in tests, a folder of our own is set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='hornlake-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, which cuts its lineage.
-
-    The files go when the driver's JVM ends, so that lazy results may use them.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/hornlake/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]], schema: str) -> DataFrame:
     """``mapInArrow`` with state per task: ``make()`` runs once per task and gives the batch function."""
 

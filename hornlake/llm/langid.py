@@ -1,13 +1,14 @@
 """Language identification by compression (operator 9).
 
 One zstandard raw-content dictionary per language is cut from a bounded sample
-of labelled rows: per language the ``SAMPLE_DOCS`` texts with the smallest
+of labelled rows: per language (``LANGS`` at most) the ``SAMPLE_DOCS`` texts with the smallest
 hashes, each giving at most ``SAMPLE_CHARS`` characters, up to ``DICT_BYTES``
 bytes. Texts are first folded: lower case, runs of other than letters become
 one space, and a word counts once in each run of ``RUN`` words. A text is
 encoded, in pieces of ``CHUNK`` bytes so that its own content doesn't drown the
-dictionary, with every dictionary; the smallest total wins. A text is rejected
-when the second total lies within ``MARGIN`` of the first.
+dictionary, with every dictionary; the smallest total wins. Where totals are
+equal, those of the encoder's ``FINER`` levels are added. A text is rejected when
+the second total lies within ``MARGIN`` of the first.
 
 Cases: a null text or one without a letter is ``und`` with score 0 and counts
 as rejected; ties go to the language first in order; with no labelled row all
@@ -25,11 +26,13 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from .common import map_arrow
 
 SAMPLE_DOCS = 400
+LANGS = 256
 SAMPLE_CHARS = 1_500
 DICT_BYTES = 112 * 1024
 CHUNK = 2048
 RUN = 200
 LEVEL = 9
+FINER = (1, 3, 5, 6, 7, 8, 13, 16)
 MARGIN = 0.001
 _LETTER = re.compile(r"[^\W\d_]")
 _OTHER = re.compile(r"[\W\d_]+")
@@ -42,11 +45,22 @@ def fold(text: str) -> str:
 
 
 def learn(labelled: DataFrame) -> dict[str, bytes]:
-    """Dictionaries from ``text``, ``lang`` of the rows given; at most DICT_BYTES a language."""
+    """Dictionaries from ``doc_id``, ``text``, ``lang`` of the rows given; at most DICT_BYTES a language.
+
+    Rows are ranked by a hash of id and text. Only about eight times as many as
+    are wanted pass a threshold on it, set from the language's count, so that
+    ranking one language never gathers more. The LANGS most frequent languages are learned.
+    """
+    rows = labelled.filter("lang is not null and text is not null and lang <> 'und'")
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()
+    if not counts:
+        return {}
+    shares = labelled.sparkSession.createDataFrame([(r["lang"], min(1.0, 8 * SAMPLE_DOCS / r["count"]) * 2**32) for r in counts], "lang string, most double")
     order = Window.partitionBy("lang").orderBy("h", "text")
     rows = (
-        labelled.filter("lang is not null and text is not null and lang <> 'und'")
-        .select("lang", F.expr(f"substring(text, 1, {SAMPLE_CHARS})").alias("text"), F.xxhash64("text").alias("h"))
+        rows.select("lang", F.expr(f"substring(text, 1, {SAMPLE_CHARS})").alias("text"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(2**32)).alias("h"))
+        .join(F.broadcast(shares), "lang")  # at most LANGS rows
+        .filter("h < most")
         .withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= SAMPLE_DOCS)
         .collect()
@@ -64,27 +78,36 @@ def learn(labelled: DataFrame) -> dict[str, bytes]:
 class Classifier:
     def __init__(self, dictionaries: dict[str, bytes], level: int = LEVEL, chunk: int = CHUNK):
         self.langs = sorted(dictionaries)
-        self.chunk = chunk
-        self.coders = []
-        for lang in self.langs:
-            raw = zstandard.ZstdCompressionDict(dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            raw.precompute_compress(level=level)
-            params = zstandard.ZstdCompressionParameters.from_level(level, write_checksum=False, write_content_size=False, write_dict_id=False)
-            self.coders.append(zstandard.ZstdCompressor(dict_data=raw, compression_params=params))
-
-    def sizes(self, text: str) -> list[int]:
-        data = fold(text).encode("utf-8", "replace")
+        self.dictionaries, self.level, self.chunk = dictionaries, level, chunk
+        self.made: dict[int, list[zstandard.ZstdCompressor]] = {}
+
+    def coders(self, level: int) -> list[zstandard.ZstdCompressor]:
+        if level not in self.made:
+            self.made[level] = []
+            for lang in self.langs:
+                raw = zstandard.ZstdCompressionDict(self.dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                raw.precompute_compress(level=level)
+                params = zstandard.ZstdCompressionParameters.from_level(level, write_checksum=False, write_content_size=False, write_dict_id=False)
+                self.made[level].append(zstandard.ZstdCompressor(dict_data=raw, compression_params=params))
+        return self.made[level]
+
+    def sizes(self, text: str, level: int) -> list[int]:
+        data = text.encode("utf-8", "replace")
         pieces = [data[i : i + self.chunk] for i in range(0, len(data), self.chunk)]
-        return [sum(len(c.compress(p)) for p in pieces) for c in self.coders]
+        return [sum(len(c.compress(p)) for p in pieces) for c in self.coders(level)]
 
     def __call__(self, text: str | None, margin: float = MARGIN) -> tuple[str, float, bool]:
         """(language, score, rejected)."""
         if not text or not self.langs or not _LETTER.search(text):
             return "und", 0.0, True
-        sizes = self.sizes(text)
-        order = sorted(range(len(sizes)), key=lambda k: (sizes[k], k))
-        if len(order) == 1:
+        if len(self.langs) == 1:
             return self.langs[0], 1.0, False
+        folded = fold(text)
+        sizes = self.sizes(folded, self.level)
+        if sizes.count(min(sizes)) > 1:  # a short text: other encoders of the same dictionaries tell sizes apart
+            for level in FINER:
+                sizes = [a + b for a, b in zip(sizes, self.sizes(folded, level), strict=True)]
+        order = sorted(range(len(sizes)), key=lambda k: (sizes[k], k))
         best, second = sizes[order[0]], sizes[order[1]]
         return self.langs[order[0]], second / (best + second), second - best < margin * best
 

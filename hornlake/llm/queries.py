@@ -51,7 +51,7 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def learned_languages(docs: DataFrame) -> dict[str, bytes]:
     """Dictionaries from the rows outside the held-out fold (crc32 of the id, mod 5, is 0)."""
-    return langid.learn(docs.filter(_remainder(5) != 0).select("text", "lang"))
+    return langid.learn(docs.filter(_remainder(5) != 0).select("doc_id", "text", "lang"))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
