@@ -183,7 +183,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
     differ = sum((F.bit_count(F.col("sketch_node")[k].bitwiseXOR(F.col("sketch_hub")[k])) for k in range(_WORDS)), F.lit(0))
     close = pairs.join(side("node"), "node").join(side("hub"), "hub").filter((differ <= most_different()) & (100 * F.least("n_node", "n_hub") >= PERCENT * F.greatest("n_node", "n_hub")))
-    close = materialize(close.select("node", "hub").distinct(), "pairs")
+    close = materialize(close.select("node", "hub"), "pairs")  # no distinct here or below: it would keep Spark from splitting a hot hub
 
     def sets_of(ids: DataFrame) -> DataFrame:
         return _sets(docs.join(ids, docs["doc_id"] == ids["id"], "left_semi"))
@@ -197,7 +197,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .filter(100 * common >= PERCENT * (F.size("a") + F.size("b") - common))
         .select(F.col("node").alias("u"), F.col("hub").alias("v"))
     )
-    edges = materialize(edges.distinct(), "edges")
+    edges = materialize(edges, "edges")
     labels = materialize(components(edges, "round1"), "labels")
 
     # buckets of two are settled; of equal buckets in several bands one is looked at
