@@ -4,8 +4,9 @@ Every document becomes the ids of its text plus an end id. Only documents
 longer than a sequence are cut: the first piece takes the remainder, all later
 ones are full. Pieces are packed per input partition: best-fit decreasing
 makes the start, then a local search empties bins by moving a piece, swapping
-one for one or two for one into fuller bins. Each such step raises the sum of
-squared fills, so the search ends; a bin whose pieces all leave is gone.
+one for one or two for one into fuller bins, or by swaps that make room
+elsewhere. Each such step raises the sum of squared fills, so the search ends; a
+bin whose pieces all leave is gone.
 
 Nothing is shuffled. A task holds lengths and places of its own pieces only
 (about 60 bytes each), never ids or texts of more than one batch, and a lost
@@ -29,6 +30,8 @@ from pyspark.sql import DataFrame, functions as F
 
 SEQUENCE = 1024
 END_ID = 2
+#: The fullest bins looked at for one exchange that doesn't empty the least full.
+LOOK = 64
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
@@ -148,13 +151,30 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, size: int = SEQUENC
                 return True
         return False
 
+    def fill_up(low: int) -> bool:
+        """One exchange between other underfull bins that fills the fuller one further."""
+        others = sorted((b for b in under if b != low and 0 < fill[b] < size), key=lambda b: (-fill[b], b))[:LOOK]
+        for b in others:
+            gap = size - fill[b]
+            other = (item_bin != b) & (item_bin != low) & (fill[item_bin] <= fill[b])
+            for i in bins[b]:
+                gain = item_len - size_of[i]
+                good = other & (gain > 0) & (gain <= gap)
+                if good.any():
+                    k = int(np.argmax(np.where(good, gain, 0)))
+                    there, back = int(item_bin[k]), int(items[k])
+                    put(i, there)
+                    put(back, b)
+                    return True
+        return False
+
     stuck: set[int] = set()
     while len(stuck) < tries:
         open_ = [b for b in under if 0 < fill[b] < size and b not in stuck]
         if len(open_) < 2:
             break
         low = min(open_, key=lambda b: (fill[b], b))
-        while bins[low] and shrink(low):
+        while bins[low] and (shrink(low) or fill_up(low)):
             pass
         if bins[low]:
             stuck.add(low)
