@@ -239,21 +239,28 @@ class Reckoner:
         out.violations += self.violated(out.facts)
         return out
 
-    def violated(self, facts: DataFrame) -> list[tuple[str, dict]]:
-        """Labels of constraints with an instance, one binding each, and clashes of difference."""
-        found = []
+    def violation_rows(self, facts: DataFrame) -> DataFrame:
+        """(label, bindings) of every instance of every constraint, and of terms both equal and different."""
         views = Views(facts, self.arity)
+        clash = facts.filter((F.col("p") == NEQ) & (F.col("s") == F.col("o")))
+        out = clash.select(F.lit("equal and different").alias("label"), F.create_map(F.lit("term"), "s").alias("bindings"))
         for r in self.constraints:
             body = Body(self.spark, views, self.registry)
             for a in self._ordered(r):
                 body.atom(a)
-            row = body.guarded().first()
-            if row is not None:
-                found.append((r.label, row.asDict()))
-        row = facts.filter((F.col("p") == NEQ) & (F.col("s") == F.col("o"))).first()
-        if row is not None:
-            found.append(("equal and different", {"term": row["s"]}))
-        return found
+            found = body.guarded()
+            pairs = [x for c in found.columns if not c.startswith("__") for x in (F.lit(c), F.col(c))]
+            out = out.union(found.select(F.lit(r.label), F.create_map(*pairs)))
+        return out
+
+    def violated(self, facts: DataFrame) -> list[tuple[str, dict]]:
+        """Labels of constraints with an instance, one binding each, and clashes of difference."""
+        low = self.violation_rows(facts).groupBy("label").agg(F.any_value("bindings").alias("bindings"))
+        return sorted(((r["label"], r["bindings"]) for r in low.collect()), key=str) if self.constraints or self._different(facts) else []
+
+    @staticmethod
+    def _different(facts: DataFrame) -> bool:
+        return not facts.filter(F.col("p") == NEQ).isEmpty()
 
 
 __all__ = ["Closure", "Reckoner", "facts_frame"]

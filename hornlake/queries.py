@@ -504,3 +504,184 @@ def osm_change_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     changes = make(ids.filter("o_orderkey % 10 = 1"), 2, "'modify' action").union(make(ids.filter("o_orderkey % 10 = 3"), 2, "'delete' action")).union(make(ids.filter("o_orderkey % 10 = 5").selectExpr("o_orderkey + 10000000 o_orderkey"), 1, "'create' action"))
     new, _ = apply_changes(state, changes)
     return new.select("id", "version")
+
+
+# ontologies over tables
+
+
+def _numbered(c: str, column: str):
+    return F.regexp_extract(column, rf"<urn:{c}:(\d+)>", 1).cast("long")
+
+
+def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers, orders and their classes as facts (p, s, o)."""
+    orders, customers = _read(spark, sf_dir, "orders"), _read(spark, sf_dir, "customer")
+    customer = "concat('<urn:c:', c_custkey, '>')"
+    order, none = "concat('<urn:o:', o_orderkey, '>')", "cast(null as string) o"
+    frames = [
+        customers.selectExpr("'urn:x:Customer' p", f"{customer} s", none),
+        orders.selectExpr("'urn:x:hasOrder' p", "concat('<urn:c:', o_custkey, '>') s", f"{order} o"),
+        orders.filter("o_orderpriority = '1-URGENT'").selectExpr("'urn:x:Urgent' p", f"{order} s", none),
+        orders.filter("o_orderstatus = 'F'").selectExpr("'urn:x:Filled' p", f"{order} s", none),
+        orders.selectExpr("'urn:x:status' p", f"{order} s", "to_json(named_struct('v', o_orderstatus)) o").selectExpr("p", "s", "regexp_extract(o, ':(.*).$', 1) o"),
+    ]
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.union(f)
+    return out.distinct()
+
+
+_URGENT = "select distinct o_custkey from orders where o_orderpriority = '1-URGENT'"
+
+
+@frame("ontology_exists_definition", f"select o_custkey customer from ({_URGENT}) where o_custkey in (select c_custkey from customer)")
+def ontology_exists_definition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A complete definition: those with some urgent order are pressed."""
+    text = "Class(ex:Pressed complete intersectionOf(ex:Customer restriction(ex:hasOrder someValuesFrom(ex:Urgent))))"
+    found = _ontology(spark, _customers(spark, sf_dir), text).facts
+    return found.filter("p = 'urn:x:Pressed'").select(_numbered("c", "s").alias("customer")).distinct()
+
+
+@frame("ontology_forall", f"select distinct o_orderkey as order_id from orders where o_custkey in ({_URGENT})")
+def ontology_forall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders of the pressed are watched."""
+    text = "SubClassOf(restriction(ex:hasOrder someValuesFrom(ex:Urgent)) ex:Pressed) SubClassOf(ex:Pressed restriction(ex:hasOrder allValuesFrom(ex:Watched)))"
+    found = _ontology(spark, _customers(spark, sf_dir), text).facts
+    return found.filter("p = 'urn:x:Watched'").select(_numbered("o", "s").alias("order_id")).distinct()
+
+
+@frame("ontology_union_value", "select distinct o_orderkey as order_id from orders where o_orderpriority = '1-URGENT' or o_orderstatus = 'O'")
+def ontology_union_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _ontology(spark, _customers(spark, sf_dir), 'SubClassOf(unionOf(ex:Urgent restriction(ex:status value("O"))) ex:Open)').facts
+    return found.filter("p = 'urn:x:Open'").select(_numbered("o", "s").alias("order_id")).distinct()
+
+
+@frame("ontology_roles", "select o_orderkey as order_id, o_custkey customer from orders where o_orderkey is not null group by 1, 2")
+def ontology_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An inverse of a superproperty."""
+    found = _ontology(spark, _customers(spark, sf_dir), "ObjectProperty(ex:hasOrder super(ex:owns)) ObjectProperty(ex:owns inverseOf(ex:ownedBy))").facts
+    return found.filter("p = 'urn:x:ownedBy'").select(_numbered("o", "s").alias("order_id"), _numbered("c", "o").alias("customer")).distinct()
+
+
+@frame("ontology_domain_range", "select 'Buyer' class, o_custkey id from orders group by 2 union all select 'Bought', o_orderkey from orders group by 2")
+def ontology_domain_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _ontology(spark, _customers(spark, sf_dir), "ObjectProperty(ex:hasOrder domain(ex:Buyer) range(ex:Bought))").facts
+    kept = found.filter("p in ('urn:x:Buyer', 'urn:x:Bought')")
+    return kept.select(F.substring("p", 7, 9).alias("class"), F.regexp_extract("s", r"(\d+)", 1).cast("long").alias("id")).distinct()
+
+
+@frame("ontology_violations", "select distinct o_orderkey as order_id from orders where o_orderpriority = '1-URGENT' and o_orderstatus = 'F'")
+def ontology_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every instance of a violated disjointness."""
+    from .ontology.compiler import compile_graph
+    from .ontology.syntax import parse_ontology
+    from .plans.closure import Reckoner
+
+    compiled = compile_graph(parse_ontology("Namespace(ex = <urn:x:>) Ontology(DisjointClasses(ex:Urgent ex:Filled))"))
+    rows = Reckoner(spark, compiled).violation_rows(_customers(spark, sf_dir))
+    return rows.select(_numbered("o", "bindings.x0").alias("order_id")).distinct()
+
+
+@frame("ontology_witnesses", "select distinct c_custkey customer from customer")
+def ontology_witnesses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer has some account, unnamed."""
+    found = _ontology(spark, _customers(spark, sf_dir), "SubClassOf(ex:Customer restriction(ex:hasAccount someValuesFrom(ex:Account)))").facts
+    return found.filter("p = 'urn:x:hasAccount' and o like 'sk:%'").select(_numbered("c", "s").alias("customer")).distinct()
+
+
+@frame("type_view", "select 'Customer' class, c_custkey id from customer group by 2 union all select 'Party', c_custkey from customer group by 2")
+def type_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rdf:type of every class member, derived classes included."""
+    facts = _read(spark, sf_dir, "customer").selectExpr("'urn:x:Customer' p", "concat('<urn:c:', c_custkey, '>') s", "cast(null as string) o")
+    found = _ontology(spark, facts, "SubClassOf(ex:Customer ex:Party)").facts
+    return found.filter("o is null and p like 'urn:x:%'").select(F.substring("p", 7, 20).alias("class"), _numbered("c", "s").alias("id")).distinct()
+
+
+def _maintained(add: str, remove: str) -> Query:
+    """The closure of a nation graph after facts came and went, maintained rather than rebuilt."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from .ontology.syntax import parse_ontology
+        from .reasoner import Reasoner
+
+        keys = [r["n_nationkey"] for r in _read(spark, sf_dir, "nation").select("n_nationkey").distinct().collect()]  # the nation table: a few rows
+        name = lambda k: f"<urn:n:{k}>"
+        edges = lambda step, mod, of: [(name(k), "<urn:x:to>", name(k + step)) for k in sorted(keys) if k % mod == of and k + step < 25]
+        base = [*parse_ontology("Namespace(ex = <urn:x:>) Ontology(ObjectProperty(ex:to Transitive))"), *edges(4, 1, 0)]
+        reasoner = Reasoner(spark, base, "L0")
+        come, gone = edges(5, 5, 0) if add else [], edges(4, 3, 1) if remove else []
+        reasoner.update(come, gone)
+        pairs = reasoner.property_relation("urn:x:to")
+        return pairs.select(_numbered("n", "x").alias("a"), _numbered("n", "y").alias("b"))
+
+    return query
+
+
+_GRAPH = "with recursive e as ({edges}), t as (select a, b from e union select t.a, e.b from t join e on t.b = e.a) select a, b from t"
+_FOUR = "select n_nationkey::bigint a, n_nationkey::bigint + 4 b from nation where n_nationkey + 4 < 25"
+_FIVE = "select n_nationkey::bigint a, n_nationkey::bigint + 5 b from nation where n_nationkey + 5 < 25 and n_nationkey % 5 = 0"
+frame("maintain_insert", _GRAPH.format(edges=f"{_FOUR} union {_FIVE}"))(_maintained("add", ""))
+frame("maintain_delete", _GRAPH.format(edges=f"{_FOUR} and n_nationkey % 3 <> 1"))(_maintained("", "remove"))
+frame("maintain_mixed", _GRAPH.format(edges=f"{_FOUR} and n_nationkey % 3 <> 1 union {_FIVE}"))(_maintained("add", "remove"))
+
+rules(
+    "mutual_recursion", "nation",
+    """step(?a, ?b) :- nation(?a, ?r), bind num:add(?a, 1) as ?b, filter num:lessThan(?b, 25).
+    odd(?a, ?b) :- step(?a, ?b). odd(?a, ?c) :- answer(?a, ?b), step(?b, ?c). answer(?a, ?c) :- odd(?a, ?b), step(?b, ?c).""",
+    "select a.n_nationkey::bigint a, b.n_nationkey::bigint c from nation a, nation b where b.n_nationkey > a.n_nationkey and (b.n_nationkey - a.n_nationkey) % 2 = 0",
+    ["cast(a as bigint) a", "cast(c as bigint) c"],
+)
+rules(
+    "minimum_over_recursion", "nation",
+    """step(?a, ?b) :- nation(?a, ?r), bind num:add(?a, 7) as ?b, filter num:lessThan(?b, 25).
+    reach(?a, ?b) :- step(?a, ?b). reach(?a, ?c) :- reach(?a, ?b), reach(?b, ?c). answer(?b, ?m) :- MIN ?a GROUP_BY ?b FROM reach(?a, ?b) AS ?m.""",
+    "select n_nationkey::bigint b, (n_nationkey % 7)::bigint m from nation where n_nationkey >= 7",
+    ["cast(b as bigint) b", "cast(m as bigint) m"],
+)
+rules("duration_add", "event", 'answer(?e) :- event(?e, ?u, ?t), bind time:add("PT1H"^^xsd:dayTimeDuration, "PT30M"^^xsd:dayTimeDuration) as ?d, bind time:add(?t, ?d) as ?v, filter time:before(?v, "2024-01-05T12:00:00Z"^^xsd:dateTime).', "select distinct event_id e from events where ts + interval 90 minute < timestamp '2024-01-05 12:00:00'")
+rules("quantity_compare", "quantity", 'answer(?o, ?l) :- quantity(?o, ?l, ?q), bind num:quantity(?q, "kmh") as ?a, bind num:quantity(25, "kmh") as ?b, filter num:quantityEqual(?a, ?b).', "select distinct l_orderkey o, l_linenumber l from lineitem where l_quantity = 25")
+rules("quantity_subtract", "quantity", 'answer(?o, ?l, ?v) :- quantity(?o, ?l, ?q), bind num:quantity(?q, "second") as ?a, bind num:quantity(0.5, "second") as ?b, bind num:quantitySubtract(?a, ?b) as ?v.', "select distinct l_orderkey o, l_linenumber l, l_quantity - 0.5 v from lineitem", ["o", "l", "cast(v.value as double) v"])
+
+
+@frame("provider_scalar", "select distinct p_partkey part, case when p_size % 2 = 0 then 'ok' else 'no_match' end status, case when p_size % 2 = 0 then p_size::double * p_size end value from part")
+def provider_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scalar provider over distinct arguments, answers joined back."""
+    from pyspark.sql import types as T
+
+    from .sources.providers import FakeProvider, evaluate
+
+    squares = FakeProvider({("square", k): float(k * k) for k in range(0, 200, 2)})
+    rows = _read(spark, sf_dir, "part").selectExpr("p_partkey part", "cast(p_size as bigint) size").distinct()
+    return evaluate(rows, squares, "square", ["size"], T.DoubleType()).selectExpr("part", "result.status status", "result.value value")
+
+
+@frame("provider_scan", "select distinct n_nationkey nation, n_nationkey::bigint + 100 candidate from nation where n_nationkey < 10")
+def provider_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A provider's enumeration joined to rule bindings."""
+    from .functions import builtin
+    from .sources.providers import FakeProvider, scan_relation
+
+    provider = FakeProvider(scans={"near": [(k, k + 100) for k in range(10)]})
+    registry = builtin().with_scan("urn:x:near", 1, 1, scan_relation(provider, "near", "a long, b long"))
+    text = PREFIXES + "answer(?nation, ?candidate) :- nation(?nation, ?r), scan <urn:x:near>(?nation) as ?candidate."
+    return run(spark, text, relations_of(spark, sf_dir, "nation"), "answer", registry=registry)
+
+
+@frame("planar_within", "select a.n_nationkey a, b.n_nationkey b, sqrt(pow((a.n_nationkey - b.n_nationkey) * 3.0, 2) + pow((a.n_regionkey - b.n_regionkey) * 4.0, 2)) metres from nation a, nation b where pow((a.n_nationkey - b.n_nationkey) * 3.0, 2) + pow((a.n_regionkey - b.n_regionkey) * 4.0, 2) <= 36")
+def planar_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of a projected plane within a radius, boundary included."""
+    from .operators.planar import ingest, planar_distance
+
+    places = ingest(_read(spark, sf_dir, "nation").selectExpr("n_nationkey id", "concat('POINT(', n_nationkey * 3, ' ', n_regionkey * 4, ')') wkt"), "EPSG:25832")
+    a, b = places.selectExpr("id a", "wkt wa"), places.selectExpr("id b", "wkt wb")
+    return a.crossJoin(b).withColumn("metres", planar_distance("wa", "wb")).filter("metres <= 6").select("a", "b", "metres")
+
+
+@frame("osm_projection", "select 'latitude' prop, count(distinct o_orderkey) n from orders union all select 'name', count(distinct o_orderkey) from orders union all select 'tagKey', count(distinct o_orderkey) from orders")
+def osm_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often some properties occur in the projection of elements made of orders."""
+    from .sources.osm import project, validate
+
+    rows = _read(spark, sf_dir, "orders").selectExpr("'node' type", "o_orderkey id", "1L version", "1D lat", "2D lon", "cast(array() as array<bigint>) nodes", "cast(array() as array<struct<type: string, ref: bigint, role: string>>) members", "map('name', 'v') tags", "'' timestamp", "'' changeset").dropDuplicates(["id"])
+    named = project(validate(rows), "s").select(F.regexp_extract("p", "#(.*)>$", 1).alias("prop"))
+    return named.filter("prop in ('latitude', 'name', 'tagKey')").groupBy("prop").agg(F.count("*").alias("n"))
