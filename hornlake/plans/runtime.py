@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..errors import DomainError, EngineError, RetryError, ValidationError, raised_by
 from ..functions import builtin
 from ..functions.registry import Registry
-from ..model import EQ, NEQ, TOP, Program, Var
+from ..model import EQ, NEQ, TOP, Atom, Minimum, Program, Var
 from ..storage import materialize
 from .evaluate import derive, reject_nulls, relation
 from .fixpoint import fixpoint
@@ -18,6 +18,9 @@ from .parser import parse
 from .planner import Plan, plan
 
 
+TYPE_IRI = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
+
+
 @dataclass
 class Result:
     """Full relations, and what came and went since the last complete answer."""
@@ -97,18 +100,43 @@ class QueryRuntime:
     def plan(self, inputs: Mapping[str, DataFrame]) -> Plan:
         return plan(self.program, self.registry, {p: len(df.columns) for p, df in inputs.items()})
 
-    def evaluate(self, relations: Mapping[str, DataFrame], params: Mapping[str, object] | None = None, revisions=None, publish: bool = True) -> Result:
+    def _closure(self, reasoner, relations: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+        """Relations of the ontology that the program reads and nothing else gives."""
+        if reasoner is None:
+            return {}
+        reasoner._guard()
+        heads = {r.head.predicate for r in self.program.rules}
+        found: dict[str, DataFrame] = {}
+        for r in self.program.rules:
+            for n in r.body:
+                atom = n if isinstance(n, Atom) else n.source if isinstance(n, Minimum) else None
+                if atom is None or atom.predicate in (EQ, NEQ, TOP) or atom.predicate in heads or atom.predicate in relations:
+                    continue
+                if atom.predicate == TYPE_IRI:
+                    found[TYPE_IRI] = reasoner.type_view()
+                elif len(atom.args) == 1:
+                    found[atom.predicate] = reasoner.class_relation(atom.predicate)
+                elif len(atom.args) == 2:
+                    found[atom.predicate] = reasoner.property_relation(atom.predicate)
+        return found
+
+    def evaluate(self, relations: Mapping[str, DataFrame], params: Mapping[str, object] | None = None, revisions=None, publish: bool = True, reasoner=None, scope: tuple[str, str] | None = None) -> Result:
         """``revisions``: a callable naming the sources' state, compared before and after.
 
-        Without ``publish`` the relations stay lazy and no change is told.
+        Without ``publish`` the relations stay lazy and no change is told. A
+        ``reasoner`` gives the classes and properties that the program names, and
+        rdf:type over all classes. ``scope`` (name, revision) sets ?scope and ?revision.
         """
+        params = dict(params or {})
+        if scope:
+            params |= {"scope": f"<{scope[0]}>", "revision": scope[1]}
         if self._running:
             raise EngineError("evaluation is already under way")
         self._running = True
         try:
-            inputs = {p: reject_nulls(relation(df)) for p, df in relations.items()}
+            inputs = {p: reject_nulls(relation(df)) for p, df in {**self._closure(reasoner, relations), **relations}.items()}
             prepared = self.plan(inputs)
-            missing = {g for r in self.program.rules for g in r.given} - set(params or {})
+            missing = {g for r in self.program.rules for g in r.given} - set(params)
             if missing:
                 raise ValidationError(f"missing parameters: {', '.join(sorted(missing))}")
             for r in self.program.rules:

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from hornlake.errors import IncompleteError, InconsistentError, ParseError
 from hornlake.ontology.compiler import ProfileError, compile_graph
@@ -180,3 +181,46 @@ def test_output_and_packages(spark, family, tmp_path):
     assert main(["validate", str(tmp_path / "none.dlp")]) == 1
     (tmp_path / "bad.dlp").write_text(doc("DisjointClasses(ex:A ex:B) Individual(ex:i type(ex:A) type(ex:B))"))
     assert main(["validate", str(tmp_path / "bad.dlp")]) == 2
+
+
+def test_rules_over_an_ontology(spark):
+    from hornlake.errors import DomainError
+    from hornlake.functions.decode import decode, encode, typed
+    from hornlake.plans.runtime import QueryRuntime
+
+    date = lambda d: f'"{d}"^^xsd:date'
+    r = Reasoner.from_text(
+        spark,
+        doc(f"""ObjectProperty(ex:hasSon super(ex:hasChild)) SubClassOf(ex:Father ex:Parent)
+        Individual(ex:f type(ex:Father) value(ex:hasSon ex:c1) value(ex:hasSon ex:c2) value(ex:born {date('1685-03-31')}))
+        Individual(ex:c1 value(ex:born {date('1708-12-27')})) Individual(ex:c2 value(ex:born {date('1710-11-22')}))
+        Individual(ex:m type(ex:Parent) value(ex:hasChild ex:c1) value(ex:born {date('1684-10-20')}))"""),
+    )
+    text = f"""version 1
+    prefix ex: <{EX}> prefix time: <urn:dlp:temporal:> prefix policy: <urn:dlp:calendar-policy:>
+    dated(?p, ?c, ?d) given (?scope, ?revision) :- ex:hasChild(?p, ?c), accepted(?c, ?d).
+    first(?p, ?m) given (?scope, ?revision) :- MIN ?d GROUP_BY ?p FROM dated(?p, ?c, ?d) AS ?m.
+    firstborn(?p, ?c) given (?scope, ?revision) :- first(?p, ?d), dated(?p, ?c, ?d).
+    age(?p, ?y) given (?scope, ?revision) :- rdf:type(?p, ex:Parent), first(?p, ?d), accepted(?p, ?b), bind time:completedYears(?b, ?d, policy:march1) as ?y.
+    """
+    accepted = typed(r.property_relation(x("born")), {"y": "date"})
+    runtime = QueryRuntime(spark, text)
+    result = runtime.evaluate({"urn:dlp:query:accepted": accepted}, reasoner=r, scope=("urn:s", "1"))
+    assert result.rows("urn:dlp:query:age") == {(x("f"), 23), (x("m"), 24)}
+    assert result.rows("urn:dlp:query:firstborn") == {(x("f"), x("c1")), (x("m"), x("c1"))}
+    r.update([(x("f"), x("hasSon"), x("c0")), (x("c0"), x("born"), f'"1707-01-01"^^<http://www.w3.org/2001/XMLSchema#date>')])
+    accepted = typed(r.property_relation(x("born")), {"y": "date"})
+    result = runtime.evaluate({"urn:dlp:query:accepted": accepted}, reasoner=r, scope=("urn:s", "2"))
+    changed = lambda which: {tuple(v) for v in getattr(result, which)["urn:dlp:query:age"].collect()}
+    assert changed("additions") == {(x("f"), 21)} and changed("retractions") == {(x("f"), 23)}
+
+    xsd = "http://www.w3.org/2001/XMLSchema#"
+    rows = [(f'"2.50"^^<{xsd}decimal>', "decimal"), (f'"007"^^<{xsd}integer>', "integer"), (f'"2024-01-01T00:00:00.5+01:00"^^<{xsd}dateTime>', "instant")]
+    for literal, kind in rows:
+        df = spark.createDataFrame([(literal,)], "t string").select(encode(decode(F.col("t"), kind)[0], kind).alias("v"))
+        assert df.first().v in (f'"2.5"^^<{xsd}decimal>', f'"7"^^<{xsd}integer>', f'"2023-12-31T23:00:00.500000Z"^^<{xsd}dateTime>')
+    for bad in ('"2024-1-1"^^<' + xsd + "date>", "<urn:x:a>", '"2024-02-30"^^<' + xsd + "date>"):
+        with pytest.raises(Exception, match="(TYPE|DOMAIN)_ERROR"):
+            typed(spark.createDataFrame([(bad,)], "t string"), {"t": "date"}).collect()
+    with pytest.raises(DomainError):
+        decode(None, "colour")
