@@ -34,8 +34,11 @@ class Result:
         return {tuple(r) for r in self.relations[predicate].collect()}
 
 
-def solve(spark: SparkSession, prepared: Plan, inputs: Mapping[str, DataFrame], registry: Registry, params: Mapping[str, object] | None = None) -> dict[str, DataFrame]:
-    """All derived relations: a lazy plan per predicate, a fixpoint loop where it is recursive."""
+def solve(spark: SparkSession, prepared: Plan, inputs: Mapping[str, DataFrame], registry: Registry, params: Mapping[str, object] | None = None, rows: int | None = None) -> dict[str, DataFrame]:
+    """All derived relations: a lazy plan per predicate, a fixpoint loop where it is recursive.
+
+    ``rows`` bounds each recursive relation; without it only rounds are bounded.
+    """
     found: dict[str, DataFrame] = dict(inputs)
     derived: dict[str, DataFrame] = {}
     for rules in prepared.strata:
@@ -54,7 +57,7 @@ def solve(spark: SparkSession, prepared: Plan, inputs: Mapping[str, DataFrame],
                 todo = [r for r in todo if r.head.predicate not in ready]
                 continue
             loop = _component(todo, prepared.recursive)
-            total, status = fixpoint(spark, [r for r in todo if r.head.predicate in loop], found, registry, params)
+            total, status = fixpoint(spark, [r for r in todo if r.head.predicate in loop], found, registry, params, rows=rows)
             if not status.complete:
                 raise DomainError("RESOURCE_LIMIT", status.reason)
             for p, df in total.items():
@@ -90,8 +93,8 @@ def _component(rules, recursive: frozenset[str]) -> set[str]:
 class QueryRuntime:
     """A program with inputs; ``evaluate`` publishes all or nothing."""
 
-    def __init__(self, spark: SparkSession, program: str | Program, registry: Registry | None = None, source: str = "<rules>"):
-        self.spark, self.registry = spark, registry or builtin()
+    def __init__(self, spark: SparkSession, program: str | Program, registry: Registry | None = None, source: str = "<rules>", rows: int | None = None):
+        self.spark, self.registry, self.rows = spark, registry or builtin(), rows
         self.program = parse(program, source) if isinstance(program, str) else program
         self.last: Result | None = None
         self.revision = 0
@@ -145,7 +148,7 @@ class QueryRuntime:
                         if p not in (EQ, NEQ, TOP) and p not in inputs and not any(x.head.predicate == p for x in self.program.rules):
                             raise ValidationError(f"unknown relation {p}", n.at)
             before = revisions() if revisions else None
-            found = solve(self.spark, prepared, inputs, self.registry, params)
+            found = solve(self.spark, prepared, inputs, self.registry, params, self.rows)
             if not publish:
                 return Result(found)
             found = {p: materialize(df, "answer") for p, df in found.items()}

@@ -321,11 +321,11 @@ def window_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history(_events(spark, sf_dir), _END, _WEEK).select("event_id")
 
 
-@frame("window_predecessor", f"with {_EVENTS_SQL} select event_id, lag(event_id) over (partition by k order by t, event_id) previous from e")
+@frame("window_predecessor", f"with {_EVENTS_SQL} select * from (select event_id, lag(event_id) over (partition by k order by t, event_id) previous from e) where previous is not null")
 def window_predecessor(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .operators.joins import predecessor
 
-    return predecessor(_events(spark, sf_dir), "key", "event_time", "event_id").select("event_id", "previous")
+    return predecessor(_events(spark, sf_dir), "key", "event_time", "event_id").select("event_id", "previous").filter("previous is not null")
 
 
 @frame("window_entries", f"with {_EVENTS_SQL}, l as (select *, lag(event_type = 'purchase') over (partition by k order by t, event_id) w from e where t < {_END}) select event_id from l where event_type = 'purchase' and not w and t >= {_END - _WEEK}")
@@ -429,13 +429,13 @@ def shortest_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shortest_distances(_roads(spark, sf_dir), _read(spark, sf_dir, "nation").filter("n_nationkey < 3").select(F.col("n_nationkey").alias("id")))
 
 
-@frame("route_status", f"with recursive {_ROADS}, t as (select n_nationkey s, n_nationkey n, 0 d from nation where n_nationkey < 3 union select s, b, d + m from t join road on n = a where d < 400), q as (select a.n_nationkey s, b.n_nationkey + 20 d from nation a, nation b where a.n_nationkey < 3 and b.n_nationkey < 10) select q.s src, q.d dst, case when q.d >= 25 then 'out_of_region' when min(t.d) is null then 'no_route' else 'ok' end status, case when q.d < 25 then min(t.d)::double end metres from q left join t on t.s = q.s and t.n = q.d group by q.s, q.d")
+@frame("route_status", f"with recursive {_ROADS}, t as (select n_nationkey s, n_nationkey n, 0 d from nation where n_nationkey < 3 union select s, b, d + m from t join road on n = a where d < 400), q as (select a.n_nationkey s, b.n_nationkey + 20 d from nation a, nation b where a.n_nationkey < 3 and b.n_nationkey < 10) select q.s src, q.d dst, case when q.d >= 25 then 'out_of_region' when min(t.d) is null then 'no_route' else 'ok' end status, coalesce(case when q.d < 25 then min(t.d)::double end, -1) metres from q left join t on t.s = q.s and t.n = q.d group by q.s, q.d")
 def route_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .operators.graphs import route_status as status
 
     n = _read(spark, sf_dir, "nation").select("n_nationkey")
     queries = n.filter("n_nationkey < 3").selectExpr("n_nationkey src").crossJoin(n.filter("n_nationkey < 10").selectExpr("n_nationkey + 20 dst"))
-    return status(_roads(spark, sf_dir), n.selectExpr("n_nationkey id"), queries)
+    return status(_roads(spark, sf_dir), n.selectExpr("n_nationkey id"), queries).fillna(-1.0, ["metres"])
 
 
 @frame("affected_closure", "with recursive d as (select distinct o_custkey * 10 id, o_orderkey * 10 + 1 needs from orders union select distinct l_orderkey * 10 + 1, l_suppkey * 10 + 2 from lineitem), t as (select 12::bigint id union select d.id from t join d on d.needs = t.id) select id from t")
@@ -643,7 +643,7 @@ rules("quantity_compare", "quantity", 'answer(?o, ?l) :- quantity(?o, ?l, ?q), b
 rules("quantity_subtract", "quantity", 'answer(?o, ?l, ?v) :- quantity(?o, ?l, ?q), bind num:quantity(?q, "second") as ?a, bind num:quantity(0.5, "second") as ?b, bind num:quantitySubtract(?a, ?b) as ?v.', "select distinct l_orderkey o, l_linenumber l, l_quantity - 0.5 v from lineitem", ["o", "l", "cast(v.value as double) v"])
 
 
-@frame("provider_scalar", "select distinct p_partkey part, case when p_size % 2 = 0 then 'ok' else 'no_match' end status, case when p_size % 2 = 0 then p_size::double * p_size end value from part")
+@frame("provider_scalar", "select distinct p_partkey part, case when p_size % 2 = 0 then 'ok' else 'no_match' end status, case when p_size % 2 = 0 then p_size::double * p_size else -1 end value from part")
 def provider_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A scalar provider over distinct arguments, answers joined back."""
     from pyspark.sql import types as T
@@ -652,7 +652,7 @@ def provider_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     squares = FakeProvider({("square", k): float(k * k) for k in range(0, 200, 2)})
     rows = _read(spark, sf_dir, "part").selectExpr("p_partkey part", "cast(p_size as bigint) size").distinct()
-    return evaluate(rows, squares, "square", ["size"], T.DoubleType()).selectExpr("part", "result.status status", "result.value value")
+    return evaluate(rows, squares, "square", ["size"], T.DoubleType()).selectExpr("part", "result.status status", "coalesce(result.value, -1D) value")
 
 
 @frame("provider_scan", "select distinct n_nationkey nation, n_nationkey::bigint + 100 candidate from nation where n_nationkey < 10")
