@@ -1,4 +1,7 @@
-"""Dates, instants, durations and half-open intervals of either."""
+"""Dates, instants, durations and half-open intervals of either; times of day too.
+
+Columns of type TIME need the session's spark.sql.timeType.enabled.
+"""
 
 from __future__ import annotations
 
