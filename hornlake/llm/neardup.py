@@ -7,9 +7,10 @@ whose XOR population count estimates high similarities. Then:
 
 1. Star: in each band bucket every class pairs with the bucket's smallest id.
    Pairs pass the sketch, then the exact test on full sets. Components follow.
-2. Buckets that still hold several components are open: their other pairs are
-   compared in blocks of ``BLOCK`` x ``BLOCK`` classes, sketch first, then exactly,
-   skipping what is connected; only edges of a spanning forest leave a block.
+2. Buckets that still hold several components are open: all outside a bucket's
+   largest component are compared with it and with each other in blocks of
+   ``BLOCK`` x ``BLOCK`` classes, sketch first, then exactly, skipping what is
+   connected; only edges of a spanning forest leave a block.
 
 So a bucket of near copies costs one pair a member, no group is listed as pairs
 and none is capped. A pair at the threshold shares no bucket with a chance of
@@ -141,14 +142,14 @@ def _sets(docs: DataFrame) -> DataFrame:
 
 
 def _block_edges(key, pdf):
-    """Edges of a spanning forest between the two blocks of one open bucket."""
+    """Edges of a spanning forest between the two sides of one group of an open bucket."""
     import pandas as pd
 
-    _, i, j = key
+    _, among, i, j = key
     nodes, labels = pdf["node"].to_numpy(), pdf["label"].to_numpy()
     sketches = np.stack(pdf["sketch"].to_numpy()).astype(np.int64).view(np.uint64).reshape(len(pdf), -1)
     sets = [np.asarray(s, dtype=np.int64).view(np.uint64) for s in pdf["shingles"]]
-    block = pdf["block"].to_numpy()
+    block, rest = pdf["block"].to_numpy(), pdf["rest"].to_numpy()
     parent = {x: x for x in labels.tolist()}
 
     def root(x):
@@ -158,10 +159,10 @@ def _block_edges(key, pdf):
         return x
 
     most, out = most_different(), []
-    right = np.nonzero(block == j)[0]
-    for a in np.nonzero(block == i)[0].tolist():
+    left, right = (np.nonzero(block == i)[0], np.nonzero(block == j)[0]) if among else (np.nonzero(rest)[0], np.nonzero(~rest)[0])
+    for a in left.tolist():
         differ = np.bitwise_count(sketches[right] ^ sketches[a]).sum(axis=1)
-        for b in right[(differ <= most) & (labels[right] != labels[a]) & ((right > a) | (i != j))].tolist():
+        for b in right[(differ <= most) & (labels[right] != labels[a]) & ((right > a) | (not among) | (i != j))].tolist():
             x, y = root(labels[a]), root(labels[b])
             if x != y and similar(sets[a], sets[b]):
                 parent[x] = y
@@ -203,19 +204,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # buckets of two are settled; of equal buckets in several bands one is looked at
     several = heads.filter("members > 2").dropDuplicates(["hub", "members", "content"]).select("key", "members")
     labelled = buckets.join(several, "key").join(labels, "node", "left").select("key", "node", "members", F.coalesce("component", "node").alias("label"))
-    open_ = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
-    blocks = F.ceil(F.col("members") / BLOCK)
-    still = materialize(labelled.join(open_, "key").select("key", "node", "label", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).alias("block")), "open")
+    # of an open bucket, the largest component needs no comparison within itself
+    sizes = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
+    open_ = sizes.groupBy("key").agg(F.max_by("label", "n").alias("base"), F.max("n").alias("in_base"), F.sum("n").alias("all"), F.count("*").alias("labels")).filter("labels > 1")
+    rest = F.col("label") != F.col("base")
+    blocks, rests = F.ceil(F.col("in_base") / BLOCK), F.ceil((F.col("all") - F.col("in_base")) / BLOCK)
+    still = labelled.join(open_, "key").select("key", "node", "label", rest.alias("rest"), blocks.alias("blocks"), rests.alias("rests"))
+    still = materialize(still.withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("rest"), F.col("rests")).otherwise(F.col("blocks")))), "open")
     if not still.isEmpty():
-        sketch_of = nodes.select("node", "sketch")
         more = materialize(sets_of(still.select(F.col("node").alias("id")).distinct()), "more-sets")
+        own, upto = F.col("block"), lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
+        group = lambda among, i, j: F.struct(F.lit(among).alias("among"), i.alias("i"), j.alias("j"))
+        across = F.when(F.col("rest"), F.transform(upto("blocks"), lambda b: group(False, b, own))).otherwise(F.transform(upto("rests"), lambda c: group(False, own, c)))
+        within = F.when(F.col("rest"), F.transform(upto("rests"), lambda c: group(True, F.least(own, c), F.greatest(own, c)))).otherwise(F.slice(across, 1, 0))
         dealt = (
-            still.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-            .join(sketch_of, "node")
+            still.withColumn("g", F.explode(F.concat(across, within)))
+            .join(nodes.select("node", "sketch"), "node")
             .join(more, "node")
-            .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "label", "block", "sketch", "shingles")
+            .select("key", "g.among", "g.i", "g.j", "node", "label", "rest", "block", "sketch", "shingles")
         )
-        found = dealt.groupBy("key", "i", "j").applyInPandas(_block_edges, "u long, v long")
+        found = dealt.groupBy("key", "among", "i", "j").applyInPandas(_block_edges, "u long, v long")
         edges = edges.union(materialize(found.distinct(), "more-edges"))
         labels = components(edges, "round2")
 
