@@ -32,7 +32,7 @@ class ParseError(ValidationError):
 
 
 class IncompleteError(EngineError):
-    """A negative answer was asked of a closure that isn't complete."""
+    """A negative or whole answer was asked of a closure that isn't complete."""
 
 
 class InconsistentError(EngineError):

@@ -5,7 +5,7 @@ driver beforehand and applied by a single join, so that hierarchies need no
 rounds. Rules with several atoms run semi-naively over filtered views of the
 facts; each round is written to the shared folder, so plans stay small and a lost
 executor repeats one round at most. Equality merges terms by their smallest representative and restarts with
-everything as delta. Bounds make the closure incomplete, never silently short.
+everything as delta; terms that share a functional key are each made equal to the smallest of them. Bounds make the closure incomplete, never silently short.
 """
 
 from __future__ import annotations
@@ -70,6 +70,16 @@ def is_single(r: Rule) -> bool:
     return r.head is not None and len(r.body) == 1 and r.body[0].predicate not in (EQ, NEQ, TOP) and r.head.predicate not in (EQ, NEQ) and len(set(r.body[0].args)) == len(r.body[0].args) and all(isinstance(t, Var) for t in (*r.body[0].args, *r.head.args))
 
 
+def shared_key(r: Rule) -> int | None:
+    """The column of the key, if the rule says that all that share a key are equal: EQ(x, y) from p(x, k) and p(y, k)."""
+    if r.head is None or r.head.predicate != EQ or len(r.body) != 2 or r.body[0].predicate != r.body[1].predicate:
+        return None
+    a, b = (atom.args for atom in r.body)
+    if len(a) != 2 or len(b) != 2 or not all(isinstance(t, Var) for t in (*a, *b)) or len({*a, *b}) != 3:
+        return None
+    return next((k for k in (0, 1) if a[k] == b[k] and {*r.head.args} == {a[1 - k], b[1 - k]}), None)
+
+
 class Views(dict):
     """Relations by predicate, as filters of the facts."""
 
@@ -107,7 +117,8 @@ def literal_key(term: str) -> Column:
 class Reckoner:
     """Runs one ontology's rules over its facts."""
 
-    def __init__(self, spark: SparkSession, ontology: Ontology, rounds: int = ROUNDS, facts: int = FACTS, depth: int = DEPTH):
+    def __init__(self, spark: SparkSession, ontology: Ontology, rounds: int = ROUNDS, facts: int | None = FACTS, depth: int = DEPTH):
+        """``facts``: None is no bound."""
         self.spark, self.limits = spark, (rounds, facts, depth)
         self.registry = builtin()
         rules = ontology.rules
@@ -138,6 +149,13 @@ class Reckoner:
             out = out.union(terms.select(F.lit(TOP), "s", F.lit(None).cast("string")))
         return out
 
+    @staticmethod
+    def _star(rule: Rule, key: int, views) -> DataFrame:
+        """Each term that shares a key with others, and the smallest of them."""
+        rows = views[rule.body[0].predicate].select(F.col(f"c{key}").alias("k"), F.col(f"c{1 - key}").alias("s"))
+        low = rows.groupBy("k").agg(F.min("s").alias("o"), F.max("s").alias("high")).filter("o <> high").select("k", "o")
+        return rows.join(low, "k").filter("s <> o").select(F.lit(EQ).alias("p"), "s", "o")
+
     def _derived(self, rule: Rule, views) -> DataFrame:
         body = Body(self.spark, views, self.registry)
         for a in self._ordered(rule):
@@ -167,6 +185,10 @@ class Reckoner:
             if full or not r.body:
                 frames.append(self._derived(r, views))
                 continue
+            if (key := shared_key(r)) is not None:
+                if r.body[0].predicate in live:
+                    frames.append(self._star(r, key, views))
+                continue
             for k, a in enumerate(r.body):
                 if a.predicate in live and a.predicate != EQ:
                     marked = replace(a, predicate="__delta")
@@ -232,7 +254,7 @@ class Reckoner:
             total = total.union(delta)
             if out.rounds % CUT == 0:
                 total = materialize(total, "closure")
-            if total.count() > most:
+            if most is not None and total.count() > most:
                 out.complete, out.reason = False, f"more than {most} facts"
                 break
         out.facts = materialize(total.filter(F.col("p") != EQ), "closure")

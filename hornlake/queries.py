@@ -447,13 +447,17 @@ def affected_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ontology(spark: SparkSession, facts: DataFrame, text: str):
-    """The closure of rules of an ontology text over a table of facts (p, s, o)."""
+    """The closure of rules of an ontology text over a table of facts (p, s, o), complete or not at all."""
+    from .errors import IncompleteError
     from .ontology.compiler import compile_graph
     from .ontology.syntax import parse_ontology
     from .plans.closure import Reckoner
 
     compiled = compile_graph(parse_ontology(f"Namespace(ex = <urn:x:>) Ontology({text})"))
-    return Reckoner(spark, compiled, facts=50_000_000).closure(facts)
+    found = Reckoner(spark, compiled, facts=None).closure(facts)
+    if not found.complete:
+        raise IncompleteError(found.reason)
+    return found
 
 
 @frame("class_taxonomy", "select distinct p_partkey part, unnest(['Item', 'Part', case when p_size > 25 then 'Large' else 'Small' end]) class from part")

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from hornlake.errors import IncompleteError, InconsistentError, ParseError
 from hornlake.ontology.compiler import ProfileError, compile_graph
 from hornlake.ontology.syntax import parse_ontology
+from hornlake.plans.closure import Reckoner
+from hornlake.queries import _ontology
 from hornlake.reasoner import Reasoner
 from hornlake.sources.packages import PackageError, compile_package, dumps, loads
 from hornlake.sources.rdf import TYPE, parse_rdfxml, parse_turtle, read_ntriples, to_ntriples, to_turtle, write_ntriples
@@ -79,6 +81,22 @@ def test_witnesses_and_bounds(spark):
         endless.entails(x("a"), TYPE, x("Q"))
 
 
+def test_shared_keys_grow_with_their_rows(spark):
+    """60 copies are 3,540 ordered pairs; the bound leaves room for a star."""
+    facts = spark.createDataFrame([("urn:x:key", f"<urn:d:{k:02}>", f"<urn:k:{k // 60}>") for k in range(61)], "p string, s string, o string")
+    for text, turned in (("ObjectProperty(ex:key InverseFunctional)", facts), ("ObjectProperty(ex:key Functional)", facts.select("p", F.col("o").alias("s"), F.col("s").alias("o")))):
+        found = Reckoner(spark, compile_graph(parse_ontology(doc(text))), facts=500).closure(turned)
+        assert found.complete
+        assert {tuple(r) for r in found.aliases.collect()} == {(f"<urn:d:{k:02}>", "<urn:d:00>") for k in range(1, 60)}
+
+
+def test_queries_refuse_incomplete_closures(spark, monkeypatch):
+    monkeypatch.setattr(Reckoner.__init__, "__defaults__", (1000, 1_000_000, 2))
+    facts = spark.createDataFrame([("urn:x:P", "<urn:x:a>", None)], "p string, s string, o string")
+    with pytest.raises(IncompleteError):
+        _ontology(spark, facts, "SubClassOf(ex:P restriction(ex:q someValuesFrom(ex:P)))")
+
+
 def test_constructors(spark):
     r = Reasoner.from_text(
         spark,
