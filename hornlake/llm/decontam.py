@@ -3,8 +3,9 @@ r"""Benchmark decontamination with BM25 and block-max WAND (operator 10).
 The test items make an inverted index over word pairs. An item's weights are
 its BM25 weights divided by its own full score, so a passage that holds the
 whole item scores 1. Every training passage (``2 s`` words, a new one each ``s``
-words, s at least the longest item's length and at most ``STRIDE``) is a query;
-block-max WAND retrieves all items from ``THRESHOLD`` on. A passage whose sum of
+words) is a query; s is the length of the longest item of up to ``STRIDE`` words,
+and longer items are looked for in passages of their own, a class of items for
+each doubling of the length, so that every item fits into s. Block-max WAND retrieves all items from ``THRESHOLD`` on. A passage whose sum of
 term maxima stays below it has no pivot and is passed over. Then the item's
 question and answer must both overlap the passage: ``OVERLAP`` of the runs of
 three words of each.
@@ -13,7 +14,9 @@ Words are runs of \w in lower case. A question ends at the first line break, els
 before the last sentence; an item of one sentence is both question and answer.
 
 The index is told to all tasks in blocks of at most ``BLOCK_ITEMS`` items or
-``BLOCK_CHARS`` characters; a larger benchmark takes several passes.
+``BLOCK_CHARS`` characters; a larger benchmark takes several passes, and so does
+each class of long items. Frequencies, mean and longest lengths are the whole
+benchmark's.
 
 Cases: null and empty texts have no passage and items no match; repeated items
 match each for itself; a null doc_id is carried; repeated rows give repeated
@@ -63,32 +66,58 @@ def runs(ws: list[str], n: int = 3) -> set[tuple[str, ...]]:
     return {tuple(ws[k : k + n]) for k in range(len(ws) - n + 1)} if n else set()
 
 
+def pairs(ws: list[str]) -> Counter:
+    """Word pairs; an item of one word pairs it with itself."""
+    return Counter(zip(ws, ws[1:] or ws, strict=False))
+
+
+def length_class(n: int) -> int:
+    """0 up to ``STRIDE`` words, then one more for each doubling."""
+    return (-(-n // STRIDE) - 1).bit_length() if n else 0
+
+
+class Statistics:
+    """What the weights and passages of all items depend on."""
+
+    def __init__(self, texts: Iterable[str]):
+        self.items = total = 0
+        self.held_in: Counter = Counter()
+        self.longest: dict[int, int] = {}
+        for text in texts:
+            if ws := words(text):
+                c = pairs(ws)
+                self.items += 1
+                total += sum(c.values())
+                self.held_in.update(c.keys())
+                k = length_class(len(ws))
+                self.longest[k] = max(self.longest.get(k, 0), len(ws))
+        self.mean = total / max(1, self.items)
+
+
 class Index:
-    """BM25 over word pairs, with postings in blocks. items: (id, text)."""
+    """BM25 over word pairs, with postings in blocks. items: (id, text), of one class of lengths."""
 
-    def __init__(self, items: list[tuple[int | None, str]], threshold: float = THRESHOLD):
+    def __init__(self, items: list[tuple[int | None, str]], threshold: float = THRESHOLD, known: Statistics | None = None):
+        known = known or Statistics(text for _, text in items)
         self.threshold = threshold
         held = [(i, text, words(text)) for i, text in items]
         held = [x for x in held if x[2]]
         self.ids = [i for i, _, _ in held]
         self.asked = [tuple((n, runs(p, n)) for p in map(words, parts(text)) for n in [min(3, len(p))]) for _, text, _ in held]
-        self.stride = min(STRIDE, max([32, *(len(w) for _, _, w in held)]))
+        self.stride = max([32, *(known.longest[length_class(len(w))] for _, _, w in held)])
         self.vocabulary: dict[str, int] = {}
-        counted = []
         for _, _, ws in held:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in ws]
-            ids += ids[: len(ids) == 1]  # an item of one word pairs it with itself
-            counted.append(Counter(zip(ids, ids[1:], strict=False)))
+            for w in ws:
+                self.vocabulary.setdefault(w, len(self.vocabulary))
         size = max(1, len(self.vocabulary))
-        lengths = [sum(c.values()) for c in counted]
-        mean = sum(lengths) / max(1, len(lengths))
-        held_in = Counter(t for c in counted for t in c)
         postings: dict[int, list[tuple[int, float]]] = {}
-        for k, (c, length) in enumerate(zip(counted, lengths, strict=True)):
-            weight = {t: math.log(1 + (len(held) - held_in[t] + 0.5) / (held_in[t] + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean)) for t, tf in c.items()}
-            full = sum(weight.values()) * min(1.0, self.stride / length)
+        for k, (_, _, ws) in enumerate(held):
+            c = pairs(ws)
+            length = sum(c.values())
+            weight = {t: math.log(1 + (known.items - known.held_in[t] + 0.5) / (known.held_in[t] + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / known.mean)) for t, tf in c.items()}
+            full = sum(weight.values())
             for (a, b), w in weight.items():
-                postings.setdefault(a * size + b, []).append((k, w / full))
+                postings.setdefault(self.vocabulary[a] * size + self.vocabulary[b], []).append((k, w / full))
         self.size = size
         self.keys = np.array(sorted(postings), dtype=np.int64)
         #: per term: items, weights, and (last item, largest weight) of each block
@@ -193,12 +222,25 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
         yield [tuple(r) for r in block.orderBy("item_id", "text").collect()]
 
 
+def _indexes(benchmark: DataFrame, threshold: float) -> list[Index]:
+    """An index for each block and class of lengths; at least one."""
+    blocks = list(_blocks(benchmark))
+    known = Statistics(text for block in blocks for _, text in block)
+    out = []
+    for block in blocks:
+        classes: dict[int, list[tuple[int | None, str]]] = {}
+        for i, text in block:
+            classes.setdefault(length_class(len(words(text))), []).append((i, text))
+        out += [Index(classes[k], threshold, known) for k in sorted(classes)]
+    return out or [Index([], threshold, known)]
+
+
 def contaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """All columns of ``docs`` (but ``matches``) and ``matches``: the items each text holds."""
     docs = docs.drop("matches")
     names = docs.columns
     text_at = names.index("text")
-    indexes = [Index(block, threshold) for block in _blocks(benchmark)]
+    indexes = _indexes(benchmark, threshold)
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64()), ("start", pa.int64())]))
 
     def scan(docs: DataFrame, index: Index) -> DataFrame:

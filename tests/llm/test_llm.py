@@ -492,6 +492,27 @@ def test_index_blocks(spark, items, monkeypatch):
     assert set(got(decontam.leaks(df, bench), "doc_id", "item_id")) == {(k, k) for k, _ in items}
 
 
+def test_scores_do_not_depend_on_blocks(spark, monkeypatch):
+    texts = [f"{' '.join(f'u{k}x{j}' for j in range(20))} as all of them close" for k in range(60)]
+    bench = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    df = spark.createDataFrame([(k, " ".join(t.split()[5:])) for k, t in enumerate(texts)], "doc_id long, text string")
+    whole = got(decontam.leaks(df, bench), "doc_id", "item_id", "score")
+    monkeypatch.setattr(decontam, "BLOCK_ITEMS", 7)
+    assert whole and sorted(got(decontam.leaks(df, bench), "doc_id", "item_id", "score")) == sorted(whole)
+
+
+def test_long_items_are_found_at_any_offset(spark, items):
+    """Longer than two old passages, and longer than one at an offset that straddled two."""
+    rng = random.Random(17)
+    long = [(1000 + n, " ".join(f"q{n}x{rng.randrange(5000)}" for _ in range(n)) + ". " + " ".join(f"a{n}x{k}" for k in range(n))) for n in (450, 1500, 4000)]
+    bench = spark.createDataFrame([*items, *long], "item_id long, text string")
+    offsets = (0, 77, 500, 1023, 3001)
+    docs = [(10 * k + j, " ".join(["pad"] * at + [text] + ["pad"] * 2000)) for k, (_, text) in enumerate(long) for j, at in enumerate(offsets)]
+    docs += [(900, " ".join(long[1][1].split()[:1500])), (901, f"pad {items[0][1]} pad")]  # a question alone is no leak
+    expected = {(10 * k + j, i) for k, (i, _) in enumerate(long) for j in range(len(offsets))} | {(901, items[0][0])}
+    assert set(got(decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench), "doc_id", "item_id")) == expected
+
+
 # the pipeline
 
 
