@@ -161,7 +161,7 @@ def disclosing_terms(docs: DataFrame, reach: int = REACH, support: int = SUPPORT
     """(term, ratio): the share of its most revealed entity's information that a term gives, where it passes."""
     spark = docs.sparkSession
     met = _mentions(docs, reach).groupBy("entity", "term", "context").agg(F.sum("docs").alias("docs"))
-    pairs = met.groupBy("entity", "term").agg(F.count("*").alias("contexts"), F.sum("docs").alias("docs")).filter(F.col("contexts") >= support)
+    pairs = met.groupBy("entity", "term").agg(F.count("*").alias("contexts"), F.sum("docs").alias("docs")).filter((F.col("term") == "") | (F.col("contexts") >= support))
     pairs = materialize(pairs, "pii-pairs")
     candidates = pairs.filter("term <> ''")
     if candidates.isEmpty():

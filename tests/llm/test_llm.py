@@ -124,6 +124,16 @@ def test_disclosing_terms(spark, told):
     assert pii.disclosing_terms(copies).isEmpty()  # one surrounding only
 
 
+def test_disclosing_terms_below_a_letterhead(spark):
+    """The address first stands in the same letterhead everywhere; its later surroundings differ."""
+    rng = random.Random(4)
+    filler = [f"word{k}" for k in range(60)]
+    some = lambda n: " ".join(rng.sample(filler, n))
+    texts = [f"office spy@secret.org {'house ' * 12} {some(20)} Zanzibarman spy@secret.org {some(12)}" for _ in range(6)]
+    df = spark.createDataFrame(list(enumerate([*texts, *(some(20) for _ in range(80))])), "doc_id long, text string")
+    assert "zanzibarman" in {r.term for r in pii.disclosing_terms(df).collect()}
+
+
 # 2 fingerprints
 
 
