@@ -10,12 +10,12 @@ from .common import materialize
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, component) for every node of ``edges`` (u, v): component is the smallest node reachable.
 
-    Large and small stars by turns (Kiveris et al., 2014). A star's centre is a
-    partially aggregated minimum; rows are never gathered by node. Each round is
-    written to the shared folder, so a lost executor repeats one round at most.
+    Large and small stars by turns (Kiveris et al., 2014), until a round leaves
+    the edges as they were. A star's centre is a partially aggregated minimum;
+    rows are never gathered by node. Each round is written to the shared folder,
+    so a lost executor repeats one round at most.
     """
     now = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), name)
-    size = None
     while True:
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
@@ -23,8 +23,6 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         large = large.union(low.filter("m < u").select("u", F.col("m").alias("v"))).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
-        now = materialize(small, name)
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
-        if state == size:
+        before, now = now, materialize(small, name)
+        if before.count() == now.count() and now.join(before, ["u", "v"], "left_anti").isEmpty():
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v"), F.col("v"))).distinct()
-        size = state

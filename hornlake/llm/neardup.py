@@ -7,15 +7,22 @@ whose XOR population count estimates high similarities. Then:
 
 1. Star: in each band bucket every class pairs with the bucket's smallest id.
    Pairs pass the sketch, then the exact test on full sets. Components follow.
-2. Buckets that still hold several components are open: all outside a bucket's
-   largest component are compared with it and with each other in blocks of
-   ``BLOCK`` x ``BLOCK`` classes, sketch first, then exactly, skipping what is
-   connected; only edges of a spanning forest leave a block.
-
-So a bucket of near copies costs one pair a member, no group is listed as pairs
-and none is capped. A pair at the threshold shares no bucket with a chance of
-(1 - 0.75^ROWS)^BANDS = 6e-6. Hot classes and buckets only meet joins that
-Spark can split, and aggregates with partial sums.
+2. Buckets that still hold several components are open; their classes need
+   comparing among themselves. Two sets that meet the threshold share a shingle
+   among the first quarter of each, in any common order of shingles. The order
+   taken puts first what only one component holds, then what few classes hold,
+   so text that a bucket's classes merely have in common comes last and brings
+   no two together. Classes with a key shingle in common form a group, and each
+   pairs with the smallest id of its group, as in step 1.
+3. Groups that still hold several components are compared in blocks of
+   ``BLOCK`` x ``BLOCK`` narrow rows: different components, sizes, places of the
+   key and sketches must allow the threshold; what passes is tested exactly.
+
+So a bucket of near copies costs one pair a member, shared boilerplate costs a
+row a class, no group is listed as pairs and none is capped. A pair at the
+threshold shares no bucket with a chance of (1 - 0.75^ROWS)^BANDS = 6e-6. Hot
+classes, buckets and shingles only meet joins that Spark can split, and
+aggregates with partial sums.
 
 Cases: rows of one doc_id are one document; a null text or one without words
 has an empty set, no link and itself as component; rows with a null doc_id
@@ -30,16 +37,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import WordHash, lower_ascii, map_arrow, materialize, mix64, run_hashes, words_of
+from .common import map_arrow, materialize, mix64, run_hashes, words_in
 from .components import components
 
 SHINGLE = 5
 PERCENT = 75
 BANDS, ROWS = 32, 4
 SKETCH_BITS = 512
-#: Pairs whose estimate is lower than this aren't tested; five deviations below the threshold.
+#: Pairs whose estimate is lower than this aren't tested; more than five deviations below the threshold.
 ESTIMATE = 0.5
 BLOCK = 1024
 
@@ -49,39 +56,43 @@ _B = mix64(np.arange(1001, _SAMPLES + 1001, dtype=np.uint64))
 _WORDS = SKETCH_BITS // 64
 
 
-def shingle_set(text: str | None, hashes: WordHash) -> np.ndarray:
-    """Sorted distinct shingle hashes; fewer words than a shingle make one."""
-    words = words_of(lower_ascii(text)) if text else []
-    if not words:
-        return np.empty(0, dtype=np.uint64)
-    w = hashes.array(words)
-    if len(words) < SHINGLE:
-        return run_hashes(w, len(words)) + np.uint64(len(words))
-    return np.unique(run_hashes(w, SHINGLE))
+def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
+    """Per text, its sorted distinct shingle hashes; fewer words than a shingle make one."""
+    words = words_in(texts, lower=True)
+    runs = run_hashes(words.hashes, SHINGLE)
+    for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
+        if b - a >= SHINGLE:
+            yield np.unique(runs[a : b - SHINGLE + 1])
+        else:
+            yield run_hashes(words.hashes[a:b], b - a) + np.uint64(b - a) if b > a else np.empty(0, dtype=np.uint64)
 
 
 def minhash(shingles: np.ndarray) -> np.ndarray:
-    """The samples' minima, as uint32."""
-    out = np.full(_SAMPLES, 0xFFFFFFFF, dtype=np.uint64)
-    for at in range(0, len(shingles), 2048):
-        part = shingles[at : at + 2048, None] * _A + _B
-        np.minimum(out, (part >> np.uint64(32)).min(axis=0), out=out)
-    return out
+    """The samples' minima, as 32-bit values."""
+    low = np.full(_SAMPLES, 2**64 - 1, dtype=np.uint64)
+    for at in range(0, len(shingles), 512):
+        part = _A[:, None] * shingles[at : at + 512]
+        part += _B[:, None]
+        np.minimum(low, part.min(axis=1), out=low)
+    return low >> np.uint64(32)
 
 
 def band_keys(samples: np.ndarray) -> np.ndarray:
-    rows = samples.reshape(BANDS, ROWS)
-    total = np.arange(1, BANDS + 1, dtype=np.uint64) << np.uint64(40)
+    """A key for each band; a row a document."""
+    rows = samples.reshape(-1, BANDS, ROWS)
+    total = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) << np.uint64(40), rows.shape[:2])
     for k in range(ROWS):
-        total = mix64(total ^ rows[:, k])
+        total = mix64(total ^ rows[:, :, k])
     return total
 
 
 def odd_sketch(samples: np.ndarray) -> np.ndarray:
-    """Parity bitmap of the (position, minimum) pairs, as 64-bit words."""
+    """Parity bitmap of the (position, minimum) pairs, as 64-bit words; a row a document."""
+    samples = samples.reshape(-1, _SAMPLES)
     bit = mix64(samples ^ (np.arange(1, _SAMPLES + 1, dtype=np.uint64) << np.uint64(33))) % np.uint64(SKETCH_BITS)
-    parity = np.bincount(bit.astype(np.int64), minlength=SKETCH_BITS) & 1
-    return np.packbits(parity.astype(np.uint8)).view(np.uint64)
+    own = np.arange(len(samples))[:, None] * SKETCH_BITS
+    parity = np.bincount((own + bit.astype(np.int64)).ravel(), minlength=len(samples) * SKETCH_BITS) & 1
+    return np.packbits(parity.astype(np.uint8).reshape(-1, SKETCH_BITS), axis=1).view(np.uint64)
 
 
 def most_different(estimate: float = ESTIMATE) -> int:
@@ -89,85 +100,104 @@ def most_different(estimate: float = ESTIMATE) -> int:
     return math.floor(SKETCH_BITS / 2 * (1 - math.exp((estimate - 1) * 4 * _SAMPLES / SKETCH_BITS)))
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    """The exact test on sorted sets."""
-    small, large = min(len(a), len(b)), max(len(a), len(b))
-    if 100 * small < PERCENT * large:
-        return False
-    common = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * common >= PERCENT * (len(a) + len(b) - common)
+def _lists(table: np.ndarray) -> pa.Array:
+    """The rows of a table of 64-bit words as lists of long."""
+    at = np.arange(len(table) + 1, dtype=np.int32) * table.shape[1]
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(table.ravel().view(np.int64)))
 
 
 def _signatures(docs: DataFrame) -> DataFrame:
     schema = "doc_id long, n_shingles long, s1 long, s2 long, keys array<long>, sketch array<long>"
 
     def make():
-        hashes = WordHash()
-
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            n, s1, s2, keys, sketches = [], [], [], [], []
-            for text in batch.column(1).to_pylist():
-                shingles = shingle_set(text, hashes)
+            n, digests, samples = [], [], []
+            for shingles in shingle_sets(batch.column(1)):
                 n.append(len(shingles))
-                a, b = np.frombuffer(xxhash.xxh3_128_digest(shingles.tobytes()), dtype=np.int64)
-                s1.append(a)
-                s2.append(b)
-                if len(shingles):
-                    samples = minhash(shingles)
-                    keys.append(band_keys(samples).view(np.int64))
-                    sketches.append(odd_sketch(samples).view(np.int64))
-                else:
-                    keys.append(np.empty(0, dtype=np.int64))
-                    sketches.append(np.zeros(_WORDS, dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "s1", "s2", "keys", "sketch"])
+                digests.append(xxhash.xxh3_128_digest(shingles.tobytes()))
+                samples.append(minhash(shingles))
+            both = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
+            table = np.stack(samples)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), _lists(band_keys(table)), _lists(odd_sketch(table))], ["doc_id", "n_shingles", "s1", "s2", "keys", "sketch"])
 
         return step
 
-    return map_arrow(docs, make, schema)
+    return map_arrow(docs, make, schema, text=1)
 
 
 def _sets(docs: DataFrame) -> DataFrame:
     """(node, shingles) of the rows given; shingles as sorted (unsigned order) 64-bit words."""
 
     def make():
-        hashes = WordHash()
-
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            sets = [shingle_set(t, hashes).view(np.int64) for t in batch.column(1).to_pylist()]
+            sets = [s.view(np.int64) for s in shingle_sets(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
 
         return step
 
-    return map_arrow(docs, make, "node long, shingles array<long>")
+    return map_arrow(docs, make, "node long, shingles array<long>", text=1)
 
 
-def _block_edges(key, pdf):
-    """Edges of a spanning forest between the two sides of one group of an open bucket."""
-    import pandas as pd
+def _may_link(n_a: Column, n_b: Column, shared: Column) -> Column:
+    """Whether sets of these sizes with at most ``shared`` in common can meet the threshold."""
+    return (100 + PERCENT) * shared >= PERCENT * (n_a + n_b)
 
-    _, among, i, j = key
-    nodes, labels = pdf["node"].to_numpy(), pdf["label"].to_numpy()
-    sketches = np.stack(pdf["sketch"].to_numpy()).astype(np.int64).view(np.uint64).reshape(len(pdf), -1)
-    sets = [np.asarray(s, dtype=np.int64).view(np.uint64) for s in pdf["shingles"]]
-    block, rest = pdf["block"].to_numpy(), pdf["rest"].to_numpy()
-    parent = {x: x for x in labels.tolist()}
 
-    def root(x):
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
+def _linked(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+    """Of (node, hub) those that meet the threshold, as edges (u, v), by their full sets."""
+    common = F.size(F.array_intersect("a", "b"))
+    edges = (
+        pairs.join(sets.select("node", F.col("shingles").alias("a")), "node")
+        .join(sets.select(F.col("node").alias("hub"), F.col("shingles").alias("b")), "hub")
+        .filter(100 * common >= PERCENT * (F.size("a") + F.size("b") - common))
+        .select(F.col("node").alias("u"), F.col("hub").alias("v"))
+    )
+    return materialize(edges, name)
+
+
+def _close(pairs: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
+    """Of (node, hub) those whose sizes and sketches allow the threshold."""
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
+    differ = sum((F.bit_count(F.col("sketch_node")[k].bitwiseXOR(F.col("sketch_hub")[k])) for k in range(_WORDS)), F.lit(0))
+    close = pairs.join(side("node"), "node").join(side("hub"), "hub").filter((differ <= most_different()) & _may_link(F.col("n_node"), F.col("n_hub"), F.least("n_node", "n_hub")))
+    return materialize(close.select("node", "hub"), name)  # no distinct after it: that would keep Spark from splitting a hot hub
+
+
+def _open_nodes(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, label) of the classes in buckets that hold several components."""
+    labelled = buckets.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
+    several = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
+    return labelled.join(several, "key").select("node", "label").distinct()
+
 
+def _prefix_keys(members: DataFrame) -> DataFrame:
+    """(shingle, node, label, n, rest): the key shingles of each class, and how many of its shingles stand from there on.
+
+    members: node, label, n, shingles.
+    """
+    each = members.select("node", "label", "n", F.explode("shingles").alias("shingle"))
+    bridges = each.groupBy("shingle").agg(F.count("*").alias("f"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("shingle", "f")
+    own = each.join(bridges, "shingle").groupBy("node").agg(F.first("label").alias("label"), F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("f", "shingle"))).alias("own"))
+    alone = F.col("n") - F.size("own")
+    prefix = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
+    keys = own.filter(alone < prefix).select("node", "label", "n", alone.alias("alone"), F.posexplode(F.slice("own", F.lit(1), (prefix - alone).cast("int"))).alias("at", "own"))
+    return keys.select("own.shingle", "node", "label", "n", (F.col("n") - F.col("alone") - F.col("at")).alias("rest"))
+
+
+def _block_pairs(key, pdf):
+    """Pairs between the two sides of one block that may meet the threshold."""
+    import pandas as pd
+
+    _, i, j = key
+    node, label, n, rest, block = (pdf[c].to_numpy() for c in ("node", "label", "n", "rest", "block"))
+    sketches = np.stack(pdf["sketch"].to_numpy()).astype(np.int64).view(np.uint64).reshape(len(pdf), -1)
     most, out = most_different(), []
-    left, right = (np.nonzero(block == i)[0], np.nonzero(block == j)[0]) if among else (np.nonzero(rest)[0], np.nonzero(~rest)[0])
+    left, right = np.nonzero(block == i)[0], np.nonzero(block == j)[0]
     for a in left.tolist():
-        differ = np.bitwise_count(sketches[right] ^ sketches[a]).sum(axis=1)
-        for b in right[(differ <= most) & (labels[right] != labels[a]) & ((right > a) | (not among) | (i != j))].tolist():
-            x, y = root(labels[a]), root(labels[b])
-            if x != y and similar(sets[a], sets[b]):
-                parent[x] = y
-                out.append((nodes[a], nodes[b]))
-    return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+        b = right[(label[right] != label[a]) & ((100 + PERCENT) * np.minimum(rest[right], rest[a]) >= PERCENT * (n[right] + n[a])) & ((right > a) | (i != j))]
+        b = b[np.bitwise_count(sketches[b] ^ sketches[a]).sum(axis=1) <= most]
+        out += [(max(node[a], x), min(node[a], x)) for x in node[b].tolist()]
+    return pd.DataFrame(out, columns=["node", "hub"], dtype="int64")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -177,55 +207,40 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = rows.filter("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
     nodes = materialize(classes, "classes")
 
-    buckets = nodes.select("node", F.explode("keys").alias("key"))
-    heads = buckets.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("members"), F.sum(F.xxhash64("node") % 1_000_003).alias("content")).filter("members > 1")
-    member = buckets.join(heads.select("key", "hub"), "key")
-    pairs = member.filter("node <> hub").select("node", "hub").distinct()
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
-    differ = sum((F.bit_count(F.col("sketch_node")[k].bitwiseXOR(F.col("sketch_hub")[k])) for k in range(_WORDS)), F.lit(0))
-    close = pairs.join(side("node"), "node").join(side("hub"), "hub").filter((differ <= most_different()) & (100 * F.least("n_node", "n_hub") >= PERCENT * F.greatest("n_node", "n_hub")))
-    close = materialize(close.select("node", "hub"), "pairs")  # no distinct here or below: it would keep Spark from splitting a hot hub
-
-    def sets_of(ids: DataFrame) -> DataFrame:
-        return _sets(docs.join(ids, docs["doc_id"] == ids["id"], "left_semi"))
+    def sets_of(ids: DataFrame, name: str) -> DataFrame:
+        return materialize(_sets(docs.join(ids, docs["doc_id"] == ids["id"], "left_semi")), name)
 
+    # 1. stars of band buckets
+    buckets = nodes.select("node", F.explode("keys").alias("key"))
+    heads = buckets.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("members")).filter("members > 1")
+    pairs = buckets.join(heads.select("key", "hub"), "key").filter("node <> hub").select("node", "hub").distinct()
+    close = _close(pairs, nodes, "pairs")
     wanted = close.select(F.col("node").alias("id")).union(close.select(F.col("hub").alias("id"))).distinct()
-    sets = materialize(sets_of(wanted), "sets")
-    common = F.size(F.array_intersect("a", "b"))
-    edges = (
-        close.join(sets.select("node", F.col("shingles").alias("a")), "node")
-        .join(sets.select(F.col("node").alias("hub"), F.col("shingles").alias("b")), "hub")
-        .filter(100 * common >= PERCENT * (F.size("a") + F.size("b") - common))
-        .select(F.col("node").alias("u"), F.col("hub").alias("v"))
-    )
-    edges = materialize(edges, "edges")
+    edges = _linked(close, sets_of(wanted, "sets"), "edges")
     labels = materialize(components(edges, "round1"), "labels")
 
-    # buckets of two are settled; of equal buckets in several bands one is looked at
-    several = heads.filter("members > 2").dropDuplicates(["hub", "members", "content"]).select("key", "members")
-    labelled = buckets.join(several, "key").join(labels, "node", "left").select("key", "node", "members", F.coalesce("component", "node").alias("label"))
-    # of an open bucket, the largest component needs no comparison within itself
-    sizes = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
-    open_ = sizes.groupBy("key").agg(F.max_by("label", "n").alias("base"), F.max("n").alias("in_base"), F.sum("n").alias("all"), F.count("*").alias("labels")).filter("labels > 1")
-    rest = F.col("label") != F.col("base")
-    blocks, rests = F.ceil(F.col("in_base") / BLOCK), F.ceil((F.col("all") - F.col("in_base")) / BLOCK)
-    still = labelled.join(open_, "key").select("key", "node", "label", rest.alias("rest"), blocks.alias("blocks"), rests.alias("rests"))
-    still = materialize(still.withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("rest"), F.col("rests")).otherwise(F.col("blocks")))), "open")
-    if not still.isEmpty():
-        more = materialize(sets_of(still.select(F.col("node").alias("id")).distinct()), "more-sets")
-        own, upto = F.col("block"), lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
-        group = lambda among, i, j: F.struct(F.lit(among).alias("among"), i.alias("i"), j.alias("j"))
-        across = F.when(F.col("rest"), F.transform(upto("blocks"), lambda b: group(False, b, own))).otherwise(F.transform(upto("rests"), lambda c: group(False, own, c)))
-        within = F.when(F.col("rest"), F.transform(upto("rests"), lambda c: group(True, F.least(own, c), F.greatest(own, c)))).otherwise(F.slice(across, 1, 0))
-        dealt = (
-            still.withColumn("g", F.explode(F.concat(across, within)))
-            .join(nodes.select("node", "sketch"), "node")
-            .join(more, "node")
-            .select("key", "g.among", "g.i", "g.j", "node", "label", "rest", "block", "sketch", "shingles")
-        )
-        found = dealt.groupBy("key", "among", "i", "j").applyInPandas(_block_edges, "u long, v long")
-        edges = edges.union(materialize(found.distinct(), "more-edges"))
-        labels = components(edges, "round2")
+    # 2. stars of key shingles, among the classes of open buckets; buckets of two are settled
+    members = materialize(_open_nodes(buckets.join(heads.filter("members > 2").select("key"), "key"), labels), "open")
+    if not members.isEmpty():
+        sets = sets_of(members.select(F.col("node").alias("id")), "open-sets")
+        keys = materialize(_prefix_keys(members.join(sets, "node").withColumn("n", F.size("shingles").cast("long"))), "prefix-keys")
+        heads = keys.groupBy("shingle").agg(F.min(F.struct("node", "label", "n", "rest")).alias("h"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
+        met = keys.join(heads.select("shingle", "h"), "shingle").filter((F.col("label") != F.col("h.label")) & _may_link(F.col("n"), F.col("h.n"), F.least("rest", "h.rest")))
+        edges = edges.union(_linked(_close(met.select("node", F.col("h.node").alias("hub")).distinct(), nodes, "open-pairs"), sets, "open-edges"))
+        labels = materialize(components(edges, "round2"), "labels")
+
+        # 3. blocks of what is still apart
+        keys = keys.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("component", "node"))
+        apart = keys.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members")).filter("lo <> hi")
+        still = keys.join(apart, "shingle").withColumn("blocks", F.ceil(F.col("members") / BLOCK))
+        still = materialize(still.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).select("shingle", "node", "label", "n", "rest", "block", "blocks"), "apart")
+        if not still.isEmpty():
+            group = lambda c: F.struct(F.least("block", c).alias("i"), F.greatest("block", c).alias("j"))
+            dealt = still.withColumn("g", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), group))).join(nodes.select("node", "sketch"), "node")
+            found = dealt.select("shingle", "g.i", "g.j", "node", "label", "n", "rest", "block", "sketch").groupBy("shingle", "i", "j").applyInPandas(_block_pairs, "node long, hub long")
+            found = materialize(found.distinct(), "block-pairs")
+            edges = edges.union(_linked(found, sets, "block-edges"))
+            labels = components(edges, "round3")
 
     by_class = nodes.join(labels, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("component_id"))
     out = rows.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("s1")).alias("s1"), "s2").join(by_class, ["s1", "s2"], "left")

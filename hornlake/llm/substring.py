@@ -5,20 +5,22 @@ smallest hash of the ``MINI`` consecutive words inside it. Consecutive windows
 with one minimiser form a super-k-mer. First its place alone is noted (narrow
 rows); where a minimiser occurs in several documents, the super-k-mer travels
 as one packed string to the minimiser's bucket. There the windows of the
-distinct strings are sorted, so that equal ones stand together and the smallest
-doc_id of each is exact.
+distinct strings are sorted by hash, so that equal ones stand together, and
+compared byte by byte: the smallest doc_id of each is exact.
 
 A document other than the smallest one that holds a packed string loses it as
 a whole, so a bucket only reports, per string, that smallest id and which of
 its windows an even smaller document holds. Reports meet the places in a join
-Spark can split. A string's id is its minimiser with a hash of its words.
+Spark can split. A string's id is its minimiser with a hash of its words (128
+bits); two different strings with one id would be an error, not a loss.
 
 Hot groups: a task sends a string again only for a smaller document or, once,
 as a mark that it repeats, so copies don't pile up in a bucket. Minimisers under
-which more than ``hot_strings`` different strings lie (such as those of a passage
-that many documents share) are told to the tasks, at most ``HOT_KEYS`` of them (the
-limit rises with the table); their windows travel one by one and are dealt by
-the window itself.
+which more than ``hot_strings`` different strings lie (such as those at the ends
+of a passage that many documents share) are split: each of their windows
+becomes a string of its own, dealt by its own hash, where again only those that
+several documents hold travel. So a bucket has at most ``hot_strings`` strings
+at any size of the table; which minimisers are hot is a table that is joined.
 
 Cases: null and empty texts and those shorter than a window lose nothing; rows
 of one doc_id never remove from each other; rows with a null doc_id neither
@@ -33,12 +35,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import WordHash, map_arrow, materialize, mix64, run_hashes, words_of
+from .common import map_arrow, materialize, mix64, powers, run_hashes, words_in
 
 WINDOW = 50
 MINI = 8
-HOT_STRINGS = 20_000
-HOT_KEYS = 100_000
+HOT_STRINGS = 2_000
 #: Strings a task remembers having sent.
 MEMO = 200_000
 _STEP = 0xD6E8FEB86659FD93
@@ -57,21 +58,12 @@ def minimisers(words: np.ndarray, window: int = WINDOW, mini: int = MINI) -> np.
     return np.minimum(low[: len(low) - rest], low[rest:]) if rest else low
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
 def super_kmers(words: np.ndarray, window: int = WINDOW, mini: int = MINI) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(minimiser, string id, first window, windows) of each run of windows with one minimiser."""
     low = minimisers(words, window, mini)
     first = np.nonzero(np.concatenate(([True], low[1:] != low[:-1])))[0]
     count = np.diff(np.append(first, len(low)))
-    n = len(words)
-    sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(words * _powers(_STEP, n), dtype=np.uint64)))
-    sid = mix64((sums[first + count + window - 1] - sums[first]) * _powers(_BACK, n)[first] + count.astype(np.uint64))
-    return low[first], sid, first, count
+    return low[first], _ids(words, first, count, window), first, count
 
 
 def _batch(columns: list, schema: str) -> pa.RecordBatch:
@@ -79,76 +71,125 @@ def _batch(columns: list, schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names)
 
 
+def _ids(words: np.ndarray, first: np.ndarray, count: np.ndarray, window: int) -> np.ndarray:
+    """Hashes of the words of runs of ``count`` windows from ``first`` on."""
+    n = len(words)
+    sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(words * powers(_STEP, n), dtype=np.uint64)))
+    return mix64((sums[first + count + window - 1] - sums[first]) * powers(_BACK, n)[first] + count.astype(np.uint64))
+
+
+def _columns(parts: list[tuple], schema: str) -> Iterator[pa.RecordBatch]:
+    if parts:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], [c.split()[0] for c in schema.split(", ")])
+
+
 def places_of(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Where the super-k-mers of ``docs`` (doc_id, text_id, text) lie."""
 
     def make():
-        hashes = WordHash()
-
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            found = []
-            for doc, text_id, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                words = words_of(text)
-                if doc is not None and len(words) >= window:
-                    low, sid, first, count = super_kmers(hashes.array(words), window)
+            words, found = words_in(batch.column(2)), []
+            for k, (doc, text_id) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(2)), strict=True)):
+                own = words.hashes[words.first[k] : words.first[k + 1]]
+                if doc is not None and len(own) >= window:
+                    low, sid, first, count = super_kmers(own, window)
                     found.append((low.view(np.int64), sid.view(np.int64), np.full(len(low), doc), np.full(len(low), text_id), first.astype(np.int32), count.astype(np.int32)))
-            if found:
-                yield _batch([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], _PLACES)
+            yield from _columns(found, _PLACES)
+
+        return step
+
+    return map_arrow(docs, make, _PLACES, text=2)
+
+
+def _single_windows(held: DataFrame, window: int) -> DataFrame:
+    """The windows of the super-k-mers wanted as places of their own, with the window's hash for a minimiser.
+
+    held: doc_id, text_id, text, wanted (start, windows).
+    """
+
+    def make():
+        def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            words, found = words_in(batch.column(2)), []
+            for k, (doc, text_id, wanted) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 3)), strict=True)):
+                own = words.hashes[words.first[k] : words.first[k + 1]]
+                at = np.unique(np.concatenate([np.arange(w["start"], w["start"] + w["windows"]) for w in wanted]))
+                one = np.ones(len(at), dtype=np.int32)
+                found.append((run_hashes(own, window)[at].view(np.int64), _ids(own, at, one, window).view(np.int64), np.full(len(at), doc), np.full(len(at), text_id), at.astype(np.int32), one))
+            yield from _columns(found, _PLACES)
 
         return step
 
-    return map_arrow(docs, make, _PLACES)
+    return map_arrow(held, make, _PLACES, text=2)
 
 
-def _strings(docs: DataFrame, hot: frozenset[int], window: int, packed: bool) -> DataFrame:
-    """Packed strings of the super-k-mers wanted; for ``hot`` minimisers each window by itself.
+def _strings(held: DataFrame, window: int) -> DataFrame:
+    """Packed strings of the super-k-mers wanted; what a task has sent already stays away.
 
-    docs: doc_id, text_id, text, wanted (mini, sid, start, windows). What a task has
-    sent already stays away. Without ``packed``: the places of the hot windows.
+    held: doc_id, text_id, text, wanted (mini, sid, start, windows).
     """
-    schema = "mini long, sid long, doc_id long, packed string" if packed else _PLACES
 
     def make():
-        hashes = WordHash()
-        sent: dict[tuple[int, int], list] = {}
+        sent: dict[int, int] = {}  # a string's id -> twice the smallest document, and one if a mark has been sent
 
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            rows: list[tuple] = []
-            for doc, text_id, text, wanted in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                words = words_of(text)
-                alone = None
-                runs = []
+            words, rows = words_in(batch.column(2)), []
+            for k, (doc, wanted) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 3)), strict=True)):
+                base = int(words.first[k])
                 for w in wanted:
-                    if w["mini"] not in hot:
-                        runs.append((w["mini"], w["sid"], w["start"], w["windows"]))
-                        continue
-                    if alone is None:
-                        alone = (run_hashes(hashes.array(words), window) | np.uint64(1)).view(np.int64)
-                    for at in range(w["start"], w["start"] + w["windows"]):
-                        one = int(alone[at])
-                        runs.append((one, 0, at, 1))
-                        if not packed:
-                            rows.append((one, 0, doc, text_id, at, 1))
-                for mini, sid, at, n in runs if packed else ():
-                    known = sent.get((mini, sid))
-                    string = None
-                    if known is None or doc < known[0]:
+                    mini, sid, at = w["mini"], w["sid"], base + w["start"]
+                    name = (mini << 64) + sid
+                    known, packed = sent.get(name), None
+                    if known is None or doc < known >> 1:
                         if known is None and len(sent) >= MEMO:
                             sent.clear()
-                        sent[mini, sid] = [doc, False]
-                        string = " ".join(words[at : at + n + window - 1])
-                    elif doc == known[0] or known[1]:
+                        sent[name] = 2 * doc
+                        packed = words.packed(at, at + w["windows"] + window - 1)
+                    elif doc == known >> 1 or known & 1:
                         continue
                     else:
-                        known[1] = True
-                    rows.append((mini, sid, doc, string))
+                        sent[name] = known | 1
+                    rows.append((mini, sid, doc, packed))
             if rows:
-                kinds = [pa.int64()] * 3 + ([pa.string()] if packed else [pa.int64(), pa.int32(), pa.int32()])
-                yield _batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], schema)
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), [pa.int64()] * 3 + [pa.binary()], strict=True)], ["mini", "sid", "doc_id", "packed"])
 
         return step
 
-    return map_arrow(docs, make, schema)
+    return map_arrow(held, make, "mini long, sid long, doc_id long, packed binary", text=2)
+
+
+def _repeats(packed: list[bytes], docs: list[int], window: int) -> list[list[int]]:
+    """Per string, its windows that a string of a smaller document holds. docs: a smallest document for each string."""
+    words = words_in(pa.array(packed, pa.binary()))
+    count = np.maximum(0, np.diff(words.first) - window + 1)
+    string = np.repeat(np.arange(len(packed)), count)
+    own = np.arange(len(string)) - np.repeat(np.cumsum(count) - count, count)
+    at = words.first[string] + own  # a window's first word
+    key, doc = run_hashes(words.hashes, window)[at], np.asarray(docs, dtype=np.int64)[string]
+    order = np.lexsort((doc, key))
+    start = np.concatenate(([True], key[order][1:] != key[order][:-1])) if len(order) else np.empty(0, dtype=bool)
+    group = np.cumsum(start) - 1
+    first = order[np.flatnonzero(start)]
+    data = words.data.tobytes()
+    text = lambda x: data[words.starts[at[x]] : words.ends[at[x] + window - 1]]
+    found: list[list[int]] = [[] for _ in packed]
+    clashing: set[int] = set()
+    hits = np.flatnonzero(doc[order] > doc[first][group]).tolist() if len(order) else []
+    for h in hits:
+        x, g = int(order[h]), int(group[h])
+        if text(x) != text(first[g]):
+            clashing.add(g)
+        elif g not in clashing:
+            found[string[x]].append(int(own[x]))
+    for g in clashing:  # different windows with one hash: told apart by their words
+        members, low = order[group == g].tolist(), {}
+        for x in members:  # in order of documents
+            low.setdefault(text(x), doc[x])
+        for x in members:
+            place = int(own[x])
+            hit, listed = doc[x] > low[text(x)], place in found[string[x]]
+            if hit != listed:
+                (found[string[x]].append if hit else found[string[x]].remove)(place)
+    return found
 
 
 def _count_bucket(rows: list[tuple], window: int) -> Iterator[tuple]:
@@ -158,32 +199,16 @@ def _count_bucket(rows: list[tuple], window: int) -> Iterator[tuple]:
     """
     low: dict[int, int] = {}
     several: set[int] = set()
-    text: dict[int, str] = {}
+    text: dict[int, bytes] = {}
     for sid, doc, packed in rows:
-        if sid in low and low[sid] != doc:
+        if low.setdefault(sid, doc) != doc:
             several.add(sid)
             low[sid] = min(low[sid], doc)
-        else:
-            low.setdefault(sid, doc)
-        if packed is not None:
-            text[sid] = packed
+        if packed is not None and text.setdefault(sid, packed) != packed:
+            raise ArithmeticError("two strings share one id")
     ranges: dict[int, list] = {}
     if len(set(low.values())) > 1:
-        windows = []
-        for sid, packed in text.items():
-            words = packed.split(" ")
-            ends = np.cumsum([len(w) + 1 for w in words])
-            starts = np.concatenate(([0], ends[:-1])).tolist()
-            ends = ends.tolist()
-            own = low[sid]
-            windows += [(packed[starts[k] : ends[k + window - 1] - 1], own, sid, k) for k in range(len(words) - window + 1)]
-        windows.sort()
-        first, smallest = None, 0
-        for string, own, sid, k in windows:
-            if string != first:
-                first, smallest = string, own
-            elif own > smallest:
-                ranges.setdefault(sid, []).append(k)
+        ranges = dict(zip(text, _repeats(list(text.values()), [low[s] for s in text], window), strict=True))
     for sid, own in low.items():
         hit = sorted(ranges.get(sid, ()))
         if sid in several or hit:
@@ -209,7 +234,7 @@ def _buckets(strings: DataFrame, window: int) -> DataFrame:
 
         def flush():
             kinds = [pa.int64()] * 3 + [pa.list_(pa.list_(pa.int32()))]
-            return _batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], schema)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["mini", "sid", "low", "ranges"])
 
         for batch in batches:
             for m, *row in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
@@ -227,15 +252,30 @@ def _buckets(strings: DataFrame, window: int) -> DataFrame:
     return strings.repartition("mini").sortWithinPartitions("mini").mapInArrow(run, schema)
 
 
-def _hot(repeated: DataFrame, places: DataFrame, hot_strings: int) -> frozenset[int]:
-    """Minimisers with more different strings than the limit; at most HOT_KEYS."""
-    total = repeated.agg(F.sum("n")).first()[0] or 0
-    limit = max(hot_strings, total // HOT_KEYS)
-    crowded = repeated.filter(F.col("n") > limit).select("mini")  # fewer than HOT_KEYS: each has more than a HOT_KEYS-th of all rows
-    if crowded.isEmpty():
-        return frozenset()
-    kinds = places.join(F.broadcast(crowded), "mini").groupBy("mini", "sid").agg(F.lit(1)).groupBy("mini").agg(F.count("*").alias("n"))
-    return frozenset(r["mini"] for r in kinds.filter(F.col("n") > limit).collect())
+def _grouped(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """doc_id, text_id, text and the places ``wanted`` in it."""
+    by_doc = places.groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("mini", "sid", "start", "windows")).alias("wanted"))
+    return docs.join(by_doc, ["doc_id", "text_id"]).select("doc_id", "text_id", "text", "wanted")
+
+
+def _repeated(places: DataFrame) -> DataFrame:
+    """(mini, n): minimisers that several documents have, and how often they occur."""
+    seen = places.groupBy("mini").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n"))
+    return seen.filter("lo <> hi").select("mini", "n")
+
+
+def _wanted(docs: DataFrame, places: DataFrame, window: int, hot_strings: int) -> DataFrame:
+    """The places whose strings travel: those of repeated minimisers; of hot ones the repeated single windows."""
+    repeated = materialize(_repeated(places), "repeated")
+    crowded = repeated.filter(F.col("n") > hot_strings).select("mini")
+    if not crowded.isEmpty():
+        kinds = places.join(crowded, "mini").groupBy("mini", "sid").agg(F.lit(1)).groupBy("mini").agg(F.count("*").alias("kinds"))
+        hot = materialize(kinds.filter(F.col("kinds") > hot_strings).select("mini"), "hot")
+        if not hot.isEmpty():
+            single = materialize(_single_windows(_grouped(docs, places.join(hot, "mini", "left_semi")), window), "windows")
+            cold = places.join(repeated.select("mini").join(hot, "mini", "left_anti"), "mini")
+            return cold.unionByName(single.join(_repeated(single).select("mini"), "mini"))
+    return places.join(repeated.select("mini"), "mini")
 
 
 def removed_ranges(docs: DataFrame, window: int = WINDOW, hot_strings: int = HOT_STRINGS) -> DataFrame:
@@ -243,17 +283,8 @@ def removed_ranges(docs: DataFrame, window: int = WINDOW, hot_strings: int = HOT
 
     docs: doc_id, text_id, text.
     """
-    places = materialize(places_of(docs, window), "places")
-    seen = places.groupBy("mini").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n"))
-    repeated = materialize(seen.filter("lo <> hi").select("mini", "n"), "repeated")
-    hot = _hot(repeated, places, hot_strings)
-    wanted = materialize(places.join(repeated.select("mini"), "mini"), "wanted")
-    by_doc = wanted.groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("mini", "sid", "start", "windows")).alias("wanted"))
-    held = docs.join(by_doc, ["doc_id", "text_id"]).select("doc_id", "text_id", "text", "wanted")
-    reports = _buckets(_strings(held, hot, window, True), window)
-    if hot:
-        known = docs.sparkSession.createDataFrame([(m,) for m in sorted(hot)], "mini long")  # at most HOT_KEYS
-        wanted = wanted.join(F.broadcast(known), "mini", "left_anti").union(_strings(held, hot, window, False))
+    wanted = materialize(_wanted(docs, materialize(places_of(docs, window), "places"), window, hot_strings), "wanted")
+    reports = _buckets(_strings(_grouped(docs, wanted), window), window)
     met = wanted.join(reports, ["mini", "sid"])
     own = F.transform("ranges", lambda r: F.struct((F.col("start") + r[0]).alias("a"), (F.col("start") + r[1] + (window - 1)).alias("b")))
     whole = F.array(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("windows") + (window - 1)).alias("b")))
@@ -268,21 +299,22 @@ def keep_unique(docs: DataFrame, window: int = WINDOW, hot_strings: int = HOT_ST
 
     def make():
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            n, gone, kept = [], [], []
-            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                words = words_of(text)
-                n.append(len(words))
-                if spans:
-                    drop = np.zeros(len(words) + 1, dtype=np.int64)
-                    for s in spans:
-                        drop[s["a"]] += 1
-                        drop[s["b"]] -= 1
-                    words = [w for w, d in zip(words, np.cumsum(drop).tolist(), strict=False) if not d]
-                gone.append(n[-1] - len(words))
-                kept.append(" ".join(words))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
+            words, gone, kept = words_in(batch.column(1)), [], []
+            n = np.diff(words.first)
+            for k, spans in enumerate(batch.column(2).to_pylist()):
+                base, own = int(words.first[k]), int(n[k])
+                drop = np.zeros(own + 2, dtype=np.int64)
+                drop[own] = 1
+                for s in spans or ():
+                    drop[s["a"]] += 1
+                    drop[s["b"]] -= 1
+                held = np.cumsum(drop[: own + 1]) == 0
+                edge = np.flatnonzero(np.diff(np.concatenate(([False], held))))  # where runs of kept words start and end, by turns
+                kept.append(b" ".join(words.packed(base + a, base + b) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)))
+                gone.append(own - int(held.sum()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
 
         return step
 
     joined = docs.join(ranges, ["doc_id", "text_id"], "left").select("doc_id", "text", "ranges")
-    return map_arrow(joined, make, "doc_id long, n_words long, n_removed long, kept_text string")
+    return map_arrow(joined, make, "doc_id long, n_words long, n_removed long, kept_text string", text=1)
