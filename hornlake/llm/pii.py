@@ -1,7 +1,9 @@
 r"""Information-theoretic sanitisation of personal data (operator 1).
 
-Base detectors find e-mail addresses, IPs, card and phone numbers; each
-distinct value is a protected entity. Corpus co-occurrence then estimates how
+Base detectors find e-mail addresses, IPs, card and phone numbers. Protected
+entities are each distinct value, its class (mail domain, first half of an IP,
+first four digits of a card, first digits of a phone number) and its kind.
+Corpus co-occurrence then estimates how
 strongly terms reveal entities (Sanchez and Batet, 2016): with documents as
 units, IC(e) = log2(N / n_e) and PMI(e, t) = log2(N n_et / (n_e n_t)), n_et counting
 documents with t within ``REACH`` words of e. A term discloses e from
@@ -10,10 +12,11 @@ PMI / IC >= ``DISCLOSURE`` on, if at least ``SUPPORT`` different surroundings ho
 spans of kind ``term`` wherever they occur: removed if they reveal all of e
 (ratio 1, within 1e-9), else generalised to the shape of the word.
 
-Counts cover the whole corpus: per task and batch first, then summed. Words are
-counted only if a candidate exists. Up to ``TOLD`` disclosing terms (64
-characters each, so at most some MB) are told to the tasks; beyond that the
-terms meet the documents' words in a join.
+A term is a run of three or more letters and digits, each word lower-cased by
+itself. Counts cover the whole corpus: per task and batch first, then summed.
+Up to ``TOLD`` disclosing terms of together ``TOLD_CHARS`` characters (some MB) are
+told to the tasks; beyond that each text's terms, found by the same code, meet
+the disclosing ones in a join by the text's SHA-256.
 
 Cases: a null text counts as empty; digests of no span are the SHA-256 of an
 empty string; spans of different kinds may overlap, and a term that touches a
@@ -23,6 +26,7 @@ repeated rows give repeated rows; other columns are ignored or passed on.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -31,14 +35,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import map_arrow, materialize
+from .common import fresh, map_arrow, materialize
 
 KINDS = ("email", "ip", "card", "phone", "term")
 REACH = 12
-SUPPORT = 3
+SUPPORT = 2
 DISCLOSURE = 0.8
-TOLD = 100_000
-LONGEST = 64
+TOLD, TOLD_CHARS = 100_000, 2_000_000
 
 # Possessive runs and look-behinds keep these linear on any text; what they find is what
 # the plain forms find: [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+ and so on.
@@ -89,18 +92,56 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def entity(text: str, kind: int, start: int, end: int) -> str:
-    """The protected entity a span stands for."""
-    value = text[start:end]
-    return f"{KINDS[kind]}:{value.lower() if kind == 0 else value if kind == 1 else _NOT_DIGIT.sub('', value)}"
+def entities(text: str, kind: int, start: int, end: int) -> list[str]:
+    """The protected entities a span stands for: the value, its class and its kind."""
+    value, name = text[start:end], KINDS[kind]
+    if kind == 0:
+        value = value.lower()
+        of = value.rpartition("@")[2]
+    elif kind == 1:
+        of = ".".join(value.split(".")[:2])
+    else:
+        value = _NOT_DIGIT.sub("", value)
+        of = value[:4]
+    return [f"{name}:{value}", f"{name} of {of}", name]
 
 
-def _surroundings(text: str, start: int, end: int, reach: int) -> list[str]:
-    """Up to ``reach`` terms on either side, whatever spaces lie between."""
-    wide = 40 * reach
-    before = [m.lower() for m in _TERM.findall(text[max(0, start - wide) : start])][-reach:]
-    after = [m.lower() for m in _TERM.findall(text[end : end + wide])][:reach]
-    return [t for t in before + after if len(t) <= LONGEST]
+def terms_of(text: str) -> set[str]:
+    return {t.lower() for t in set(_TERM.findall(text))}
+
+
+def _blank(text: str, spans: list[tuple[int, int, int]]) -> str:
+    """The text with spaces in place of spans, which may overlap."""
+    parts, at = [], 0
+    for start, _, end in spans:
+        if end > at:
+            start = max(start, at)
+            parts += [text[at:start], " " * (end - start)]
+            at = end
+    return "".join([*parts, text[at:]])
+
+
+def mentions(text: str, reach: int) -> dict[tuple[str, str, int], int]:
+    """(entity, term, context) -> 1 where the pair of entity and term first occurs in the text, else 0.
+
+    Terms are the ``reach`` next to the span on either side, however far; base spans
+    hold no terms. The term '' is the entity itself. A context is a hash of all terms around.
+    """
+    spans = base_spans(text)
+    found: dict[tuple[str, str, int], int] = {}
+    if not spans:
+        return found
+    near = [(m.start(), m.group().lower()) for m in _TERM.finditer(_blank(text, spans))]
+    starts, met = [s for s, _ in near], set()
+    for start, kind, end in spans:
+        left, right = bisect.bisect_left(starts, start), bisect.bisect_left(starts, end)
+        terms = sorted({t for _, t in near[max(0, left - reach) : left] + near[right : right + reach]})
+        context = xxhash.xxh3_64_intdigest("\n".join(terms).encode("utf-8", "replace")) >> 1
+        for name in entities(text, kind, start, end):
+            for t in ["", *terms]:
+                found.setdefault((name, t, context), int((name, t) not in met))
+                met.add((name, t))
+    return found
 
 
 def _shape(word: str) -> str:
@@ -108,53 +149,33 @@ def _shape(word: str) -> str:
     return "[NUMBER]" if word.isdigit() else "[NAME]" if word[:1].isupper() else "[WORD]"
 
 
-def _mentions(docs: DataFrame, reach: int) -> DataFrame:
-    """(entity, term, context, docs): terms near entities; term '' is the entity itself."""
+def _counted(docs: DataFrame, count, kinds: list[tuple[str, pa.DataType]]) -> DataFrame:
+    """Sums, per slice, of what ``count`` gives for each text: keys to numbers."""
+    names = [n for n, _ in kinds] + ["docs"]
 
     def make():
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             counts: Counter = Counter()
             for text in batch.column(0).to_pylist():
-                if not text:
-                    continue
-                spans = base_spans(text)
-                blank = None
-                here: dict[tuple[str, str], int] = {}
-                for start, kind, end in spans:
-                    if blank is None:  # other base spans are no terms
-                        blank = text
-                        for s, _, e in spans:
-                            blank = blank[:s] + " " * (e - s) + blank[e:]
-                    name = entity(text, kind, start, end)
-                    terms = sorted(set(_surroundings(blank, start, end, reach)))
-                    context = xxhash.xxh3_64_intdigest("\n".join(terms).encode("utf-8", "replace")) >> 1
-                    for t in ["", *terms]:
-                        here.setdefault((name, t), context)
-                counts.update((e, t, c) for (e, t), c in here.items())
+                if text:
+                    counts.update(count(text))
             if counts:
-                keys = list(counts)
-                yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in keys], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.int64()))), pa.array(list(counts.values()), pa.int64())], ["entity", "term", "context", "docs"])
+                keys = list(zip(*counts, strict=True)) if len(kinds) > 1 else [list(counts)]
+                yield pa.RecordBatch.from_arrays([*(pa.array(k, t) for k, (_, t) in zip(keys, kinds, strict=True)), pa.array(list(counts.values()), pa.int64())], names)
 
         return step
 
-    return map_arrow(docs.select(F.col("text").cast("string")), make, "entity string, term string, context long, docs long")
-
+    return map_arrow(docs.select(F.col("text").cast("string")), make, ", ".join(f"{n} {'long' if t == pa.int64() else 'string'}" for n, t in [*kinds, ("docs", pa.int64())]), text=0)
 
-def _word_counts(docs: DataFrame) -> DataFrame:
-    """(term, docs): documents that hold a term, per batch."""
 
-    def make():
-        def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            counts: Counter = Counter()
-            for text in batch.column(0).to_pylist():
-                if text:
-                    counts.update(set(_TERM.findall(text.lower())))
-            if counts:
-                yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "docs"])
+def _mentions(docs: DataFrame, reach: int) -> DataFrame:
+    """(entity, term, context, docs): terms near entities; term '' is the entity itself."""
+    return _counted(docs, lambda text: mentions(text, reach), [("entity", pa.string()), ("term", pa.string()), ("context", pa.int64())])
 
-        return step
 
-    return map_arrow(docs.select(F.col("text").cast("string")), make, "term string, docs long")
+def _word_counts(docs: DataFrame) -> DataFrame:
+    """(term, docs): documents that hold a term."""
+    return _counted(docs, terms_of, [("term", pa.string())])
 
 
 def disclosing_terms(docs: DataFrame, reach: int = REACH, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
@@ -170,16 +191,20 @@ def disclosing_terms(docs: DataFrame, reach: int = REACH, support: int = SUPPORT
     of_entity = pairs.filter("term = ''").select("entity", F.col("docs").alias("n_e"))
     terms = _word_counts(docs).groupBy("term").agg(F.sum("docs").alias("n_t"))
     both = candidates.join(of_entity, "entity").join(terms, "term")
-    pmi = F.log2(F.lit(n) * F.col("docs") / (F.col("n_e") * F.col("n_t")))
-    ic = F.log2(F.lit(n) / F.col("n_e"))
+    pmi = F.log2(F.lit(float(n)) * F.col("docs") / (F.col("n_e").cast("double") * F.col("n_t")))
+    ic = F.log2(F.lit(float(n)) / F.col("n_e"))
     ratio = F.when(ic > 0, pmi / ic).otherwise(0.0)
     return both.groupBy("term").agg(F.max(ratio).alias("ratio")).filter(F.col("ratio") >= disclosure)
 
 
 def _term_spans(text: str, terms, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    out = []
+    """Spans of the terms, but for those that touch a base span."""
+    out, k, covered = [], 0, 0  # covered: where the base spans that start before the word end
     for m in _TERM.finditer(text):
-        if m.group().lower() in terms and not any(s < m.end() and m.start() < e for s, _, e in base):
+        while k < len(base) and base[k][0] < m.end():
+            covered = max(covered, base[k][2])
+            k += 1
+        if covered <= m.start() and m.group().lower() in terms:
             out.append((m.start(), 4, m.end()))
     return out
 
@@ -200,20 +225,20 @@ def _replace(text: str, spans: list[tuple[int, int, int]], ratios) -> str:
     return "".join([*parts, text[at:]])
 
 
-def _found(docs: DataFrame, terms: DataFrame | None, told: dict[str, float]) -> DataFrame:
-    """Adds ``spans`` (kind, start, end) and ``clean_text``. With ``terms``, each row's own terms come in column __terms."""
+def _found(docs: DataFrame, told: dict[str, float], own: str | None = None) -> DataFrame:
+    """Adds ``spans`` (kind, start, end) and ``clean_text``. With ``own``, each row's own terms come in that column."""
     added = [T.StructField("spans", T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("clean_text", T.StringType())]
     names = docs.columns
-    text_at, own_at = names.index("text"), names.index("__terms") if "__terms" in names else None
-    kept = [k for k, c in enumerate(names) if c != "__terms"]
+    text_at, own_at = names.index("text"), names.index(own) if own else None
+    kept = [k for k, c in enumerate(names) if c != own]
     span_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def make():
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             all_spans, clean = [], []
-            own = batch.column(own_at).to_pylist() if own_at is not None else None
+            terms = batch.column(own_at).to_pylist() if own_at is not None else None
             for k, text in enumerate(batch.column(text_at).to_pylist()):
-                known = dict(own[k] or ()) if own else told
+                known = dict(terms[k] or ()) if terms else told
                 spans = base_spans(text) if text else []
                 if text and known:
                     spans = sorted(spans + _term_spans(text, known, spans))
@@ -223,20 +248,37 @@ def _found(docs: DataFrame, terms: DataFrame | None, told: dict[str, float]) ->
 
         return step
 
-    return map_arrow(docs, make, T.StructType([*(f for f in docs.schema.fields if f.name != "__terms"), *added]))
+    return map_arrow(docs, make, T.StructType([*(docs.schema.fields[k] for k in kept), *added]), text=text_at)
+
+
+def _texts_terms(docs: DataFrame, key: str) -> DataFrame:
+    """(id, term): the distinct terms of each distinct text."""
+
+    def make():
+        def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            ids, found = [], []
+            for i, text in zip(*(batch.column(k).to_pylist() for k in range(2)), strict=True):
+                terms = terms_of(text)
+                ids += [i] * len(terms)
+                found += terms
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(found, pa.string())], ["id", "term"])
+
+        return step
+
+    return map_arrow(docs.select(F.col(key).alias("id"), "text").filter("text is not null"), make, "id string, term string", text=1).distinct()
 
 
 def sanitize(docs: DataFrame, told: int = TOLD) -> DataFrame:
     """All columns of ``docs``, then ``spans`` and ``clean_text`` (which replace columns so named)."""
-    docs = docs.drop("spans", "clean_text", "__terms").withColumn("text", F.col("text").cast("string"))
+    docs = docs.drop("spans", "clean_text").withColumn("text", F.col("text").cast("string"))
     terms = materialize(disclosing_terms(docs), "pii-terms")
-    first = terms.limit(told + 1).collect()
-    if len(first) <= told:
-        return _found(docs, None, {r["term"]: r["ratio"] for r in first})
-    # more than may be told: words meet the terms in a join, by the text's hash
-    texts = docs.select(F.xxhash64("text").alias("__id"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]{3,})")))).alias("term")).distinct()
-    own = texts.join(terms, "term").groupBy("__id").agg(F.map_from_entries(F.collect_list(F.struct("term", "ratio"))).alias("__terms"))
-    return _found(docs.withColumn("__id", F.xxhash64("text")).join(own, "__id", "left").drop("__id"), terms, {})
+    n, chars = terms.agg(F.count("*"), F.coalesce(F.sum(F.length("term")), F.lit(0))).first()
+    if n <= told and chars <= TOLD_CHARS:
+        return _found(docs, {r["term"]: r["ratio"] for r in terms.collect()})
+    key, own = fresh("text_sha", docs), fresh("own_terms", docs)
+    docs = docs.withColumn(key, F.sha2("text", 256))
+    found = _texts_terms(docs, key).join(terms, "term").groupBy(F.col("id").alias(key)).agg(F.map_from_entries(F.collect_list(F.struct("term", "ratio"))).alias(own))
+    return _found(docs.join(found, key, "left").drop(key), {}, own)
 
 
 def digest(found: DataFrame) -> DataFrame:

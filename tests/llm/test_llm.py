@@ -1,6 +1,7 @@
 """The training-data operators against brute force, on small fixtures with awkward rows."""
 
 import hashlib
+import math
 import random
 import re
 import unicodedata
@@ -134,6 +135,48 @@ def test_disclosing_terms_below_a_letterhead(spark):
     assert "zanzibarman" in {r.term for r in pii.disclosing_terms(df).collect()}
 
 
+def test_disclosing_terms_equal_brute_force(spark):
+    """PMI and information content of every pair, by counting documents."""
+    rng = random.Random(8)
+    filler = [f"word{k}" for k in range(80)] + ["İstanbul", "x" * 90]
+    people = [("Quillmore", "anna@one.org"), ("Farrowby", "+1 (386) 555-3733"), ("Tarn7", "10.0.0.1"), ("Quillmore", "bert@one.org")]
+    texts = [None, ""]
+    for k in range(120):
+        words = rng.choices(filler, k=rng.randrange(4, 50))
+        for name, value in rng.sample(people, k % 3):
+            at = rng.randrange(len(words))
+            words[at:at] = [name, " " * rng.randrange(1, 700), value]
+        texts.append(" ".join(words))
+    texts += texts[40:50]
+    term = re.compile(r"[^\W_]{3,}")
+    holds = [{t.lower() for t in term.findall(text or "")} for text in texts]
+    of_entity, together, contexts = {}, {}, {}
+    for d, text in enumerate(texts):
+        spans = plain_spans(text)
+        chars = list(text or "")
+        for s, _, e in spans:
+            chars[s:e] = " " * (e - s)
+        for s, kind, e in spans:
+            near = [t.lower() for t in term.findall("".join(chars[:s]))][-12:] + [t.lower() for t in term.findall("".join(chars[e:]))][:12]
+            for name in pii.entities(text, kind, s, e):
+                of_entity.setdefault(name, set()).add(d)
+                for t in set(near):
+                    together.setdefault((name, t), set()).add(d)
+                    contexts.setdefault((name, t), set()).add(frozenset(near))
+    expected = {}
+    for (name, t), docs in together.items():
+        ic = math.log2(len(texts) / len(of_entity[name]))
+        pmi = math.log2(len(texts) * len(docs) / (len(of_entity[name]) * sum(t in h for h in holds)))
+        if len(contexts[name, t]) >= 2 and ic > 0 and pmi / ic >= 0.8:
+            expected[t] = max(expected.get(t, 0.0), pmi / ic)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = {r.term: r.ratio for r in pii.disclosing_terms(df).collect()}
+    assert found.keys() == expected.keys() and {"quillmore", "farrowby"} <= found.keys()
+    assert all(abs(found[t] - expected[t]) < 1e-9 for t in found)
+    by_join = {r.doc_id: (r.spans, r.clean_text) for r in pii.sanitize(df.withColumns({c: F.lit(1) for c in ("text_sha", "own_terms", "id", "term")}), told=0).collect()}
+    assert by_join == {r.doc_id: (r.spans, r.clean_text) for r in pii.sanitize(df).collect()}
+
+
 # 2 fingerprints
 
 
