@@ -14,9 +14,10 @@ Words are runs of \w in lower case. A question ends at the first line break, els
 before the last sentence; an item of one sentence is both question and answer.
 
 The index is told to all tasks in blocks of at most ``BLOCK_ITEMS`` items or
-``BLOCK_CHARS`` characters; a larger benchmark takes several passes, and so does
-each class of long items. Frequencies, mean and longest lengths are the whole
-benchmark's.
+``BLOCK_CHARS`` characters (or one item, if longer); a larger benchmark takes several
+passes, one block at a time on the driver, and so does each class of long
+items. Frequencies, mean and longest lengths are the whole benchmark's: Spark
+counts them, and a block's index is told those of its own word pairs.
 
 Cases: null and empty texts have no passage and items no match; repeated items
 match each for itself; a null doc_id is carried; repeated rows give repeated
@@ -28,13 +29,13 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import map_arrow
+from .common import map_arrow, materialize
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.5
@@ -77,28 +78,32 @@ def length_class(n: int) -> int:
 
 
 class Statistics:
-    """What the weights and passages of all items depend on."""
+    """What the weights and passages of all items depend on; ``held_in`` has the word pairs of the items in question."""
 
-    def __init__(self, texts: Iterable[str]):
-        self.items = total = 0
-        self.held_in: Counter = Counter()
-        self.longest: dict[int, int] = {}
+    def __init__(self, items: int, mean: float, longest: dict[int, int], held_in):
+        self.items, self.mean, self.longest, self.held_in = items, mean, longest, held_in
+
+    @classmethod
+    def of(cls, texts: Iterable[str]) -> Statistics:
+        held_in: Counter = Counter()
+        longest: dict[int, int] = {}
+        items = total = 0
         for text in texts:
             if ws := words(text):
                 c = pairs(ws)
-                self.items += 1
+                items += 1
                 total += sum(c.values())
-                self.held_in.update(c.keys())
+                held_in.update(c.keys())
                 k = length_class(len(ws))
-                self.longest[k] = max(self.longest.get(k, 0), len(ws))
-        self.mean = total / max(1, self.items)
+                longest[k] = max(longest.get(k, 0), len(ws))
+        return cls(items, total / max(1, items), longest, held_in)
 
 
 class Index:
     """BM25 over word pairs, with postings in blocks. items: (id, text), of one class of lengths."""
 
     def __init__(self, items: list[tuple[int | None, str]], threshold: float = THRESHOLD, known: Statistics | None = None):
-        known = known or Statistics(text for _, text in items)
+        known = known or Statistics.of(text for _, text in items)
         self.threshold = threshold
         held = [(i, text, words(text)) for i, text in items]
         held = [x for x in held if x[2]]
@@ -212,36 +217,66 @@ class Index:
 _MATCH = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("question_overlap", T.DoubleType()), T.StructField("answer_overlap", T.DoubleType()), T.StructField("start", T.LongType())])
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
-    """The items, in blocks of bounded size."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
-    n, chars = items.agg(F.count("*"), F.sum(F.length("text"))).first()
-    count = max(1, -(-n // BLOCK_ITEMS), -(-(chars or 0) // BLOCK_CHARS))
-    for k in range(count):
-        block = items if count == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k)
-        yield [tuple(r) for r in block.orderBy("item_id", "text").collect()]
+def _item_pairs(items: DataFrame) -> DataFrame:
+    """(block, class, words, a, b): the distinct word pairs of each item; its first row alone has its words, the others 0."""
+
+    def make():
+        def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            rows = []
+            for block, text in zip(*(batch.column(k).to_pylist() for k in (0, 1)), strict=True):
+                n = len(ws := words(text))
+                rows += [(block, length_class(n), 0 if k else n, a, b) for k, (a, b) in enumerate(pairs(ws))]
+            if rows:
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["block", "class", "words", "a", "b"])
+
+        return step
+
+    return map_arrow(items.select("block", "text"), make, "block long, class long, words long, a string, b string", text=1)
 
 
-def _indexes(benchmark: DataFrame, threshold: float) -> list[Index]:
-    """An index for each block and class of lengths; at least one."""
-    blocks = list(_blocks(benchmark))
-    known = Statistics(text for block in blocks for _, text in block)
-    out = []
-    for block in blocks:
+def _indexes(benchmark: DataFrame, threshold: float) -> Iterator[Index]:
+    """An index for each block and class of lengths, one after the other; at least one."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
+    n, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    count = max(1, -(-n // BLOCK_ITEMS), -(-chars // BLOCK_CHARS))
+    items = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(count)))
+    known = found = None
+    if count > 1:
+        found = materialize(_item_pairs(items), "item-pairs")
+        held = found.filter("words > 0").groupBy("class").agg(F.count("*").alias("n"), F.sum(F.greatest(F.col("words") - 1, F.lit(1))).alias("pairs"), F.max("words").alias("longest")).collect()  # few classes
+        total = sum(r["n"] for r in held)
+        known = Statistics(total, sum(r["pairs"] for r in held) / max(1, total), {r["class"]: r["longest"] for r in held}, None)
+        held_in = materialize(found.groupBy("a", "b").agg(F.count("*").alias("n")), "held-in")
+    made = False
+    for k in range(count):
+        block = [(r["item_id"], r["text"]) for r in (items if count == 1 else items.filter(F.col("block") == k)).orderBy("item_id", "text").collect()]
+        if count == 1:
+            known = Statistics.of(text for _, text in block)
+        else:
+            own = found.filter(F.col("block") == k).select("a", "b").distinct().join(held_in, ["a", "b"]).collect()
+            known.held_in = {(r["a"], r["b"]): r["n"] for r in own}
         classes: dict[int, list[tuple[int | None, str]]] = {}
         for i, text in block:
-            classes.setdefault(length_class(len(words(text))), []).append((i, text))
-        out += [Index(classes[k], threshold, known) for k in sorted(classes)]
-    return out or [Index([], threshold, known)]
+            if ws := words(text):
+                classes.setdefault(length_class(len(ws)), []).append((i, text))
+        for c in sorted(classes):
+            made = True
+            yield Index(classes[c], threshold, known)
+    if not made:
+        yield Index([], threshold, known)
 
 
 def contaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """All columns of ``docs`` (but ``matches``) and ``matches``: the items each text holds."""
+    """All columns of ``docs`` (but ``matches``) and ``matches``: the items each text holds.
+
+    A pass's rows are written before the next pass, so that one index is held at a time.
+    """
     docs = docs.drop("matches")
     names = docs.columns
     text_at = names.index("text")
-    indexes = _indexes(benchmark, threshold)
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64()), ("start", pa.int64())]))
+    schema = T.StructType([*docs.schema.fields, T.StructField("matches", T.ArrayType(_MATCH))])
 
     def scan(docs: DataFrame, index: Index) -> DataFrame:
         def make():
@@ -256,12 +291,12 @@ def contaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESH
 
             return step
 
-        return map_arrow(docs, make, schema)
+        return map_arrow(docs, make, schema, text=text_at)
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("matches", T.ArrayType(_MATCH))])
-    for index in indexes:
-        docs = scan(docs, index)
-    return docs
+    scanned = None
+    for index in _indexes(benchmark, threshold):
+        scanned = scan(docs if scanned is None else materialize(scanned, "passes"), index)
+    return scanned
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
