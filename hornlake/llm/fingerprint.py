@@ -10,7 +10,8 @@ but the text with the smallest digest (half a SHA-256) get theirs appended. So e
 canonical texts, and no others, have equal fingerprints. Edited texts, which
 exist for comparison only, are told apart inside buckets by their digests.
 
-An exact digest has no degrees: the likeness of two fingerprints is 1 or 0.
+An exact digest has no degrees: the likeness of two fingerprints is 1 or 0. A
+document's hash and digest are taken once and go with it to its neighbour.
 
 Cases: a null text counts as empty; rows with equal ids stand side by side in
 text order; a null doc_id comes last in descending order; the only row is its
@@ -24,9 +25,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .common import materialize
 
 LANES = 2
-#: Documents of a bucket of consecutive ids, and the most buckets there can be.
-ROWS = 4096
-MOST = 65_536
+#: Documents of a bucket of consecutive ids, and the most buckets there can be (their heads, 20 bytes
+#: each, are broadcast). Beyond ROWS * MOST documents buckets hold more rows, which Spark sorts on disk.
+ROWS = 1024
+MOST = 1 << 20
 QUANTILES = 64
 
 
@@ -76,9 +78,9 @@ def fingerprints(docs: DataFrame, lanes: int = LANES) -> DataFrame:
 
 
 def _with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text and next_text, the text next in descending order of ids; after the last comes the first.
+    """doc_id, text, hash, sha and next_text, next_hash, next_sha: those next in descending order of ids; after the last comes the first.
 
-    Rows are dealt into buckets of consecutive ids; the first rows of a bucket
+    docs: doc_id, text, hash, sha. Rows are dealt into buckets of consecutive ids; the first rows of a bucket
     (at most ``MOST`` ids, which bounds the broadcast) also go to the bucket
     before it as ghosts, so that one shuffle and one sort settle all.
     """
@@ -95,10 +97,11 @@ def _with_next(docs: DataFrame) -> DataFrame:
     order = Window.orderBy("bucket")
     heads = heads.select("head", F.coalesce(F.lead("bucket").over(order), F.first("bucket").over(order)).alias("goes_to"), F.lead("bucket").over(order).isNull().alias("wraps"))
     # heads: one row a bucket; the ghost of a bucket's head goes to the bucket above, the top one's to the lowest
-    ghosts = dealt.join(F.broadcast(heads), dealt["doc_id"].eqNullSafe(heads["head"])).select("doc_id", "text", F.col("goes_to").alias("bucket"), F.when(F.col("wraps"), 2).otherwise(1).alias("ghost"))
-    rows = dealt.select("doc_id", "text", "bucket", F.lit(0).alias("ghost")).union(ghosts)
+    ghosts = dealt.join(F.broadcast(heads), dealt["doc_id"].eqNullSafe(heads["head"])).select("doc_id", "text", "hash", "sha", F.col("goes_to").alias("bucket"), F.when(F.col("wraps"), 2).otherwise(1).alias("ghost"))
+    rows = dealt.select("doc_id", "text", "hash", "sha", "bucket", F.lit(0).alias("ghost")).union(ghosts)
     line = Window.partitionBy("bucket").orderBy("ghost", F.desc_nulls_last("doc_id"), "text")
-    return rows.withColumn("next_text", F.lead("text").over(line)).filter("ghost = 0").select("doc_id", "text", F.coalesce("next_text", "text").alias("next_text"))
+    after = [F.coalesce(F.lead(c).over(line), F.col(c)).alias(f"next_{c}") for c in ("text", "hash", "sha")]
+    return rows.select("*", *after).filter("ghost = 0").drop("bucket", "ghost")
 
 
 def edited_fingerprints(docs: DataFrame, lanes: int = LANES) -> DataFrame:
@@ -107,14 +110,16 @@ def edited_fingerprints(docs: DataFrame, lanes: int = LANES) -> DataFrame:
     The edited text replaces the last floor(n/2) code points by the first as
     many (or all) of the next document.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    docs = texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    canon = canonical(F.col("text"))
+    docs = docs.withColumn("canon", canon).select("doc_id", "text", wide_hash(F.col("canon"), lanes).alias("hash"), digest(F.col("canon")).alias("sha"))
     rows = _with_next(docs).withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next_text", F.lit(1), half)))
-    rows = rows.select("doc_id", "n_chars", F.unhex(F.sha2("edited", 256)).alias("edited_sha"), canonical(F.col("text")).alias("canon"), canonical(F.col("edited")).alias("e_canon"), canonical(F.col("next_text")).alias("n_canon"))
-    like = lambda a, b: F.col(a) == F.col(b)
-    narrow = rows.select("doc_id", "n_chars", "edited_sha", wide_hash(F.col("canon"), lanes).alias("hash"), digest(F.col("canon")).alias("sha"), wide_hash(F.col("e_canon"), lanes).alias("e_hash"), digest(F.col("e_canon")).alias("e_sha"), like("canon", "e_canon").alias("near_edited"), like("canon", "n_canon").alias("near_next"))
-    texts = docs.select(canonical(F.col("text")).alias("canon")).select(wide_hash(F.col("canon"), lanes).alias("hash"), "canon")
+    rows = rows.select("doc_id", "n_chars", "hash", "sha", F.unhex(F.sha2("edited", 256)).alias("edited_sha"), canonical(F.col("edited")).alias("e_canon"), ((F.col("hash") == F.col("next_hash")) & (F.col("sha") == F.col("next_sha"))).alias("near_next"))
+    narrow = rows.select("doc_id", "n_chars", "edited_sha", "hash", "sha", wide_hash(F.col("e_canon"), lanes).alias("e_hash"), digest(F.col("e_canon")).alias("e_sha"), "near_next")
+    narrow = narrow.withColumn("near_edited", (F.col("hash") == F.col("e_hash")) & (F.col("sha") == F.col("e_sha")))
+    texts = texts.select(canon.alias("canon")).select(wide_hash(F.col("canon"), lanes).alias("hash"), "canon")
     every = narrow.select(F.explode(F.array(F.struct("hash", "sha"), F.struct(F.col("e_hash").alias("hash"), F.col("e_sha").alias("sha")))).alias("x")).groupBy("x.hash").agg(F.min("x.sha").alias("low"), F.max("x.sha").alias("high"))
     clashes = settle(texts).union(every.filter("low <> high").select("hash", "low")).groupBy("hash").agg(F.min("low").alias("low"))
     for p in ("", "e_"):

@@ -1,18 +1,20 @@
 """Token counts by trie-shared dynamic programming (operator 5).
 
 Pre-tokens are runs between ASCII white space with a word mark in front. The
-distinct pre-tokens of a batch are inserted into a trie; walking it depth first
-computes the unigram forward scores of each shared prefix once, and terminal
-nodes store the token count of the best segmentation. The walk over sorted
-words is that trie: the path is the stack, the common prefix with the word
-before is what is shared.
-
-Piece scores come from the vocabulary file alone (nothing is trained): a piece
+distinct pre-tokens of a task are inserted into a trie that lives as long as the
+task. A node is a prefix and has its unigram forward state, the best score of a
+segmentation and that segmentation's tokens; it is computed once, when the
+prefix is first met, from the states on the path to it. Terminal nodes store
+their pre-token's count.
+
+Piece scores come from the vocabulary file alone (the public files hold no
+unigram probabilities, and tokenizers aren't trained here): a piece
 of rank r gets Zipf's log probability -log(r + 2.7). Characters without a piece
-cost one byte piece per UTF-8 byte. Ties prefer fewer tokens.
+cost one byte piece per UTF-8 byte. Scores are compared as they are, in floating
+point, summed from left to right; equal ones prefer fewer tokens.
 
 Counting is local to a task, so no word, however frequent, meets others in a
-shuffle; counts of words met before are kept in a bounded memo of the worker.
+shuffle. A trie that reaches ``NODES`` nodes is begun anew, which changes no count.
 
 Cases: null and empty texts have no pre-token and count 0; repeated rows give
 repeated rows; other columns are ignored; long texts are read whole.
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import map_arrow, words_of
 
 MARK = "▁"
-MEMO = 400_000
+NODES = 400_000
 SCHEMA = "doc_id long, n_pretokens long, n_tokens long"
 
 
@@ -39,8 +41,8 @@ class Unigram:
 
     def __init__(self, pieces: dict[str, float], byte_score: float):
         self.pieces, self.byte_score = pieces, byte_score
-        self.longest = max(map(len, pieces), default=1)
-        self.memo: dict[str, int] = {}
+        #: scores of pieces; None for what is only the end of one
+        self.ends: dict[str, float | None] = {p[k:]: None for p in pieces for k in range(len(p))} | pieces
 
     @classmethod
     def get(cls, name: str) -> "Unigram":
@@ -54,63 +56,73 @@ class Unigram:
             cls._made[name] = cls(pieces, -math.log(len(normal) + 2.7))
         return cls._made[name]
 
-    def forward(self, word: str, best: list[tuple[float, int]]) -> None:
-        """Extends ``best`` (state per prefix length, (score, -tokens)) to the whole of ``word``."""
-        pieces, longest = self.pieces, self.longest
-        for end in range(len(best), len(word) + 1):
-            top = None
-            for start in range(max(0, end - longest), end):
-                score = pieces.get(word[start:end])
-                if score is not None:
-                    s, n = best[start]
-                    if top is None or (s + score, n - 1) > top:
-                        top = (s + score, n - 1)
-            if top is None:
-                width = len(word[end - 1].encode("utf-8", "replace"))
-                s, n = best[end - 1]
-                top = (s + width * self.byte_score, n - width)
-            best.append(top)
-
-    def count_distinct(self, words: list[str]) -> dict[str, int]:
-        """Token counts of distinct words, each prefix scored once."""
-        out: dict[str, int] = {}
-        best: list[tuple[float, int]] = [(0.0, 0)]
-        last = ""
-        for word in sorted(words):
-            marked = MARK + word
-            shared, most = 0, min(len(last), len(marked))
-            while shared < most and last[shared] == marked[shared]:
-                shared += 1
-            del best[shared + 1 :]
-            self.forward(marked, best)
-            out[word] = -best[-1][1]
-            last = marked
-        return out
-
-    def counts(self, words: set[str]) -> dict[str, int]:
-        new = [w for w in words if w not in self.memo]
-        if new:
-            if len(self.memo) + len(new) > MEMO:
-                self.memo = {w: self.memo[w] for w in words if w in self.memo}
-            self.memo.update(self.count_distinct(new))
-        return self.memo
+    def state(self, text: str, path: list[tuple[float, int]]) -> tuple[float, int]:
+        """(score, -tokens) of the prefix that is one character longer than those on ``path``."""
+        ends, end = self.ends, len(path)
+        top = None
+        for start in range(end - 1, -1, -1):
+            score = ends.get(text[start:end], 0)
+            if score == 0:  # no piece ends so
+                break
+            if score is not None:
+                s, n = path[start]
+                if top is None or (s + score, n - 1) > top:
+                    top = (s + score, n - 1)
+        if top is None:
+            width = len(text[end - 1].encode("utf-8", "replace"))
+            s, n = path[-1]
+            top = (s + width * self.byte_score, n - width)
+        return top
+
+
+class Trie:
+    """Prefixes met, with their forward states; ``counts`` are those of terminal nodes."""
+
+    def __init__(self, model: Unigram, nodes: int = NODES):
+        self.model, self.most = model, nodes
+        self.clear()
+
+    def clear(self) -> None:
+        self.child: dict[tuple[int, str], int] = {}
+        self.states: list[tuple[float, int]] = [(0.0, 0)]  # by node; the first is the root
+        self.counts: dict[str, int] = {}
+
+    def insert(self, word: str) -> int:
+        """The word's token count."""
+        if len(self.states) >= self.most:
+            self.clear()
+        child, states, text = self.child, self.states, MARK + word
+        node, path = 0, [states[0]]
+        for c in text:
+            after = child.get((node, c))
+            if after is None:
+                after = child[node, c] = len(states)
+                states.append(self.model.state(text, path))
+            node = after
+            path.append(states[node])
+        self.counts[word] = -path[-1][1]
+        return self.counts[word]
+
+    def count(self, words: list[str]) -> int:
+        """Tokens of all words."""
+        total = 0
+        for w in words:
+            n = self.counts.get(w)
+            total += self.insert(w) if n is None else n
+        return total
 
 
 def count_tokens(docs: DataFrame, vocabulary: str = "piece_bpe_32k") -> DataFrame:
     """doc_id, n_pretokens, n_tokens for every row of ``docs``."""
 
     def make():
-        model = Unigram.get(vocabulary)
+        trie = Trie(Unigram.get(vocabulary))
 
         def step(batch: pa.RecordBatch):
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                split = [words_of(t) for t in part.column(1).to_pylist()]
-                table = model.counts(set().union(*split))
-                n = pa.array([len(w) for w in split], pa.int64())
-                total = pa.array([sum(map(table.__getitem__, w)) for w in split], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), n, total], ["doc_id", "n_pretokens", "n_tokens"])
+            split = [words_of(t) for t in batch.column(1).to_pylist()]
+            total = pa.array([trie.count(w) for w in split], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(w) for w in split], pa.int64()), total], ["doc_id", "n_pretokens", "n_tokens"])
 
         return step
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), make, SCHEMA)
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), make, SCHEMA, text=1)

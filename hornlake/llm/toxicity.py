@@ -7,9 +7,10 @@ and obfuscation rates. Trees are boosted on the logistic loss over feature
 histograms; an isotonic fit of out-of-fold margins calibrates the scores.
 
 All of the model is fitted on at most ``SAMPLE`` labelled rows (those whose ids
-have the smallest hashes), wherever they lie in the table. Lexicons hold words
-and beginnings much likelier in toxic rows; for the trees, each half of the
-sample gets its features from the other half's lexicon.
+have the smallest hashes), wherever they lie in the table. Lexicons hold all words
+and beginnings that are clearly likelier in toxic rows of the sample (``ODDS`` and
+``DEVIATIONS``); for the trees, each half of the sample gets its features from the
+other half's lexicon.
 
 Cases: null and empty texts get the score of their (all zero) features; a
 label must be 0 or 1, a row with several counts as toxic if one is; without
@@ -30,13 +31,16 @@ from pyspark.sql import DataFrame, functions as F
 from .common import map_arrow
 
 SAMPLE = 20_000
-LEXICON = 4_000
+LEAST_ROWS, ODDS, DEVIATIONS = 3, 1.5, 3.0
 TREES, DEPTH, RATE, BINS, LEAST_LEAF = 80, 3, 0.15, 48, 5
 CUT = 0.3
 _WORD = re.compile(r"\w+(?:[*@$!.'-]+\w+)*")
 _PUNCTUATION = re.compile(r"[^\w\s]")
+#: Classes of the characters below 2^16: letter, upper case, neither word character nor space.
+_CLASSES = np.array([[chr(c).isalpha(), chr(c).isupper(), bool(_PUNCTUATION.match(chr(c)))] for c in range(1 << 16)])
 _PLAIN = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "$": "s", "@": "a", "!": "i"})
 _STRIP = re.compile(r"[\W_]+")
+_STRETCHED = re.compile(r"(.)\1\1", re.DOTALL)
 # fixed values: insults and second-person words
 INSULTS = frozenset("idiot idiots moron morons stupid dumb loser losers trash scum clown pathetic worthless disgusting fool jerk ugly hate shut".split())
 SECOND = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta tes vous votre vos usted ustedes ti tus vosotros".split())
@@ -57,26 +61,48 @@ def keys_of(word: str) -> list[str]:
     return [word, *(f"{word[:k]}-" for k in (4, 5, 6) if len(word) > k)]
 
 
+def char_counts(text: str) -> np.ndarray:
+    """Letters, capitals and punctuation marks of a text."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    counts = _CLASSES[codes[codes < 1 << 16]].sum(axis=0)
+    for c in map(chr, codes[codes >= 1 << 16].tolist()):
+        counts += (c.isalpha(), c.isupper(), bool(_PUNCTUATION.match(c)))
+    return counts
+
+
 class Lexicon(dict):
-    """word -> (word weight, weight of its best beginning, insult, second person, obfuscated, stretched), remembered up to a bound."""
+    """word -> its row in ``rows`` (word weight, weight of its best beginning, insult, second person, obfuscated, stretched), up to ``BOUND`` words."""
+
+    BOUND = 100_000
 
     def __init__(self, weights: dict[str, float]):
         super().__init__()
         self.weights = weights
+        self.rows = np.empty((1024, 6))
 
     def __reduce__(self):
         return Lexicon, (self.weights,)
 
-    def __missing__(self, word: str):
-        if len(self) > 500_000:
-            self.clear()
+    def values_of(self, word: str) -> tuple[float, ...]:
         bare = plain(word)
         odd = bare != word and any(c.isalpha() for c in word) and not word.replace("'", "").replace("-", "").replace(".", "").isalpha()
         w = max(self.weights.get(word, 0.0), self.weights.get(bare, 0.0) if odd else 0.0)
         start = max([0.0, *(self.weights.get(k, 0.0) for k in keys_of(word)[1:])])
-        stretched = any(word[i] == word[i + 1] == word[i + 2] for i in range(len(word) - 2))
-        found = self[word] = (w, start, float(bare in INSULTS), float(word in SECOND), float(odd), float(stretched))
-        return found
+        return w, start, float(bare in INSULTS), float(word in SECOND), float(odd), float(bool(_STRETCHED.search(word)))
+
+    def __missing__(self, word: str) -> int:
+        at = len(self)
+        if at == len(self.rows):
+            self.rows = np.concatenate((self.rows, np.empty_like(self.rows)))
+        self.rows[at] = self.values_of(word)
+        self[word] = at
+        return at
+
+    def table(self, words: list[str]) -> np.ndarray:
+        if len(self) >= self.BOUND:
+            self.clear()
+        at = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))  # may replace the rows
+        return self.rows[at]
 
     def features(self, text: str | None) -> np.ndarray:
         out = np.zeros(len(NAMES))
@@ -84,39 +110,37 @@ class Lexicon(dict):
         if not words:
             return out
         n = len(words)
-        table = np.array([self[w] for w in words])
-        bad = (table[:, 0] > 0) | (table[:, 1] > 0) | (table[:, 2] > 0)
+        table = self.table(words)
+        bad = (table[:, :3] > 0).any(axis=1)
         at, second = np.nonzero(bad)[0], np.nonzero(table[:, 3])[0]
         near, nearness = 0, 0.0
         if len(at) and len(second):
             k = np.searchsorted(second, at)
             gap = np.minimum(np.abs(at - second[np.minimum(k, len(second) - 1)]), np.abs(at - second[np.maximum(k - 1, 0)]))
             near, nearness = int((gap <= 5).sum()), 1.0 / (1 + gap.min())
-        letters = sum(map(str.isalpha, text)) or 1
-        upper = sum(map(str.isupper, text))
-        shouted = sum(w.isupper() and len(w) > 2 for w in text.split())
-        hits, starts, insults = (table[:, 0] > 0).sum(), (table[:, 1] > 0).sum(), table[:, 2].sum()
-        marks = len(_PUNCTUATION.findall(text))
+        letters, upper, marks = char_counts(text).tolist()
+        shouted = sum(w.isupper() and len(w) > 2 for w in text.split()) if upper > 2 else 0
+        hits, starts, _ = (table[:, :3] > 0).sum(axis=0).tolist()
+        weight, start_weight, insults, seconds, odd, stretched = table.sum(axis=0).tolist()
         out[:] = [
-            math.log1p(n), math.log1p(hits), hits / n, table[:, 0].sum() / math.sqrt(n), math.log1p(starts), starts / n, table[:, 1].sum() / math.sqrt(n),
-            math.log1p(insults), insults / n, table[:, 3].sum() / n, math.log1p(near), nearness, upper / letters, shouted / n,
-            marks / len(text), text.count("!") / len(text), table[:, 4].sum() / n, table[:, 5].sum() / n, math.log1p(len({words[i] for i in at.tolist()})),
+            math.log1p(n), math.log1p(hits), hits / n, weight / math.sqrt(n), math.log1p(starts), starts / n, start_weight / math.sqrt(n),
+            math.log1p(insults), insults / n, seconds / n, math.log1p(near), nearness, upper / (letters or 1), shouted / n,
+            marks / len(text), text.count("!") / len(text), odd / n, stretched / n, math.log1p(len({words[i] for i in at.tolist()})),
         ]
         return out
 
 
 def lexicon_weights(counts: list[tuple[str, int, int]], n_toxic: int, n_clean: int) -> dict[str, float]:
-    """Log odds of keys held by at least three toxic rows, where they are clearly likelier there. counts: (key, toxic, clean)."""
-    found = []
+    """Log odds of keys held by at least ``LEAST_ROWS`` toxic rows, where they are clearly likelier there. counts: (key, toxic, clean)."""
+    found = {}
     for key, a, b in counts:
-        if a < 3:
+        if a < LEAST_ROWS:
             continue
         odds = math.log((a + 0.5) / (n_toxic + 1)) - math.log((b + 0.5) / (n_clean + 1))
         error = math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-        if odds >= 1.5 and odds / error >= 2.0:
-            found.append((odds / error, odds, key))
-    found.sort(key=lambda x: (-x[0], x[2]))
-    return {key: odds for _, odds, key in found[:LEXICON]}
+        if odds >= ODDS and odds / error >= DEVIATIONS:
+            found[key] = odds
+    return found
 
 
 class Trees:
@@ -243,13 +267,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
         return step
 
-    counted = map_arrow(labelled, count, "key string, c0 long, t0 long, c1 long, t1 long").groupBy("key").agg(*(F.sum(c).alias(c) for c in ("c0", "t0", "c1", "t1")))
+    counted = map_arrow(labelled, count, "key string, c0 long, t0 long, c1 long, t1 long", text=3).groupBy("key").agg(*(F.sum(c).alias(c) for c in ("c0", "t0", "c1", "t1")))
     tox, cln = sum(known.values()), len(known) - sum(known.values())
-    rich = counted.filter(F.col("t0") + F.col("t1") >= 3).filter((F.col("t0") + F.col("t1") + 0.5) / (tox + 1) >= 4 * (F.col("c0") + F.col("c1") + 0.5) / (cln + 1))
-    counts = rich.orderBy(F.desc(F.col("t0") + F.col("t1")), "key").limit(20 * LEXICON).collect()
+    # a key that passes as a whole or in a half has that many rows there; there are at most as many keys as the sample's toxic rows hold
+    apart = lambda t, c, n, m: (t >= LEAST_ROWS) & ((t + 0.5) / (n + 1) >= math.exp(ODDS) * (c + 0.5) / (m + 1) * 0.999)
     sizes = np.zeros((2, 2))
     for t, h in zip(known.values(), halves, strict=True):
         sizes[h, t] += 1
+    parts = [(F.col("t0"), F.col("c0"), sizes[0]), (F.col("t1"), F.col("c1"), sizes[1]), (F.col("t0") + F.col("t1"), F.col("c0") + F.col("c1"), (cln, tox))]
+    passes = [apart(t, c, float(n[1]), float(n[0])) for t, c, n in parts]
+    counts = counted.filter(passes[0] | passes[1] | passes[2]).collect()
     other = [lexicon_weights([(r["key"], r[f"t{1 - h}"], r[f"c{1 - h}"]) for r in counts], int(sizes[1 - h, 1]), int(sizes[1 - h, 0])) for h in (0, 1)]
     whole = lexicon_weights([(r["key"], r["t0"] + r["t1"], r["c0"] + r["c1"]) for r in counts], tox, cln)
 
@@ -262,7 +289,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
         return step
 
-    table = sorted(map(tuple, map_arrow(labelled, measure, "doc_id long, toxic int, x array<double>").collect()))
+    table = sorted(map(tuple, map_arrow(labelled, measure, "doc_id long, toxic int, x array<double>", text=3).collect()))
     if not table:
         return Model(Lexicon({}), None, None, share)
     x, y = np.array([r[2] for r in table]), np.array([r[1] for r in table], dtype=float)
@@ -286,4 +313,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
         return step
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), make, "doc_id long, score double, predicted int")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), make, "doc_id long, score double, predicted int", text=1)

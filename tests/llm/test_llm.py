@@ -293,28 +293,34 @@ def test_token_counts(docs, rows, nothing):
     model = tokencount.Unigram.get("piece_bpe_32k")
 
     def alone(word):
-        best = [(0.0, 0)]
-        model.forward(tokencount.MARK + word, best)
-        return -best[-1][1]
+        text, path = tokencount.MARK + word, [(0.0, 0)]
+        while len(path) <= len(text):
+            path.append(model.state(text, path))
+        return -path[-1][1]
 
-    sample = [r for r in rows if len(r[1] or "") < 30_000]
     found = {r.doc_id: r for r in tokencount.count_tokens(docs).collect()}
-    for i, t, *_ in sample:
+    for i, t, *_ in rows:
         w = WORD.findall(t or "")
         assert (found[i].n_pretokens, found[i].n_tokens) == (len(w), sum(map(alone, w)))
+    small = tokencount.Trie(model, nodes=50)  # begun anew again and again
+    words = WORD.findall(" ".join(t or "" for _, t, *_ in rows[:20]))
+    assert small.count(words) == tokencount.Trie(model).count(words) == sum(map(alone, words))
     tiny = tokencount.Unigram({"▁": -1.0, "▁ab": -2.0, "ab": -1.5, "c": -1.0, "abc": -4.0, "▁abc": -3.5}, -9.0)
-    assert tiny.count_distinct(["abc", "ab", "abé"]) == {"ab": 1, "abc": 2, "abé": 3}
-    # exhaustive segmentations of short words
-    for word in ("abcab", "cabc", "abab"):
-        marked = "▁" + word
-        def ways(at):
-            if at == len(marked):
-                yield 0.0, 0
-            for end in range(at + 1, len(marked) + 1):
-                if (s := tiny.pieces.get(marked[at:end])) is not None:
-                    yield from ((s + a, n + 1) for a, n in ways(end))
-        best = max((round(s, 9), -n) for s, n in ways(0))
-        assert tiny.count_distinct([word])[word] == -best[1]
+    assert [tokencount.Trie(tiny).insert(w) for w in ("abc", "ab", "abé")] == [2, 1, 3]
+    # exhaustive segmentations of short words, with few pieces and with the whole vocabulary
+    for unigram, words in ((tiny, ("abcab", "cabc", "abab")), (model, ("the", "Enung", "thshatnt", "señora", "a1b2", "%%%"))):
+        for word in words:
+            text = "▁" + word
+
+            def ways(at):
+                if at == len(text):
+                    yield 0.0, 0
+                for end in range(at + 1, len(text) + 1):
+                    if (s := unigram.pieces.get(text[at:end])) is not None:
+                        yield from ((s + a, n + 1) for a, n in ways(end))
+
+            best = max((round(s, 9), -n) for s, n in ways(0))
+            assert tokencount.Trie(unigram).insert(word) == -best[1]
     assert tokencount.count_tokens(nothing).count() == 0
 
 
