@@ -124,13 +124,14 @@ def _op8() -> str:
         parts.append(f"{name}e as (select {src} src, {dst} dst, n / sum(n) over (partition by {src}) share from e)")
         parts.append(f"{name}0 as (select host, restart rank from {name}s)")
         for i in range(urlgraph.ROUNDS):
-            parts.append(f"{name}m{i} as (select dst host, sum(share * rank) rank from {name}e join {name}{i} on host = src group by dst)")
+            parts.append(f"{name}m{i} as materialized (select dst host, sum(share * rank) rank from {name}e join {name}{i} on host = src group by dst)")
             back = f"(select {1 - urlgraph.DAMPING} + {urlgraph.DAMPING} * greatest(0, 1 - coalesce(sum(rank), 0)) from {name}m{i})"
-            parts.append(f"{name}{i + 1} as (select host, sum(rank) rank from (select host, rank * {urlgraph.DAMPING} rank from {name}m{i} union all select host, restart * {back} from {name}s) group by host)")
+            parts.append(f"{name}{i + 1} as materialized (select host, sum(rank) rank from (select host, rank * {urlgraph.DAMPING} rank from {name}m{i} union all select host, restart * {back} from {name}s) group by host)")
     last, digits = urlgraph.ROUNDS, urlgraph.DIGITS
-    trust, distrust = (f"round(coalesce({x}.rank, 0), {digits})" for x in "td")
+    trust, distrust = (f"coalesce({x}.rank, 0)" for x in "td")
+    share = f"round({distrust} / nullif({trust} + {distrust}, 0), {digits})"
     return f"""with {", ".join(parts)}
-    select page_id, r.host, path, rule, coalesce(ruled, case when {distrust} > {urlgraph.THRESHOLD} * ({trust} + {distrust}) then 'block' else 'allow' end) verdict
+    select page_id, r.host, path, rule, coalesce(ruled, case when {share} > {urlgraph.THRESHOLD} then 'block' else 'allow' end) verdict
     from r left join t{last} t on t.host = r.host left join d{last} d on d.host = r.host"""
 
 

@@ -4,13 +4,14 @@ A rule (host, path, verdict) fits its host and all subdomains where the url's
 path starts with the rule's; the longest rule wins. Urls without a rule get
 their host's verdict: trust is a personalised PageRank over host edges that
 restarts at hosts with allowed pages, distrust one over reversed edges that
-restarts at hosts with blocked pages. A host with more distrust than
+restarts at hosts with blocked pages. A host whose distrust is more than
 ``THRESHOLD`` of both together is blocked; hosts that neither reaches are allowed.
 
 Edges come from absolute links in ``html``, with their multiplicity; links
 within a host don't count. A host without an outgoing edge gives its rank back
-to the restarting hosts. Ranks are iterated ``ROUNDS`` times and compared at
-``DIGITS`` decimals. Pages are reduced to host and edge counts before anything is
+to the restarting hosts. Ranks are iterated ``ROUNDS`` times, which leaves less than
+``DAMPING`` to that power (0.8 %) of the whole unsettled. Shares of distrust are compared
+at ``DIGITS`` decimals, so verdicts don't depend on how many hosts there are. Pages are reduced to host and edge counts before anything is
 iterated, and sums are partial before the shuffle, so a host with a third of
 all pages is one row a task.
 
@@ -34,9 +35,9 @@ RULES = [
     ("org", "/es/", "block"),
 ]
 DAMPING = 0.85
-ROUNDS = 10
+ROUNDS = 30
 THRESHOLD = 0.5
-DIGITS = 9
+DIGITS = 6
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -69,25 +70,29 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return found.filter("src <> dst and src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def personal_rank(edges: DataFrame, seeds: DataFrame, name: str, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """(host, rank) by personalised PageRank. edges: src, dst, n; seeds: host, weight (any positive total)."""
-    total = seeds.agg(F.sum("weight")).first()[0] or 0.0
+def personal_ranks(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+    """(kind, host, rank) by personalised PageRank, several kinds side by side.
+
+    edges: kind, src, dst, n; seeds: kind, host, weight (any positive total a kind). A round is one join and one
+    partial sum, written to the shared folder; kinds are few.
+    """
+    total = {r["kind"]: r["total"] for r in seeds.groupBy("kind").agg(F.sum("weight").alias("total")).collect()}
+    per_kind = lambda values: F.create_map(*(x for k, v in values.items() for x in (F.lit(k), F.lit(float(v)))))[F.col("kind")]
     if not total:
-        return seeds.select("host", F.lit(0.0).alias("rank"))
-    start = materialize(seeds.select("host", (F.col("weight") / total).alias("restart")), f"{name}-seeds")
+        return seeds.select("kind", "host", F.lit(0.0).alias("rank"))
+    start = materialize(seeds.select("kind", "host", (F.col("weight") / per_kind(total)).alias("restart")), "seeds")
+    ranks = start.select("kind", "host", F.col("restart").alias("rank"))
     if edges.isEmpty():
-        return start.select("host", F.col("restart").alias("rank"))
-    out = edges.groupBy("src").agg(F.sum("n").alias("degree"))
-    share = materialize(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("degree")).alias("share")), f"{name}-edges")
-    ranks = start.select("host", F.col("restart").alias("rank"))
-    for k in range(rounds):
-        flow = share.join(ranks, share["src"] == ranks["host"]).select(F.col("dst").alias("host"), (F.col("share") * F.col("rank")).alias("rank"))
-        moved = flow.groupBy("host").agg(F.sum("rank").alias("rank"))
-        moved = materialize(moved, f"{name}-moved-{k}")
-        kept = moved.agg(F.sum("rank")).first()[0] or 0.0
-        back = (1 - damping) + damping * max(0.0, 1.0 - kept)  # restart, and what hosts without edges give back
-        new = moved.select("host", (F.col("rank") * damping).alias("rank")).union(start.select("host", (F.col("restart") * back).alias("rank")))
-        ranks = materialize(new.groupBy("host").agg(F.sum("rank").alias("rank")), f"{name}-{k}")
+        return ranks
+    out = edges.groupBy("kind", "src").agg(F.sum("n").alias("degree"))
+    share = materialize(edges.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("n") / F.col("degree")).alias("share")), "shares")
+    for _ in range(rounds):
+        flow = share.join(ranks, ["kind", "host"]).groupBy("kind", F.col("dst").alias("host")).agg(F.sum(F.col("share") * F.col("rank")).alias("rank"))
+        moved = materialize(flow, "moved")
+        kept = {r["kind"]: r["kept"] for r in moved.groupBy("kind").agg(F.sum("rank").alias("kept")).collect()}
+        back = {k: (1 - damping) + damping * max(0.0, 1.0 - kept.get(k, 0.0)) for k in total}  # restart, and what hosts without edges give back
+        new = moved.select("kind", "host", (F.col("rank") * damping).alias("rank")).union(start.select("kind", "host", F.col("restart") * per_kind(back)))
+        ranks = new.groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
     return ranks
 
 
@@ -100,13 +105,12 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, rounds: i
     part = lambda what: F.avg((F.coalesce(F.col("ruled"), F.lit("")) == what).cast("double"))
     hosts = materialize(ruled.filter("host <> ''").groupBy("host").agg(part("allow").alias("allowed"), part("block").alias("blocked")), "hosts")
     edges = materialize(host_edges(pages), "host-edges")
-    trusted = hosts.filter("allowed > 0").select("host", F.col("allowed").alias("weight"))
-    blocked = hosts.filter("blocked > 0").select("host", F.col("blocked").alias("weight"))
-    trust = personal_rank(edges, trusted, "trust", rounds, damping)
-    distrust = personal_rank(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"), blocked, "distrust", rounds, damping)
-    rank = lambda c: F.round(F.coalesce(F.sum(c), F.lit(0.0)), DIGITS).alias(c)
-    both = trust.select("host", F.col("rank").alias("trust"), F.lit(0.0).alias("distrust")).union(distrust.select("host", F.lit(0.0), "rank"))
-    scores = both.groupBy("host").agg(rank("trust"), rank("distrust"))
+    ways = edges.select(F.lit("trust").alias("kind"), "src", "dst", "n").union(edges.select(F.lit("distrust"), "dst", "src", "n"))
+    seeds = [hosts.filter(f"{c} > 0").select(F.lit(k).alias("kind"), "host", F.col(c).alias("weight")) for k, c in (("trust", "allowed"), ("distrust", "blocked"))]
+    ranks = personal_ranks(ways, seeds[0].union(seeds[1]), rounds, damping)
+    rank = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("rank"))), F.lit(0.0)).alias(k)
+    scores = ranks.groupBy("host").agg(rank("trust"), rank("distrust"))
     judged = ruled.select("page_id", "host", "path", "rule", "ruled").join(scores, "host", "left").fillna(0.0, ["trust", "distrust"])
-    by_host = F.when(F.col("distrust") > threshold * (F.col("trust") + F.col("distrust")), "block").otherwise("allow")
+    share = F.round(F.try_divide(F.col("distrust"), F.col("trust") + F.col("distrust")), DIGITS)
+    by_host = F.when((F.col("distrust") > 0) & (share > threshold), "block").otherwise("allow")
     return judged.select("page_id", "host", "path", "rule", F.coalesce("ruled", by_host).alias("verdict"), "trust", "distrust")

@@ -479,6 +479,18 @@ def test_link_propagation(spark):
     for host, value in pagerank(edges, {"good.net": 1.0}).items():
         assert abs(found[host].trust - value) < 1e-8
     assert urlgraph.judge(pages.limit(0)).count() == 0
+    # repeated rows count as often as they occur, here all alike
+    twice = {(r.host, r.verdict, round(r.trust, 9)) for r in urlgraph.judge(pages.union(pages)).collect()}
+    assert twice == {(r.host, r.verdict, round(r.trust, 9)) for r in found.values()}
+
+
+def test_small_ranks_still_block(spark):
+    """A restart of a hundredth and shares of a hundredth leave little rank, which is all there is."""
+    link = lambda *hosts: "".join(f'<a href="http://{h}/x">' for h in hosts)
+    rows = [(k, f"http://bad{k}.com/en/", "") for k in range(100)]
+    rows += [(200, "http://near.test/", link("bad0.com", *(f"other{k}.test" for k in range(99)))), (201, "http://far.test/", link("near.test", *(f"more{k}.test" for k in range(99))))]
+    found = {r.host: r for r in urlgraph.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found["near.test"].verdict == found["far.test"].verdict == "block" and found["far.test"].trust == 0
 
 
 # 9 language
