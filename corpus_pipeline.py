@@ -3,8 +3,13 @@
 Language ID drops documents it can't tell, near-duplicates keep the smallest
 doc_id of each group, decontamination drops documents that hold a benchmark
 item, sanitisation rewrites texts, packing ends with one row per piece. All but
-the last return the columns of ``documents``. Rows without a doc_id pass the
-near-duplicate stage; rows that share one count as one document there.
+the last return the columns of ``documents``.
+
+Cases: an empty table gives no row; null and empty texts have no language and
+go in the first stage, as do texts without a letter; where no row has a
+language, none can be told and all documents stay; rows without a doc_id pass the
+near-duplicate stage, rows that share one count as one document there; columns
+beside those of ``documents`` pass through, however they are called.
 """
 
 from __future__ import annotations
@@ -12,30 +17,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from hornlake.llm import decontam, langid, neardup, packing, pii
-from hornlake.llm.common import materialize, table
+from hornlake.llm.common import fresh, materialize, table
 from hornlake.llm.queries import learned_languages
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = langid.classify(docs, learned_languages(docs))
-    return found.filter("not rejected").select(*docs.columns)
+    dictionaries = learned_languages(docs)
+    if not dictionaries:
+        return docs
+    own = F.struct(*docs.columns).alias("row")  # whatever columns there are, none clashes with the operator's
+    found = langid.classify(docs.select("text", own), dictionaries)
+    return found.filter("not rejected").select("row.*")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = neardup.near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
     one = Window.partitionBy("doc_id").orderBy("text")
-    rows = docs.join(kept, "doc_id", "left_semi").withColumn("__row", F.row_number().over(one)).filter("__row = 1")
+    at = fresh("row", docs)
+    rows = docs.join(kept, "doc_id", "left_semi").withColumn(at, F.row_number().over(one)).filter(F.col(at) == 1)
     return rows.select(*docs.columns).union(docs.filter("doc_id is null"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontam.contaminate(docs, table(spark, sf_dir, "benchmark"))
-    return found.filter(F.size("matches") == 0).select(*docs.columns)
+    found = decontam.contaminate(docs.select("text", F.struct(*docs.columns).alias("row")), table(spark, sf_dir, "benchmark"))
+    return found.filter(F.size("matches") == 0).select("row.*")
 
 
 def sanitisation_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    clean = pii.sanitize(docs).withColumn("text", F.col("clean_text"))
-    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    clean = pii.sanitize(docs.select("text", F.struct(*docs.columns).alias("row")))
+    new = {"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast("long")}
+    return clean.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
