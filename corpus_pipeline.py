@@ -21,13 +21,21 @@ from hornlake.llm.common import fresh, materialize, table
 from hornlake.llm.queries import learned_languages
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with numbers for names, ``text`` apart, so that no column clashes with an operator's."""
+    return docs.toDF(*("text" if c == "text" else f"c{k}" for k, c in enumerate(docs.columns)))
+
+
+def named(found: DataFrame, docs: DataFrame, **new) -> DataFrame:
+    """The columns of ``docs`` from ``found``, which has them numbered; ``new`` replaces some."""
+    return found.select(*(new.get(c, F.col("text" if c == "text" else f"c{k}")).alias(c) for k, c in enumerate(docs.columns)))
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     dictionaries = learned_languages(docs)
     if not dictionaries:
         return docs
-    own = F.struct(*docs.columns).alias("row")  # whatever columns there are, none clashes with the operator's
-    found = langid.classify(docs.select("text", own), dictionaries)
-    return found.filter("not rejected").select("row.*")
+    return named(langid.classify(numbered(docs), dictionaries).filter("not rejected"), docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,14 +47,12 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontam.contaminate(docs.select("text", F.struct(*docs.columns).alias("row")), table(spark, sf_dir, "benchmark"))
-    return found.filter(F.size("matches") == 0).select("row.*")
+    found = decontam.contaminate(numbered(docs), table(spark, sf_dir, "benchmark"))
+    return named(found.filter(F.size("matches") == 0), docs)
 
 
 def sanitisation_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    clean = pii.sanitize(docs.select("text", F.struct(*docs.columns).alias("row")))
-    new = {"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast("long")}
-    return clean.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
+    return named(pii.sanitize(numbered(docs)), docs, text=F.col("clean_text"), n_chars=F.length("clean_text").cast("long"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
