@@ -48,7 +48,7 @@ BANDS, ROWS = 32, 4
 SKETCH_BITS = 512
 #: Pairs whose estimate is lower than this aren't tested; more than five deviations below the threshold.
 ESTIMATE = 0.5
-BLOCK = 1024
+BLOCK = 256
 
 _SAMPLES = BANDS * ROWS
 _A = mix64(np.arange(1, _SAMPLES + 1, dtype=np.uint64)) | np.uint64(1)
@@ -184,20 +184,22 @@ def _prefix_keys(members: DataFrame) -> DataFrame:
     return keys.select("own.shingle", "node", "label", "n", (F.col("n") - F.col("alone") - F.col("at")).alias("rest"))
 
 
-def _block_pairs(key, pdf):
-    """Pairs between the two sides of one block that may meet the threshold."""
-    import pandas as pd
+def _block_pairs(still: DataFrame) -> DataFrame:
+    """(node, hub): pairs of one group that may meet the threshold, compared block by block.
 
-    _, i, j = key
-    node, label, n, rest, block = (pdf[c].to_numpy() for c in ("node", "label", "n", "rest", "block"))
-    sketches = np.stack(pdf["sketch"].to_numpy()).astype(np.int64).view(np.uint64).reshape(len(pdf), -1)
-    most, out = most_different(), []
-    left, right = np.nonzero(block == i)[0], np.nonzero(block == j)[0]
-    for a in left.tolist():
-        b = right[(label[right] != label[a]) & ((100 + PERCENT) * np.minimum(rest[right], rest[a]) >= PERCENT * (n[right] + n[a])) & ((right > a) | (i != j))]
-        b = b[np.bitwise_count(sketches[b] ^ sketches[a]).sum(axis=1) <= most]
-        out += [(max(node[a], x), min(node[a], x)) for x in node[b].tolist()]
-    return pd.DataFrame(out, columns=["node", "hub"], dtype="int64")
+    still: shingle, node, label, n, rest, sketch, members (of its group). Block pair (i, j) meets in a join of the rows
+    of block i, sent there on the left, with those of block j, sent there on the right.
+    """
+    blocks = F.ceil(F.col("members") / BLOCK)
+    still = still.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), blocks))
+    upto = lambda a, b: F.explode(F.sequence(a, b))
+    left = still.withColumn("i", F.col("block")).withColumn("j", upto(F.col("block"), F.col("blocks") - 1)).alias("a")
+    right = still.withColumn("j", F.col("block")).withColumn("i", upto(F.lit(0).cast("long"), F.col("block"))).alias("b")
+    met = left.join(right, ["shingle", "i", "j"])
+    differ = sum((F.bit_count(F.col("a.sketch")[k].bitwiseXOR(F.col("b.sketch")[k])) for k in range(_WORDS)), F.lit(0))
+    once = (F.col("i") < F.col("j")) | (F.col("a.node") < F.col("b.node"))
+    met = met.filter(once & (F.col("a.label") != F.col("b.label")) & _may_link(F.col("a.n"), F.col("b.n"), F.least("a.rest", "b.rest")) & (differ <= most_different()))
+    return met.select(F.greatest("a.node", "b.node").alias("node"), F.least("a.node", "b.node").alias("hub")).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -232,14 +234,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         # 3. blocks of what is still apart
         keys = keys.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("component", "node"))
         apart = keys.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members")).filter("lo <> hi")
-        still = keys.join(apart, "shingle").withColumn("blocks", F.ceil(F.col("members") / BLOCK))
-        still = materialize(still.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).select("shingle", "node", "label", "n", "rest", "block", "blocks"), "apart")
+        still = materialize(keys.join(apart, "shingle").join(nodes.select("node", "sketch"), "node").select("shingle", "node", "label", "n", "rest", "sketch", "members"), "apart")
         if not still.isEmpty():
-            group = lambda c: F.struct(F.least("block", c).alias("i"), F.greatest("block", c).alias("j"))
-            dealt = still.withColumn("g", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), group))).join(nodes.select("node", "sketch"), "node")
-            found = dealt.select("shingle", "g.i", "g.j", "node", "label", "n", "rest", "block", "sketch").groupBy("shingle", "i", "j").applyInPandas(_block_pairs, "node long, hub long")
-            found = materialize(found.distinct(), "block-pairs")
-            edges = edges.union(_linked(found, sets, "block-edges"))
+            edges = edges.union(_linked(materialize(_block_pairs(still), "block-pairs"), sets, "block-edges"))
             labels = components(edges, "round3")
 
     by_class = nodes.join(labels, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("component_id"))
