@@ -17,6 +17,8 @@ __all__ = ["Words", "fresh", "map_arrow", "materialize", "mix64", "run_hashes",
 
 #: Rows, and bytes of text, that a task turns into Python objects at once; one longer text counts as a slice.
 SLICE_ROWS, SLICE_BYTES = 512, 1 << 20
+#: Rows of an Arrow batch at most; texts are long, and both sides hold whole batches.
+BATCH_ROWS = 2_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,7 +57,11 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Itera
     """``mapInArrow`` with state per task: ``make()`` runs once per task and gives the batch function.
 
     With ``text``, the place of a text column, the function gets small slices of the batches.
+    The session's limit on rows of a batch is lowered to ``BATCH_ROWS`` where it is higher.
     """
+    conf, limit = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(limit)) <= BATCH_ROWS:
+        conf.set(limit, BATCH_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
