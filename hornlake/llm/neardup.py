@@ -177,6 +177,7 @@ def _prefix_keys(members: DataFrame) -> DataFrame:
     """
     each = members.select("node", "label", "n", F.explode("shingles").alias("shingle"))
     bridges = each.groupBy("shingle").agg(F.count("*").alias("f"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("shingle", "f")
+    bridges = materialize(bridges, "bridges")
     own = each.join(bridges, "shingle").groupBy("node").agg(F.first("label").alias("label"), F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("f", "shingle"))).alias("own"))
     alone = F.col("n") - F.size("own")
     prefix = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
@@ -227,6 +228,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         sets = sets_of(members.select(F.col("node").alias("id")), "open-sets")
         keys = materialize(_prefix_keys(members.join(sets, "node").withColumn("n", F.size("shingles").cast("long"))), "prefix-keys")
         heads = keys.groupBy("shingle").agg(F.min(F.struct("node", "label", "n", "rest")).alias("h"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
+        heads = materialize(heads, "open-heads")  # Spark splits a hot shingle only in a join of two plain inputs
         met = keys.join(heads.select("shingle", "h"), "shingle").filter((F.col("label") != F.col("h.label")) & _may_link(F.col("n"), F.col("h.n"), F.least("rest", "h.rest")))
         edges = edges.union(_linked(_close(met.select("node", F.col("h.node").alias("hub")).distinct(), nodes, "open-pairs"), sets, "open-edges"))
         labels = materialize(components(edges, "round2"), "labels")
@@ -234,6 +236,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         # 3. blocks of what is still apart
         keys = keys.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("component", "node"))
         apart = keys.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members")).filter("lo <> hi")
+        apart = materialize(apart, "apart-groups")
         still = materialize(keys.join(apart, "shingle").join(nodes.select("node", "sketch"), "node").select("shingle", "node", "label", "n", "rest", "sketch", "members"), "apart")
         if not still.isEmpty():
             edges = edges.union(_linked(materialize(_block_pairs(still), "block-pairs"), sets, "block-edges"))
