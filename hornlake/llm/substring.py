@@ -20,7 +20,9 @@ which more than ``hot_strings`` different strings lie (such as those at the ends
 of a passage that many documents share) are split: each of their windows
 becomes a string of its own, dealt by its own hash, where again only those that
 several documents hold travel. So a bucket has at most ``hot_strings`` strings
-at any size of the table; which minimisers are hot is a table that is joined.
+(some 60 MB) at any size of the table; which minimisers are hot is a table that
+is joined. Splitting costs another shuffle of the texts and more bytes than packed
+strings do, hence only beyond what a task can well hold.
 
 Cases: null and empty texts and those shorter than a window lose nothing; rows
 of one doc_id never remove from each other; rows with a null doc_id neither
@@ -35,11 +37,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import map_arrow, materialize, mix64, powers, run_hashes, words_in
+from .common import Words, map_arrow, materialize, mix64, powers, run_hashes, slices, words_in
 
 WINDOW = 50
 MINI = 8
-HOT_STRINGS = 2_000
+HOT_STRINGS = 20_000
 #: Strings a task remembers having sent.
 MEMO = 200_000
 _STEP = 0xD6E8FEB86659FD93
@@ -157,9 +159,20 @@ def _strings(held: DataFrame, window: int) -> DataFrame:
     return map_arrow(held, make, "mini long, sid long, doc_id long, packed binary", text=2)
 
 
+def _joined(packed: list[bytes]) -> Words:
+    """The words of all strings, hashed a slice at a time."""
+    column = pa.RecordBatch.from_arrays([pa.array(packed, pa.binary())], ["packed"])
+    parts = [words_in(p.column(0)) for p in slices(column, 0)]
+    at = np.cumsum([0] + [len(p.data) for p in parts])
+    n = np.cumsum([0] + [len(p.starts) for p in parts])
+    whole = lambda name, add: np.concatenate([getattr(p, name) + k for p, k in zip(parts, add, strict=False)])
+    first = np.concatenate([p.first[:-1] + k for p, k in zip(parts, n, strict=False)] + [n[-1:]])
+    return Words(whole("data", np.zeros(len(parts), dtype=np.uint8)), whole("starts", at), whole("ends", at), whole("hashes", np.zeros(len(parts), dtype=np.uint64)), first)
+
+
 def _repeats(packed: list[bytes], docs: list[int], window: int) -> list[list[int]]:
     """Per string, its windows that a string of a smaller document holds. docs: a smallest document for each string."""
-    words = words_in(pa.array(packed, pa.binary()))
+    words = _joined(packed)
     count = np.maximum(0, np.diff(words.first) - window + 1)
     string = np.repeat(np.arange(len(packed)), count)
     own = np.arange(len(string)) - np.repeat(np.cumsum(count) - count, count)

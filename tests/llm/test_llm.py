@@ -250,7 +250,7 @@ def test_toxicity(spark, docs, nothing):
 # 4 substrings
 
 
-@pytest.mark.parametrize("hot", [20_000, 1])
+@pytest.mark.parametrize("hot", [20_000, 1, 3])
 def test_substring_removal(spark, docs, rows, nothing, hot):
     words = {(i, t): WORD.findall(t or "") for i, t, *_ in rows}
     first = {}
@@ -273,6 +273,24 @@ def test_substring_removal(spark, docs, rows, nothing, hot):
     assert {r.n_removed for r in substring.keep_unique(null_id).collect()} == {0}
 
 
+def test_windows_with_one_hash_are_kept_apart(monkeypatch):
+    """All windows get one hash; the texts decide."""
+    rng = random.Random(5)
+    shared = sentence(rng, 60)
+    strings = [f"{sentence(rng, k % 3)} {shared} {sentence(rng, k % 5)}".strip() if k % 2 else sentence(rng, 55) for k in range(30)]
+    docs = [rng.randrange(100) for _ in strings]
+    expected = []
+    windows = [[tuple(s.split()[k : k + 50]) for k in range(len(s.split()) - 49)] for s in strings]
+    for d, own in zip(docs, windows, strict=True):
+        expected.append([k for k, w in enumerate(own) if min(e for e, o in zip(docs, windows, strict=True) if w in o) < d])
+    packed = [s.encode() for s in strings]
+    assert [sorted(f) for f in substring._repeats(packed, docs, 50)] == expected
+    monkeypatch.setattr(substring, "run_hashes", lambda words, n: np.zeros(max(0, len(words) - n + 1), dtype=np.uint64))
+    assert [sorted(f) for f in substring._repeats(packed, docs, 50)] == expected
+    with pytest.raises(ArithmeticError):
+        list(substring._count_bucket([(1, 5, packed[0]), (1, 6, packed[1])], 50))
+
+
 def test_minimisers():
     rng = np.random.default_rng(1)
     words = rng.integers(0, 2**63, 300).astype(np.uint64)
