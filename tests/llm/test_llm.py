@@ -247,6 +247,75 @@ def test_toxicity(spark, docs, nothing):
     assert toxicity.plain("1d!0t") == "idiot" and toxicity.isotonic(np.arange(4.0), np.array([0, 1, 0, 1.0]))[1].tolist() == sorted(toxicity.isotonic(np.arange(4.0), np.array([0, 1, 0, 1.0]))[1].tolist())
 
 
+def test_first_split_equals_a_plain_search():
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 9, (300, 4)).astype(float)
+    y = ((x[:, 2] > 5) ^ (rng.random(300) < 0.1)).astype(float)
+    model = toxicity.Trees(x, y)
+    p = 1 / (1 + np.exp(-model.start))
+    g, h = y - p, np.full(len(y), p * (1 - p))
+    best = (0.0, None, None)
+    for f in range(4):
+        for edge in model.edges[f]:
+            left = x[:, f] <= edge
+            if min(left.sum(), (~left).sum()) >= toxicity.LEAST_LEAF:
+                gain = sum(g[side].sum() ** 2 / (h[side].sum() + 1) for side in (left, ~left))
+                if gain > best[0] + 1e-9:
+                    best = (gain, f, edge)
+    feature, cut, value = model.trees[0]
+    assert (feature[0], model.edges[feature[0]][cut[0]]) == best[1:]
+    # margins by walking each tree
+    def walk(row):
+        total = model.start
+        for feature, cut, value in model.trees:
+            k = 0
+            for _ in range(toxicity.DEPTH):
+                f = feature[k]
+                k = 2 * k + 1 + int(f >= 0 and row[f] > model.edges[f][cut[k]])
+            total += value[k]
+        return total
+
+    assert np.allclose(model.margin(x[:40]), [walk(r) for r in x[:40]])
+    assert np.mean((model.margin(x) > 0) == (x[:, 2] > 5)) > 0.97
+
+
+def test_isotonic_pools_equal_the_min_max_solution():
+    rng = np.random.default_rng(4)
+    x = np.sort(rng.random(40))
+    y = (rng.random(40) < x).astype(float)
+    fit = [max(min(y[a : b + 1].mean() for b in range(i, 40)) for a in range(i + 1)) for i in range(40)]
+    ends = [i for i in range(40) if i in (0, 39) or abs(fit[i] - fit[i - 1]) > 1e-12 or abs(fit[i] - fit[i + 1]) > 1e-12]
+    knots, values = toxicity.isotonic(x, y)
+    assert sorted(set(knots.tolist())) == x[ends].tolist() and values.tolist() == sorted(values.tolist())
+
+
+def test_toxicity_of_awkward_rows(spark):
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, None), (None, 1), (4, 7), (1, 0)], "doc_id long, toxic int")
+    df = spark.createDataFrame([(1, "you idiot"), (2, "fine"), (None, "x"), (3, None), (9, "!" * 200_000), (2, "fine")], "doc_id long, text string")
+    found = toxicity.score(df, toxicity.fit(df, labels)).collect()
+    assert len(found) == 6 and all(0 <= r.score <= 1 for r in found) and found[1].score == found[5].score
+    # features of a long text are those of the whole of it
+    lexicon = toxicity.Lexicon({"zork": 2.0})
+    values = dict(zip(toxicity.NAMES, lexicon.features("calm words. " * 20_000 + "ZORK you, M0RON!"), strict=True))
+    assert values["word_hits"] == math.log1p(1) and values["insults"] == math.log1p(1) and values["proximity"] == math.log1p(2)
+    text = "Aé ß Ω! 12 _x 𝒜…"
+    assert toxicity.char_counts(text).tolist() == [sum(map(str.isalpha, text)), sum(map(str.isupper, text)), len(re.findall(r"[^\w\s]", text))]
+
+
+def test_null_ids_and_repeated_rows(spark):
+    df = spark.createDataFrame([(None, "mail a@b.co now"), (None, None), (5, "mail a@b.co now"), (5, "mail a@b.co now")], "doc_id long, text string")
+    kinds = Counter((r.doc_id, r.n_email) for r in pii.digest(pii.sanitize(df)).collect())
+    assert kinds == {(None, 1): 1, (None, 0): 1, (5, 1): 2}
+    prints = fingerprint.edited_fingerprints(df).collect()
+    assert Counter(r.doc_id for r in prints) == {None: 2, 5: 2} and len({r.fingerprint for r in prints if r.n_chars}) == 1
+    assert Counter((r.doc_id, r.n_pretokens) for r in tokencount.count_tokens(df).collect()) == {(None, 3): 1, (None, 0): 1, (5, 3): 2}
+    model = {"aa": b"mail now a b co mail now", "bb": b"something else entirely here"}
+    assert Counter((r.doc_id, r.lang_pred) for r in langid.classify(df, model).collect()) == {(None, "aa"): 1, (None, "und"): 1, (5, "aa"): 2}
+    bench = spark.createDataFrame([(1, "mail a b co now"), (1, "mail a b co now")], "item_id long, text string")
+    assert Counter((r.doc_id, r.item_id) for r in decontam.leaks(df, bench).collect()) == {(None, 1): 2, (5, 1): 4}
+    assert Counter(r.doc_id for r in packing.pack(df).collect()) == {None: 2, 5: 2}
+
+
 # 4 substrings
 
 
@@ -532,6 +601,41 @@ def test_language(spark, docs, nothing):
     assert langid.classify(docs, model).count() == docs.count() and langid.classify(nothing, model).count() == 0
 
 
+def test_language_is_the_smallest_encoding():
+    import zstandard
+
+    rng = random.Random(14)
+    parts = {"aa": ["ka", "mi", "to"], "bb": ["gren", "sch", "ung"], "cc": ["oux", "eau", "ka"]}
+    word = lambda lang: "".join(rng.choice(parts[lang]) for _ in range(rng.randrange(1, 5)))
+    model = {lang: " ".join(word(lang) for _ in range(300)).encode() for lang in parts}
+    judge = langid.Classifier(model)
+    for _ in range(60):
+        lang = rng.choice(list(parts))
+        text = " ".join(word(lang).title() for _ in range(rng.randrange(1, 900)))
+        data, sizes = text.lower().encode(), {}
+        for name, held in model.items():
+            raw = zstandard.ZstdCompressionDict(held, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            params = zstandard.ZstdCompressionParameters.from_level(langid.LEVEL, write_checksum=False, write_content_size=False, write_dict_id=False)
+            coder = zstandard.ZstdCompressor(dict_data=raw, compression_params=params)
+            sizes[name] = sum(len(coder.compress(data[k : k + langid.CHUNK])) for k in range(0, len(data), langid.CHUNK))
+        best, second = sorted(sizes.values())[:2]
+        got, score, rejected = judge(text)
+        if second - best >= max(1, langid.MARGIN * best):
+            assert sizes[got] == best and not rejected and score == second / (best + second)
+    with pytest.raises(ValueError):
+        langid.LANGS, kept = 2, langid.LANGS
+        try:
+            langid.learn(_languages(3))
+        finally:
+            langid.LANGS = kept
+
+
+def _languages(n):
+    from pyspark.sql import SparkSession
+
+    return SparkSession.getActiveSession().createDataFrame([(k, "some text", f"l{k}") for k in range(n)], "doc_id long, text string, lang string")
+
+
 # 10 decontamination
 
 
@@ -636,6 +740,25 @@ def test_pipeline(spark, tmp_path):
     assert clean[30].text.endswith("reach me at [EMAIL]") and clean[30].n_chars == len(clean[30].text)
 
 
+def test_pipeline_of_awkward_tables(spark, tmp_path):
+    """Empty, repeated, without languages, with columns called like an operator's."""
+    import corpus_pipeline
+
+    rng = random.Random(22)
+    spark.createDataFrame([(1, f"{sentence(rng, 20)}. {sentence(rng, 9)}.")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = [sentence(rng, 60) for _ in range(6)]
+    some = [(k, t, None, "s", len(t)) for k, t in enumerate(texts)]
+    for name, rows, ids in (("empty", [], set()), ("plain", [*some, some[2], some[3], (None, texts[0], None, "s", 1)], {None, *range(6)})):
+        docs = clash(spark.createDataFrame(rows, SCHEMA))
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, str(tmp_path))
+            assert out.columns == docs.columns, name
+            docs = spark.createDataFrame(out.collect(), docs.schema)
+        assert {r.doc_id for r in docs.collect()} == ids and {r.spans for r in docs.collect()} <= {"x"}
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+        assert Counter(r.doc_id for r in packed.collect()) == Counter(r.doc_id for r in docs.collect())
+
+
 def test_packing_text_column(spark):
     empty = spark.createDataFrame([(1, None), (None, "x")], "doc_id long, text string")
     assert sorted(got(packing.pack(empty), "length")) == [(1,), (2,)]
