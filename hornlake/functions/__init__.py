@@ -4,4 +4,6 @@ from .registry import Registry
 
 def builtin() -> Registry:
     """The closed table of built-in operations."""
-    return Registry([*numeric.OPERATIONS, *temporal.OPERATIONS, *spatial.OPERATIONS])
+    from ..operators import planar
+
+    return Registry([*numeric.OPERATIONS, *temporal.OPERATIONS, *spatial.OPERATIONS, *planar.OPERATIONS])

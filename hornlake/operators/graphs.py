@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..errors import DomainError
 from ..storage import materialize
 
 ROUNDS = 1000
+#: Rounds between rewrites of all distances.
+PARTS = 8
 
 
 def shortest_distances(edges: DataFrame, sources: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -15,16 +19,19 @@ def shortest_distances(edges: DataFrame, sources: DataFrame, rounds: int = ROUND
 
     Bellman-Ford by frontiers: only nodes whose distance fell in the last round go on.
     """
-    best = materialize(sources.select(F.col("id").alias("source"), F.col("id").alias("node"), F.lit(0.0).alias("metres")).distinct(), "distances")
-    frontier = best
+    lowest = lambda parts: reduce(DataFrame.union, parts).groupBy("source", "node").agg(F.min("metres").alias("metres"))
+    frontier = materialize(sources.select(F.col("id").alias("source"), F.col("id").alias("node"), F.lit(0.0).alias("metres")).distinct(), "distances")
+    parts = [frontier]  # what each round found; the least of them is the best so far
     for _ in range(rounds):
         step = frontier.join(edges, frontier["node"] == edges["src"]).select("source", F.col("dst").alias("node"), (frontier["metres"] + edges["metres"]).alias("metres"))
-        step = step.groupBy("source", "node").agg(F.min("metres").alias("metres"))
-        known = best.select("source", "node", F.col("metres").alias("__old"))
-        frontier = materialize(step.join(known, ["source", "node"], "left").filter("__old is null or metres < __old").drop("__old"), "frontier")
+        known = lowest(parts).withColumnRenamed("metres", "__old")
+        better = lowest([step]).join(known, ["source", "node"], "left").filter("__old is null or metres < __old").drop("__old")
+        frontier = materialize(better, "frontier")
         if frontier.isEmpty():
-            return best
-        best = materialize(best.union(frontier).groupBy("source", "node").agg(F.min("metres").alias("metres")), "distances")
+            return lowest(parts)
+        parts.append(frontier)
+        if len(parts) > PARTS:
+            parts = [materialize(lowest(parts), "distances")]
     raise DomainError("RESOURCE_LIMIT", f"more than {rounds} rounds")
 
 

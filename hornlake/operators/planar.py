@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..errors import DomainError
+from ..functions.registry import INTEGERS, URN, Operation, Result, Typed, fail, type_error
 
 #: Metres a unit of known projected systems, fixed values.
 CRS = {"EPSG:3857": 1.0, "EPSG:25832": 1.0, "EPSG:25833": 1.0, "EPSG:32632": 1.0, "EPSG:32633": 1.0, "EPSG:2263": 0.3048006096012192}
@@ -133,23 +134,91 @@ def planar_within(a: Column, b: Column, radius: Column) -> Column:
     return planar_distance(a, b) <= radius
 
 
+def point_candidates(a: DataFrame, b: DataFrame, metres: float) -> DataFrame:
+    """(id_a, wkt_a, id_b, wkt_b, unit): pairs of ingested points that may lie within ``metres``, a superset of those that do.
+
+    Both sides come from one ``ingest``. Cells of the radius meet their neighbours in a join on
+    the cell, so no side is broadcast and no pair of distant points arises. Geometries that are no points are left out.
+    """
+    if not (math.isfinite(metres) and metres > 0):
+        raise ValueError("a radius must be finite and positive")
+    at = lambda k: F.regexp_extract("wkt", r"^\s*POINT\s*\(\s*(\S+)\s+(\S+)\s*\)\s*$", k).try_cast("double") * F.col("metres_per_unit")
+    cells = lambda df: df.select("*", F.floor(at(1) / metres).alias("i"), F.floor(at(2) / metres).alias("j")).filter("i is not null and j is not null")
+    around = F.array(*(F.lit(k) for k in (-1, 0, 1)))
+    left = cells(a).select(F.col("id").alias("id_a"), F.col("wkt").alias("wkt_a"), F.col("metres_per_unit").alias("unit"), "i", "j")
+    right = cells(b).withColumn("di", F.explode(around)).withColumn("dj", F.explode(around))
+    right = right.select(F.col("id").alias("id_b"), F.col("wkt").alias("wkt_b"), (F.col("i") + F.col("di")).alias("i"), (F.col("j") + F.col("dj")).alias("j"))
+    return left.join(right, ["i", "j"]).drop("i", "j")
+
+
+def radius_pairs(a: DataFrame, b: DataFrame, metres: float) -> DataFrame:
+    """(id_a, id_b, metres): pairs of points within ``metres``, boundary included; distances are scaled by the system's unit."""
+    met = point_candidates(a, b, metres).withColumn("metres", planar_distance("wkt_a", "wkt_b") * F.col("unit"))
+    return met.filter(F.col("metres") <= metres).select("id_a", "id_b", "metres")
+
+
+def _wrong(wkt: pd.Series) -> pd.Series:
+    """Why a text is no geometry of the subset; null if it is one."""
+
+    def one(w):
+        try:
+            Shape(w)
+        except (ValueError, TypeError) as e:
+            return str(e)
+        return None
+
+    return wkt.map(one)
+
+
+_wrong.__annotations__ = {"wkt": pd.Series, "return": pd.Series}
+wrong_geometry = F.pandas_udf(_wrong, T.StringType())
+
+
+def _is_geometry(x: Typed) -> bool:
+    return isinstance(x.type, T.StructType) and x.type.fieldNames() == ["wkt", "crs"]
+
+
+def _geometry(wkt: Typed, crs: Typed) -> Result:
+    """A geometry of a known projected system, for the operations below."""
+    if not all(isinstance(x.type, T.StringType) for x in (wkt, crs)):
+        return type_error("spatial:geometry")
+    unknown = F.when(~crs.col.isin(*CRS), F.concat(crs.col, F.lit(" is no known projected system")))
+    why = F.coalesce(unknown, wrong_geometry(wkt.col))
+    return Result(F.struct(wkt.col.alias("wkt"), crs.col.alias("crs")), F.concat(F.lit("DOMAIN_ERROR: "), why))
+
+
+def _planar(name: str, value):
+    """An operation on two geometries of one system; ``value`` takes their columns, the metres of a unit and what follows."""
+
+    def build(a: Typed, b: Typed, *more: Typed) -> Result:
+        numbers = (*INTEGERS, T.DecimalType, T.DoubleType)
+        if not (_is_geometry(a) and _is_geometry(b) and all(isinstance(x.type, numbers) for x in more)):
+            return type_error(f"spatial:{name}")
+        unit = F.create_map(*(F.lit(x) for pair in CRS.items() for x in pair))[a.col["crs"]]
+        extra = [x.col.cast("double") for x in more]
+        bad = a.col["crs"] != b.col["crs"]
+        for x in extra:
+            bad = bad | F.isnan(x) | (x < 0)
+        return Result(value(a.col["wkt"], b.col["wkt"], unit, *extra), fail(bad, "DOMAIN_ERROR", "geometries need one system, a radius mustn't be negative"))
+
+    return build
+
+
+OPERATIONS = [
+    Operation(f"{URN}spatial:geometry", 2, _geometry),
+    Operation(f"{URN}spatial:planarDistance", 2, _planar("planarDistance", lambda a, b, unit: planar_distance(a, b) * unit)),
+    Operation(f"{URN}spatial:planarDwithin", 3, _planar("planarDwithin", lambda a, b, unit, r: planar_distance(a, b) * unit <= r), boolean=True),
+    Operation(f"{URN}spatial:contains", 2, _planar("contains", lambda a, b, unit: planar_contains(a, b)), boolean=True),
+    Operation(f"{URN}spatial:covers", 2, _planar("covers", lambda a, b, unit: planar_covers(a, b)), boolean=True),
+    Operation(f"{URN}spatial:intersects", 2, _planar("intersects", lambda a, b, unit: planar_intersects(a, b)), boolean=True),
+]
+
+
 def ingest(geometries: DataFrame, crs: str) -> DataFrame:
     """(id, wkt, metres_per_unit); refuses geographic or unknown systems, and geometries outside the subset."""
     if crs not in CRS:
         raise DomainError("DOMAIN_ERROR", f"{crs} is no known projected system")
 
-    def check(wkt: pd.Series) -> pd.Series:
-        def one(w):
-            try:
-                Shape(w)
-            except (ValueError, TypeError) as e:
-                return str(e)
-            return None
-
-        return wkt.map(one)
-
-    check.__annotations__ = {"wkt": pd.Series, "return": pd.Series}
-    wrong = F.pandas_udf(check, T.StringType())("wkt")
-    rows = geometries.select("id", "wkt").withColumn("__wrong", wrong)
+    rows = geometries.select("id", "wkt").withColumn("__wrong", wrong_geometry("wkt"))
     raised = F.raise_error(F.concat(F.lit("@@DOMAIN_ERROR: "), F.col("__wrong"), F.lit("@@"))).isNull()
     return rows.filter(F.when(F.col("__wrong").isNotNull(), raised).otherwise(True)).select("id", "wkt", F.lit(CRS[crs]).alias("metres_per_unit"))

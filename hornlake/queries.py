@@ -33,6 +33,7 @@ RELATIONS = {
     "lines": ("lineitem", ["l_orderkey", "l_suppkey"], None),
     "items": ("lineitem", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], None),
     "shipped": ("lineitem", ["l_orderkey", "l_linenumber", "cast(l_shipdate as date) d"], None),
+    "place": ("nation", ["n_nationkey", "concat('POINT(', n_nationkey * 3, ' ', n_regionkey * 4, ')') wkt"], None),
     "partsupp": ("lineitem", ["l_partkey", "l_suppkey"], None),
     "quantity": ("lineitem", ["l_orderkey", "l_linenumber", "cast(l_quantity as decimal(15,2)) q"], None),
     "supplier": ("supplier", ["s_suppkey", "s_nationkey"], None),
@@ -220,8 +221,8 @@ rules(
     t as (select a, b from e union select t.a, e.b from t join e on t.b = e.a) select a, b from t""",
     ["cast(a as bigint) a", "b"],
 )
-_LINKS = "link(?a, ?b) :- customer(?c, ?a), orders(?o, ?c), lines(?o, ?s), supplier(?s, ?b), filter num:equal(?c, ?o)."
-_LINK_SQL = "link as (select distinct c_nationkey a, s_nationkey b from customer join orders on o_custkey = c_custkey and c_custkey = o_orderkey join lineitem on l_orderkey = o_orderkey join supplier on s_suppkey = l_suppkey)"
+_LINKS = "link(?a, ?b) :- customer(?c, ?a), orders(?o, ?c), lines(?o, ?s), supplier(?s, ?b)."
+_LINK_SQL = "link as (select distinct c_nationkey a, s_nationkey b from customer join orders on o_custkey = c_custkey join lineitem on l_orderkey = o_orderkey join supplier on s_suppkey = l_suppkey)"
 rules(
     "reach_cyclic", "customer orders lines supplier",
     f"{_LINKS} answer(?a, ?b) :- link(?a, ?b). answer(?a, ?c) :- link(?a, ?b), answer(?b, ?c).",
@@ -265,13 +266,13 @@ _DAY = 86_400_000_000
 
 @frame(
     "stabbing_join",
-    """with p as (select distinct l_shipdate::date as d from lineitem where l_linenumber = 1 and l_orderkey < 100)
+    """with p as (select distinct l_shipdate::date as d from lineitem)
     select distinct o_orderkey, strftime(d, '%Y-%m-%d') as probe from orders join p on o_orderdate::date <= d and d < (o_orderdate::date + 30)::date""",
 )
 def stabbing_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .operators.joins import stabbing_join as join
 
-    probes = _read(spark, sf_dir, "lineitem").filter("l_linenumber = 1 and l_orderkey < 100").selectExpr("cast(l_shipdate as date) at").distinct()
+    probes = _read(spark, sf_dir, "lineitem").selectExpr("cast(l_shipdate as date) at").distinct()
     found = join(_orders(spark, sf_dir), probes, "s", "e", "at", 30 * _DAY)
     return found.selectExpr("o_orderkey", "cast(at as string) probe").distinct()
 
@@ -396,7 +397,17 @@ def _points(spark: SparkSession, sf_dir: str, table: str, key: str) -> DataFrame
     return _read(spark, sf_dir, table).select(i, (F.pmod(i * 7919, F.lit(3600)) / 10 - 180).alias("lon"), (F.pmod(i * 104729, F.lit(1600)) / 10 - 80).alias("lat"))
 
 
-@frame("ecef_candidates")
+_PLACE = """select {0} id, ((({0} * 7919) % 3600) / 10.0 - 180)::double lon, ((({0} * 104729) % 1600) / 10.0 - 80)::double lat from {1}"""
+_E2 = "(1 / 298.257223563 * (2 - 1 / 298.257223563))"
+_SPOT = f"""select id, r * cos(radians(lat)) * cos(radians(lon)) x, r * cos(radians(lat)) * sin(radians(lon)) y, r * (1 - {_E2}) * sin(radians(lat)) z
+from (select *, 6378137 / sqrt(1 - {_E2} * sin(radians(lat)) ** 2) r from {{}})"""
+
+
+@frame(
+    "ecef_candidates",
+    f"""with p as ({_PLACE.format("c_custkey", "customer")}), q as ({_PLACE.format("s_suppkey", "supplier")}), a as ({_SPOT.format("p")}), b as ({_SPOT.format("q")})
+    select a.id c_custkey, b.id s_suppkey from a join b on abs(a.x - b.x) <= 200000.0002 and abs(a.y - b.y) <= 200000.0002 and abs(a.z - b.z) <= 200000.0002""",
+)
 def ecef_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .operators.joins import candidates
 
@@ -422,28 +433,28 @@ def _roads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.selectExpr("n_nationkey src", "(n_nationkey * 3 + 1) % 25 dst", "double(10 + n_regionkey) metres").union(n.selectExpr("n_nationkey", "(n_nationkey + 2) % 25", "30D"))
 
 
-@frame("shortest_distance", f"with recursive {_ROADS}, t as (select n_nationkey s, n_nationkey n, 0 d from nation where n_nationkey < 3 union select s, b, d + m from t join road on n = a where d < 400) select s source, n node, min(d)::double metres from t group by s, n")
+@frame("shortest_distance", f"with recursive {_ROADS}, t as (select n_nationkey s, n_nationkey n, 0 d from nation union select s, b, d + m from t join road on n = a where d < 400) select s source, n node, min(d)::double metres from t group by s, n")
 def shortest_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .operators.graphs import shortest_distances
 
-    return shortest_distances(_roads(spark, sf_dir), _read(spark, sf_dir, "nation").filter("n_nationkey < 3").select(F.col("n_nationkey").alias("id")))
+    return shortest_distances(_roads(spark, sf_dir), _read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id")))
 
 
-@frame("route_status", f"with recursive {_ROADS}, t as (select n_nationkey s, n_nationkey n, 0 d from nation where n_nationkey < 3 union select s, b, d + m from t join road on n = a where d < 400), q as (select a.n_nationkey s, b.n_nationkey + 20 d from nation a, nation b where a.n_nationkey < 3 and b.n_nationkey < 10) select q.s src, q.d dst, case when q.d >= 25 then 'out_of_region' when min(t.d) is null then 'no_route' else 'ok' end status, coalesce(case when q.d < 25 then min(t.d)::double end, -1) metres from q left join t on t.s = q.s and t.n = q.d group by q.s, q.d")
+@frame("route_status", f"with recursive {_ROADS}, t as (select n_nationkey s, n_nationkey n, 0 d from nation union select s, b, d + m from t join road on n = a where d < 400), q as (select a.n_nationkey s, b.n_nationkey + 20 d from nation a, nation b) select q.s src, q.d dst, case when q.d >= 25 then 'out_of_region' when min(t.d) is null then 'no_route' else 'ok' end status, coalesce(case when q.d < 25 then min(t.d)::double end, -1) metres from q left join t on t.s = q.s and t.n = q.d group by q.s, q.d")
 def route_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .operators.graphs import route_status as status
 
     n = _read(spark, sf_dir, "nation").select("n_nationkey")
-    queries = n.filter("n_nationkey < 3").selectExpr("n_nationkey src").crossJoin(n.filter("n_nationkey < 10").selectExpr("n_nationkey + 20 dst"))
+    queries = n.selectExpr("n_nationkey src", "explode(sequence(20, 44)) dst")
     return status(_roads(spark, sf_dir), n.selectExpr("n_nationkey id"), queries).fillna(-1.0, ["metres"])
 
 
-@frame("affected_closure", "with recursive d as (select distinct o_custkey * 10 id, o_orderkey * 10 + 1 needs from orders union select distinct l_orderkey * 10 + 1, l_suppkey * 10 + 2 from lineitem), t as (select 12::bigint id union select d.id from t join d on d.needs = t.id) select id from t")
+@frame("affected_closure", "with recursive d as (select distinct o_custkey * 10 id, o_orderkey * 10 + 1 needs from orders union select distinct l_orderkey * 10 + 1, l_suppkey * 10 + 2 from lineitem), t as (select s_suppkey * 10 + 2 id from supplier where s_acctbal < 3000 union select d.id from t join d on d.needs = t.id) select id from t")
 def affected_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .operators.graphs import affected
 
     needs = _read(spark, sf_dir, "orders").selectExpr("o_custkey * 10 id", "o_orderkey * 10 + 1 needs").union(_read(spark, sf_dir, "lineitem").selectExpr("l_orderkey * 10 + 1", "l_suppkey * 10 + 2"))
-    return affected(needs.distinct(), spark.range(12, 13))
+    return affected(needs.distinct(), _read(spark, sf_dir, "supplier").filter("s_acctbal < 3000").selectExpr("s_suppkey * 10 + 2 id"))
 
 
 def _ontology(spark: SparkSession, facts: DataFrame, text: str):
@@ -451,9 +462,11 @@ def _ontology(spark: SparkSession, facts: DataFrame, text: str):
     from .errors import IncompleteError
     from .ontology.compiler import compile_graph
     from .ontology.syntax import parse_ontology
-    from .plans.closure import Reckoner
+    from .plans.closure import Reckoner, facts_frame
 
     compiled = compile_graph(parse_ontology(f"Namespace(ex = <urn:x:>) Ontology({text})"))
+    if compiled.facts:  # what the text itself states
+        facts = facts.unionByName(facts_frame(spark, compiled.facts)).distinct()
     found = Reckoner(spark, compiled, facts=None).closure(facts)
     if not found.complete:
         raise IncompleteError(found.reason)
@@ -469,13 +482,13 @@ def class_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @frame(
     "functional_equality",
-    """with recursive p as (select distinct doc_id, sha256(left(text, 200)) k from documents), m as (select k, min(doc_id) r from p group by k)
+    """with recursive p as (select distinct doc_id, sha256(text) k from documents), m as (select k, min(doc_id) r from p group by k)
     select p.doc_id, m.r representative from p join m using (k)""",
 )
 def functional_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that share a beginning are one: an inverse functional key merges them; the smallest id stands for them."""
+    """Documents with one text are one: an inverse functional key merges them; the smallest id stands for them."""
     name = "concat('<urn:doc:', lpad(doc_id, 12, '0'), '>')"
-    facts = _read(spark, sf_dir, "documents").selectExpr("'urn:x:key' p", f"{name} s", "concat('<urn:key:', sha2(left(text, 200), 256), '>') o")
+    facts = _read(spark, sf_dir, "documents").selectExpr("'urn:x:key' p", f"{name} s", "concat('<urn:key:', sha2(text, 256), '>') o")
     found = _ontology(spark, facts, "ObjectProperty(ex:key InverseFunctional)")
     number = lambda c: F.regexp_extract(c, r"<urn:doc:(\d+)>", 1).cast("long")
     merged = found.aliases.select(number("node").alias("doc_id"), number("rep").alias("representative"))
@@ -659,13 +672,13 @@ def provider_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate(rows, squares, "square", ["size"], T.DoubleType()).selectExpr("part", "result.status status", "coalesce(result.value, -1D) value")
 
 
-@frame("provider_scan", "select distinct n_nationkey nation, n_nationkey::bigint + 100 candidate from nation where n_nationkey < 10")
+@frame("provider_scan", "select distinct n_nationkey nation, n_nationkey::bigint + 100 candidate from nation")
 def provider_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A provider's enumeration joined to rule bindings."""
     from .functions import builtin
     from .sources.providers import FakeProvider, scan_relation
 
-    provider = FakeProvider(scans={"near": [(k, k + 100) for k in range(10)]})
+    provider = FakeProvider(scans={"near": [(k, k + 100) for k in range(25)]})
     registry = builtin().with_scan("urn:x:near", 1, 1, scan_relation(provider, "near", "a long, b long"))
     text = PREFIXES + "answer(?nation, ?candidate) :- nation(?nation, ?r), scan <urn:x:near>(?nation) as ?candidate."
     return run(spark, text, relations_of(spark, sf_dir, "nation"), "answer", registry=registry)
@@ -674,11 +687,28 @@ def provider_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @frame("planar_within", "select a.n_nationkey a, b.n_nationkey b, sqrt(pow((a.n_nationkey - b.n_nationkey) * 3.0, 2) + pow((a.n_regionkey - b.n_regionkey) * 4.0, 2)) metres from nation a, nation b where pow((a.n_nationkey - b.n_nationkey) * 3.0, 2) + pow((a.n_regionkey - b.n_regionkey) * 4.0, 2) <= 36")
 def planar_within(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points of a projected plane within a radius, boundary included."""
-    from .operators.planar import ingest, planar_distance
+    from .operators.planar import ingest, radius_pairs
 
     places = ingest(_read(spark, sf_dir, "nation").selectExpr("n_nationkey id", "concat('POINT(', n_nationkey * 3, ' ', n_regionkey * 4, ')') wkt"), "EPSG:25832")
-    a, b = places.selectExpr("id a", "wkt wa"), places.selectExpr("id b", "wkt wb")
-    return a.crossJoin(b).withColumn("metres", planar_distance("wa", "wb")).filter("metres <= 6").select("a", "b", "metres")
+    return radius_pairs(places, places, 6.0).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "metres")
+
+
+_SPOTS = 'place(?a, ?w), place(?b, ?v), bind geo:geometry(?w, "EPSG:25832") as ?g, bind geo:geometry(?v, "EPSG:25832") as ?h'
+_BOX = 'place(?a, ?w), bind geo:geometry(?w, "EPSG:25832") as ?g, bind geo:geometry("POLYGON((0 0, 30 0, 30 8, 0 8, 0 0))", "EPSG:25832") as ?box'
+rules("planar_rule_distance", "place", f"answer(?a, ?b, ?d) :- {_SPOTS}, bind geo:planarDistance(?g, ?h) as ?d.", "select a.n_nationkey a, b.n_nationkey b, sqrt(pow((a.n_nationkey - b.n_nationkey) * 3.0, 2) + pow((a.n_regionkey - b.n_regionkey) * 4.0, 2)) d from nation a, nation b")
+rules("planar_rule_within", "place", f"answer(?a, ?b) :- {_SPOTS}, filter geo:planarDwithin(?g, ?h, 6).", "select a.n_nationkey a, b.n_nationkey b from nation a, nation b where pow((a.n_nationkey - b.n_nationkey) * 3.0, 2) + pow((a.n_regionkey - b.n_regionkey) * 4.0, 2) <= 36")
+rules("planar_rule_contains", "place", f"answer(?a) :- {_BOX}, filter geo:contains(?box, ?g).", "select distinct n_nationkey a from nation where n_nationkey * 3 > 0 and n_nationkey * 3 < 30 and n_regionkey * 4 > 0 and n_regionkey * 4 < 8")
+rules("planar_rule_covers", "place", f"answer(?a) :- {_BOX}, filter geo:covers(?box, ?g).", "select distinct n_nationkey a from nation where n_nationkey * 3 between 0 and 30 and n_regionkey * 4 between 0 and 8")
+rules("planar_rule_intersects", "place", f"answer(?a) :- {_BOX}, filter geo:intersects(?g, ?box).", "select distinct n_nationkey a from nation where n_nationkey * 3 between 0 and 30 and n_regionkey * 4 between 0 and 8")
+
+
+@frame("planar_candidates", "select a.n_nationkey a, b.n_nationkey b from nation a, nation b where abs(floor(a.n_nationkey * 3 / 6.0) - floor(b.n_nationkey * 3 / 6.0)) <= 1 and abs(floor(a.n_regionkey * 4 / 6.0) - floor(b.n_regionkey * 4 / 6.0)) <= 1")
+def planar_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of points in neighbouring cells: all that may lie within the radius, and some more."""
+    from .operators.planar import ingest, point_candidates
+
+    places = ingest(_read(spark, sf_dir, "nation").selectExpr("n_nationkey id", "concat('POINT(', n_nationkey * 3, ' ', n_regionkey * 4, ')') wkt"), "EPSG:25832")
+    return point_candidates(places, places, 6.0).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
 
 
 @frame("osm_projection", "select 'latitude' prop, count(distinct o_orderkey) n from orders union all select 'name', count(distinct o_orderkey) from orders union all select 'tagKey', count(distinct o_orderkey) from orders")
@@ -689,3 +719,6 @@ def osm_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "orders").selectExpr("'node' type", "o_orderkey id", "1L version", "1D lat", "2D lon", "cast(array() as array<bigint>) nodes", "cast(array() as array<struct<type: string, ref: bigint, role: string>>) members", "map('name', 'v') tags", "'' timestamp", "'' changeset").dropDuplicates(["id"])
     named = project(validate(rows), "s").select(F.regexp_extract("p", "#(.*)>$", 1).alias("prop"))
     return named.filter("prop in ('latitude', 'name', 'tagKey')").groupBy("prop").agg(F.count("*").alias("n"))
+
+
+from . import table_ontologies  # noqa: E402, F401  registers more

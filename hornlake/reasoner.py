@@ -28,8 +28,9 @@ def term(x: str) -> str:
 
 
 class Reasoner:
-    def __init__(self, spark: SparkSession, triples: Iterable[Triple], profile: str = "L3", **limits):
-        self.spark, self.profile, self.limits = spark, profile, limits
+    def __init__(self, spark: SparkSession, triples: Iterable[Triple], profile: str = "L3", base: DataFrame | None = None, **limits):
+        """``triples``: the ontology, with facts if they are few; ``base``: a table of facts (p, s, o) of any size, o null for class membership."""
+        self.spark, self.profile, self.base, self.limits = spark, profile, base, limits
         self.triples = list(dict.fromkeys(triples))
         self.ontology: Ontology = compile_graph(self.triples, profile)
         self.closure: Closure = self._close(self.ontology)
@@ -45,7 +46,10 @@ class Reasoner:
         return cls(spark, parse_ontology(text), **options)
 
     def _close(self, ontology: Ontology) -> Closure:
-        return Reckoner(self.spark, ontology, **self.limits).closure(facts_frame(self.spark, ontology.facts))
+        facts = facts_frame(self.spark, ontology.facts)
+        if self.base is not None:
+            facts = facts.unionByName(self.base).distinct()
+        return Reckoner(self.spark, ontology, **self.limits).closure(facts)
 
     # status
 
@@ -106,7 +110,7 @@ class Reasoner:
         extra = [*extra, *((n, TYPE, f"<{OWL}NamedIndividual>") for n in named)]
         key = tuple(extra)
         if key not in self._probes:
-            self._probes[key] = Reasoner(self.spark, [*self.triples, *extra], self.profile, **self.limits)
+            self._probes[key] = Reasoner(self.spark, [*self.triples, *extra], self.profile, self.base, **self.limits)
         return self._probes[key]
 
     def _known(self, *xs: str) -> "Reasoner":
@@ -224,6 +228,8 @@ class Reasoner:
 
     def update(self, add: Iterable[Triple] = (), remove: Iterable[Triple] = ()) -> str:
         """Adds and removes triples (additions win) and maintains the closure; the method used is returned."""
+        if self.base is not None:
+            raise ValueError("a table of facts is replaced, not updated: make a new reasoner")
         add, gone = list(add), set(remove) - set(add)
         triples = [t for t in dict.fromkeys([*self.triples, *add]) if t not in gone]
         new = compile_graph(triples, self.profile)  # before anything changes

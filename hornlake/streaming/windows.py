@@ -78,12 +78,13 @@ class WindowStore:
     change either succeeds whole or leaves the state as it was.
     """
 
-    LIMITS = {"events": 10_000, "bytes": 16 * 2**20}
+    LIMITS = {"events": 10_000, "bytes": 16 * 2**20, "sources": 128}
 
-    def __init__(self, width: int, lateness: int = 0, state: dict | None = None):
+    def __init__(self, width: int, lateness: int = 0, state: dict | None = None, gaps: bool = False):
+        """``gaps``: whether offsets of a source may leave numbers out."""
         if width <= 0 or lateness < 0:
             raise DomainError("DOMAIN_ERROR", "a window needs a positive width and no negative lateness")
-        self.width, self.lateness = width, lateness
+        self.width, self.lateness, self.gaps = width, lateness, gaps
         self.state = state or {"events": {}, "gone": {}, "offsets": {}, "end": None, "watermark": None, "revision": 0}
 
     def _active(self) -> dict:
@@ -99,7 +100,7 @@ class WindowStore:
             if offset == last[0] and last[1] != json.dumps(content, sort_keys=True):
                 raise DomainError("DOMAIN_ERROR", "a replay differs from what it repeats")
             return True
-        if last is not None and offset != last[0] + 1:
+        if last is not None and offset != last[0] + 1 and not self.gaps:
             raise DomainError("UNAVAILABLE", f"offsets {last[0] + 1} to {offset - 1} of {source} are missing")
         return False
 
@@ -113,7 +114,7 @@ class WindowStore:
             keep = {older[-1][1]} if older else set()
             new["events"] = {i: e for i, e in new["events"].items() if e["event_time"] >= cutoff or i in keep}
             new["gone"] = {i: g for i, g in new["gone"].items() if g["event_time"] >= cutoff}
-        if len(new["events"]) > self.LIMITS["events"] or len(json.dumps(new)) > self.LIMITS["bytes"]:
+        if len(new["events"]) > self.LIMITS["events"] or len(new["offsets"]) > self.LIMITS["sources"] or len(json.dumps(new)) > self.LIMITS["bytes"]:
             self.state = old
             raise DomainError("RESOURCE_LIMIT", "the window holds too much")
         after = self._active()
@@ -145,10 +146,15 @@ class WindowStore:
             new["offsets"][source] = [offset, json.dumps(event, sort_keys=True)]
         return self._commit(before, new)
 
-    def remove(self, event_id: str, revision: int) -> dict:
+    def remove(self, event_id: str, revision: int, source: str | None = None, offset: int | None = None) -> dict:
+        content = {"event_id": event_id, "revision": revision, "removed": True}
+        if self._offset(source, offset, content):
+            return {"added": {}, "removed": {}}
         before, new = self._active(), self._copy()
+        if source is not None:
+            new["offsets"][source] = [offset, json.dumps(content, sort_keys=True)]
         if event_id in new["gone"]:
-            return {"added": {}, "removed": {}}
+            return self._commit(before, new)
         if event_id not in new["events"]:
             raise DomainError("UNAVAILABLE", f"event {event_id} isn't known")
         event = new["events"].pop(event_id)
@@ -165,6 +171,12 @@ class WindowStore:
         new["end"], new["watermark"] = end, watermark
         return self._commit(before, new)
 
+    def forget_key(self) -> dict:
+        """Drops the key's events and tombstones; clock, watermark and offsets stay, so that replays stay replays."""
+        before, new = self._active(), self._copy()
+        new["events"], new["gone"] = {}, {}
+        return self._commit(before, new)
+
     def rows(self) -> list[dict]:
         return sorted(self._active().values(), key=lambda e: (e["event_time"], e["event_id"]))
 

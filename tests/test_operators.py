@@ -224,3 +224,37 @@ def test_views(spark):
     with pytest.raises(ZeroDivisionError):
         p.publish(lambda: {"a": 1 / 0})
     assert p.version == 1
+
+
+def test_window_keys_gaps_and_sources():
+    from hornlake.streaming.windows import WindowStore
+
+    event = lambda k, t: {"event_id": str(k), "event_time": t, "value": 1.0, "revision": 1}
+    strict, loose = WindowStore(10), WindowStore(10, gaps=True)
+    for store in (strict, loose):
+        store.upsert(event(1, 5), "a", 1)
+        store.advance(10, 0)
+    with pytest.raises(DomainError):
+        strict.upsert(event(2, 6), "a", 3)
+    assert loose.upsert(event(2, 6), "a", 3)["added"].keys() == {"2"}
+    assert loose.remove("2", 2, "a", 4)["removed"].keys() == {"2"} and loose.remove("2", 2, "a", 4) == {"added": {}, "removed": {}}
+    assert loose.forget_key()["removed"].keys() == {"1"} and not loose.rows() and loose.upsert(event(1, 5), "a", 1) == {"added": {}, "removed": {}}
+    for k in range(WindowStore.LIMITS["sources"] - 1):
+        loose.upsert(event(10 + k, 5), f"s{k}", 1)
+    with pytest.raises(DomainError):
+        loose.upsert(event(999, 5), "one more", 1)
+
+
+def test_point_candidates_hold_all_pairs(spark):
+    import math
+    import random
+
+    from hornlake.operators.planar import ingest, radius_pairs
+
+    rng = random.Random(2)
+    spots = [(k, rng.uniform(-50, 50), rng.uniform(-50, 50)) for k in range(150)]
+    frame = spark.createDataFrame([(k, f"POINT({x} {y})") for k, x, y in spots], "id long, wkt string")
+    for crs, unit in (("EPSG:25832", 1.0), ("EPSG:2263", 0.3048006096012192)):
+        places = ingest(frame, crs)
+        found = {(r.id_a, r.id_b) for r in radius_pairs(places, places, 4.0).collect()}
+        assert found == {(a, b) for a, x, y in spots for b, u, v in spots if math.hypot(x - u, y - v) * unit <= 4.0}
