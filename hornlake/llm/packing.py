@@ -3,14 +3,17 @@
 Every document becomes the ids of its text plus an end id. Only documents
 longer than a sequence are cut: the first piece takes the remainder, all later
 ones are full. Pieces are packed per input partition: best-fit decreasing
-makes the start, then a local search empties bins by moving a piece, swapping
-one for one or two for one into fuller bins, or by swaps that make room
-elsewhere. Each such step raises the sum of squared fills, so the search ends; a
-bin whose pieces all leave is gone.
+makes the start, then a local search moves a piece into a fuller bin or
+swaps one or two for a shorter one there. Each step raises the sum of squared
+fills, so the search ends, which it does only when no such step is left between
+any two underfull bins; a bin whose pieces all leave is gone. The bins of all
+partitions that are still underfull are then packed again together, in groups
+of about ``GROUP`` pieces.
 
-Nothing is shuffled. A task holds lengths and places of its own pieces only
-(about 60 bytes each), never ids or texts of more than one batch, and a lost
-task repeats with the same numbers because partitions come from the scan.
+A task holds lengths and places of its own pieces only (about 60 bytes each),
+never ids or texts of more than one batch. The first packing is written to the
+shared folder, so that a lost executor never mixes two of them; only the pieces
+of underfull bins are shuffled, without ids or texts.
 
 Cases: a null text counts as empty (one piece: the end id); repeated rows are
 packed as often as they occur; null ids stay null; an empty table gives no row;
@@ -28,11 +31,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import materialize
+
 SEQUENCE = 1024
 END_ID = 2
-#: The fullest bins looked at for one exchange that doesn't empty the least full.
-LOOK = 64
+#: Pieces of underfull bins that one task packs again, about.
+GROUP = 200_000
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
 class Encoder:
@@ -100,89 +106,135 @@ def best_fit(lengths: np.ndarray, size: int = SEQUENCE) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: np.ndarray, size: int = SEQUENCE, tries: int = 64) -> list[list[int]]:
-    """Empties the least full bins into the others while squared fill rises.
+def local_search(bins: list[list[int]], lengths: np.ndarray, size: int = SEQUENCE) -> list[list[int]]:
+    """Moves, one-for-one and two-for-one exchanges into fuller bins, until none is left between any two underfull ones.
 
-    ``tries`` is how many of the least full bins in a row may fail to empty
-    before the search rests; a failed bin keeps what its exchanges gained.
+    Candidates are looked up by length and room, of which there are at most
+    ``size`` each, so a look at one bin costs the same however many others there are.
     """
     size_of = lengths.tolist()
-    fill = np.array([sum(size_of[i] for i in b) for b in bins], dtype=np.int64)
-    under = [b for b in range(len(bins)) if fill[b] < size]
-    owner: dict[int, int] = {i: b for b in under for i in bins[b]}
-    items = np.array(sorted(owner), dtype=np.int64)
-    if len(under) < 2:
-        return bins
-    item_len = lengths[items].astype(np.int64)
-    item_bin = np.array([owner[i] for i in items.tolist()], dtype=np.int64)
-    place = {i: k for k, i in enumerate(items.tolist())}
-
-    def put(i: int, b: int) -> None:
-        bins[int(item_bin[place[i]])].remove(i)
-        fill[item_bin[place[i]]] -= size_of[i]
+    fill = [sum(size_of[i] for i in b) for b in bins]
+    under = [b for b in range(len(bins)) if 0 < fill[b] < size]
+    held = np.zeros((size + 1, size + 1), dtype=np.int32)  # bins that hold a length, by their room
+    lengths_held = np.zeros(size + 1, dtype=np.int64)
+    rooms = np.zeros(size + 1, dtype=np.int64)
+    who: dict[tuple[int, int], dict[int, None]] = {}  # bins of a length and a room; length 0 stands for any
+
+    def note(b: int, way: int) -> None:
+        room = size - fill[b]
+        if not 0 < room < size:
+            return
+        own = {size_of[i] for i in bins[b]}
+        for n in own:
+            held[n, room] += way
+            lengths_held[n] += way
+        rooms[room] += way
+        for n in (0, *own):
+            if way > 0:
+                who.setdefault((n, room), {})[b] = None
+            else:
+                del who[n, room][b]
+
+    def put(i: int, a: int, b: int) -> None:
+        bins[a].remove(i)
         bins[b].append(i)
+        fill[a] -= size_of[i]
         fill[b] += size_of[i]
-        item_bin[place[i]] = b
 
     def shrink(low: int) -> bool:
-        """One improving exchange that moves length out of bin ``low``."""
-        own = sorted(bins[low], key=lambda i: -size_of[i])
-        room = size - fill
-        room[low] = -1
-        room[fill == 0] = -1
-        for i in own:
-            fits = np.nonzero(room >= size_of[i])[0]
-            if len(fits):
-                put(i, int(fits[np.argmin(room[fits])]))
-                return True
-        gap = size - fill[item_bin]
-        other = (item_bin != low) & (fill[item_bin] >= fill[low])
-        single = [((i,), size_of[i]) for i in own]
-        double = [((i, j), size_of[i] + size_of[j]) for k, i in enumerate(own) for j in own[k + 1 :]]
-        for group, total in [*single, *double[:256]]:
-            gain = total - item_len
-            good = other & (gain > 0) & (gain <= gap)
-            if good.any():
-                k = int(np.argmax(np.where(good, gain, 0)))
-                b, back = int(item_bin[k]), int(items[k])
-                put(back, low)
-                for i in group:
-                    put(i, b)
+        """One improving move or exchange that takes length out of bin ``low``, which is not among the noted ones."""
+        gap = size - fill[low]
+        by_length: dict[int, list[int]] = {}
+        for i in bins[low]:
+            by_length.setdefault(size_of[i], []).append(i)
+        own = sorted(by_length, reverse=True)
+        for n in own:
+            fits = np.flatnonzero(rooms[n:])
+            if len(fits) and n + fits[0] < gap + n:  # squared fill rises
+                b = next(iter(who[0, n + int(fits[0])]))
+                note(b, -1)
+                put(by_length[n][0], low, b)
+                note(b, 1)
                 return True
+        kinds = np.flatnonzero(lengths_held)
+        inside = held[kinds, 1 : gap + 1] > 0  # of bins at least as full as this one
+        reach = np.where(inside.any(axis=1), gap - np.argmax(inside[:, ::-1], axis=1), 0)
+        singles = [(n,) for n in own]
+        doubles = [(n, m) for k, n in enumerate(own) for m in own[k:] if n != m or len(by_length[n]) > 1]
+        for groups in (singles, doubles):
+            if not groups or not len(kinds):
+                continue
+            gain = np.array([sum(g) for g in groups])[:, None] - kinds
+            gain[(gain <= 0) | (gain > reach)] = 0
+            best = gain.max(axis=1)
+            if not best.any():
+                continue
+            k = int(np.argmax(best > 0))
+            at = int(np.argmax(gain[k]))
+            back = int(kinds[at])
+            room = int(best[k]) + int(np.argmax(held[back, int(best[k]) : gap + 1] > 0))
+            b = next(iter(who[back, room]))
+            note(b, -1)
+            put(next(i for i in bins[b] if size_of[i] == back), b, low)
+            taken = dict.fromkeys(groups[k], 0)
+            for n in groups[k]:
+                put(by_length[n][taken[n]], low, b)
+                taken[n] += 1
+            note(b, 1)
+            return True
         return False
 
-    def fill_up(low: int) -> bool:
-        """One exchange between other underfull bins that fills the fuller one further."""
-        others = sorted((b for b in under if b != low and 0 < fill[b] < size), key=lambda b: (-fill[b], b))[:LOOK]
-        for b in others:
-            gap = size - fill[b]
-            other = (item_bin != b) & (item_bin != low) & (fill[item_bin] <= fill[b])
-            for i in bins[b]:
-                gain = item_len - size_of[i]
-                good = other & (gain > 0) & (gain <= gap)
-                if good.any():
-                    k = int(np.argmax(np.where(good, gain, 0)))
-                    there, back = int(item_bin[k]), int(items[k])
-                    put(i, there)
-                    put(back, b)
-                    return True
-        return False
-
-    stuck: set[int] = set()
-    while len(stuck) < tries:
-        open_ = [b for b in under if 0 < fill[b] < size and b not in stuck]
-        if len(open_) < 2:
-            break
-        low = min(open_, key=lambda b: (fill[b], b))
-        while bins[low] and (shrink(low) or fill_up(low)):
-            pass
-        if bins[low]:
-            stuck.add(low)
+    for b in under:
+        note(b, 1)
+    changed = len(under) > 1
+    while changed:
+        changed = False
+        failed: set[tuple[int, ...]] = set()  # bins like these can't improve unless something changes
+        for low in sorted((b for b in under if 0 < fill[b] < size), key=lambda b: (fill[b], b)):
+            if not 0 < fill[low] < size:
+                continue
+            alike = tuple(sorted(size_of[i] for i in bins[low]))
+            if alike in failed:
+                continue
+            note(low, -1)
+            moved = False
+            while bins[low] and shrink(low):
+                moved = True
+            note(low, 1)
+            if moved:
+                changed = True
+                failed.clear()
+            else:
+                failed.add(alike)
     return [b for b in bins if b]
 
 
+def places(bins: list[list[int]], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each piece's bin and its place there."""
+    sequence = np.empty(len(lengths), dtype=np.int64)
+    offset = np.empty(len(lengths), dtype=np.int64)
+    for b, members in enumerate(bins):
+        sequence[members] = b
+        offset[members] = np.cumsum(lengths[members]) - lengths[members]
+    return sequence, offset
+
+
+def repack(lengths: np.ndarray, sequences: np.ndarray, size: int = SEQUENCE) -> list[list[int]]:
+    """Underfull bins of several partitions packed together, from the better of the given and a new start."""
+    given: dict[int, list[int]] = {}
+    for i, s in enumerate(sequences.tolist()):
+        given.setdefault(s, []).append(i)
+    return min((local_search(b, lengths, size) for b in (best_fit(lengths, size), list(given.values()))), key=len)
+
+
+def _parts(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for at in range(0, rows.num_rows, 20_000):
+        yield rows.slice(at, 20_000)
+
+
 def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k", size: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
     """One row per piece: where it lies in its document and in its sequence."""
+    arrow_schema = pa.schema([(n, pa.int32() if n == "piece" else pa.int64()) for n in NAMES])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -204,19 +256,28 @@ def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k", size: int = SEQUENCE
             return
         table = np.concatenate(rows)
         lengths = table[:, 3]
-        bins = local_search(best_fit(lengths, size), lengths, size)
-        sequence = np.empty(len(table), dtype=np.int64)
-        offset = np.empty(len(table), dtype=np.int64)
-        base = TaskContext.get().partitionId() << 32
-        for b, members in enumerate(bins):
-            at = 0
-            for i in members:
-                sequence[i], offset[i] = base + b, at
-                at += int(lengths[i])
+        sequence, offset = places(local_search(best_fit(lengths, size), lengths, size), lengths)
+        whole = np.bincount(sequence, weights=lengths)[sequence] == size
+        sequence += TaskContext.get().partitionId() << 32
         doc = pa.array(ids, pa.int64()).take(pa.array(table[:, 0]))
-        columns = [doc, pa.array(table[:, 1].astype(np.int32)), *(pa.array(table[:, k]) for k in (2, 3, 4)), pa.array(sequence), pa.array(offset)]
-        out = pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
-        for at in range(0, out.num_rows, 20_000):
-            yield out.slice(at, 20_000)
+        columns = [doc, pa.array(table[:, 1].astype(np.int32)), *(pa.array(table[:, k]) for k in (2, 3, 4)), pa.array(sequence), pa.array(offset), pa.array(whole)]
+        yield from _parts(pa.RecordBatch.from_arrays(columns, [*NAMES, "whole"]))
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        rows = pa.Table.from_batches(batches, arrow_schema).combine_chunks()
+        if not rows.num_rows:
+            return
+        lengths, before = (rows.column(c).to_numpy() for c in ("length", "sequence_id"))
+        sequence, offset = places(repack(lengths, before, size), lengths)
+        sequence = ~(sequence + (TaskContext.get().partitionId() << 32))  # below 0, apart from the others
+        columns = [*(rows.column(c).combine_chunks() for c in NAMES[:5]), pa.array(sequence), pa.array(offset)]
+        yield from _parts(pa.RecordBatch.from_arrays(columns, NAMES))
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
+    first = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, f"{SCHEMA}, whole boolean")
+    placed = materialize(first, "packed")
+    loose = placed.filter("not whole").drop("whole")
+    groups = max(1, -(-loose.count() // GROUP))
+    packed = loose.repartition(groups, "sequence_id").sortWithinPartitions("sequence_id", "offset").mapInArrow(again, SCHEMA)
+    return placed.filter("whole").drop("whole").unionByName(packed)

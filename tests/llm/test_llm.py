@@ -7,6 +7,7 @@ import re
 import unicodedata
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -456,6 +457,44 @@ def test_packing_search():
     assert len(packing.local_search([[0, 3], [1, 2], [4]], lengths)) == 2
 
 
+def improving(bins, lengths, size):
+    """Brute force: a move or swap of one or two for one into a bin at least as full, or None."""
+    fill = [sum(lengths[i] for i in b) for b in bins]
+    for a, low in enumerate(bins):
+        groups = [g for n in (1, 2) for g in combinations(low, n)]
+        for b, other in enumerate(bins):
+            if a == b or fill[a] == size or fill[b] == size or fill[b] < fill[a]:
+                continue
+            for g in groups:
+                for back in [(), *((i,) for i in other)]:
+                    gain = sum(lengths[i] for i in g) - sum(lengths[i] for i in back)
+                    if (back or len(g) == 1) and 0 < gain <= size - fill[b]:
+                        return g, back
+    return None
+
+
+def test_packing_search_ends_at_an_optimum():
+    rng = np.random.default_rng(7)
+    for k in range(40):
+        size = int(rng.integers(8, 60))
+        lengths = rng.integers(1, size + 1, int(rng.integers(0, 40)))
+        start = packing.best_fit(lengths, size) if k % 2 else [[i] for i in range(len(lengths))]
+        bins = packing.local_search([list(b) for b in start], lengths, size)
+        assert sorted(i for b in bins for i in b) == list(range(len(lengths)))
+        assert all(sum(lengths[i] for i in b) <= size for b in bins) and len(bins) <= len(start)
+        assert improving(bins, lengths, size) is None
+
+
+def test_packing_does_not_depend_on_partitions(spark):
+    """Halves and quarters of sequences that lie in partitions of their own still meet."""
+    words = {100: " a" * 99, 411: " a" * 410, 513: " a" * 512}
+    texts = [words[n] for n in (100, 411, 513) for _ in range(10)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = packing.pack(df.repartitionByRange(6, "doc_id")).collect()
+    assert sorted(p.length for p in found) == [100] * 10 + [411] * 10 + [513] * 10
+    assert len({p.sequence_id for p in found}) == 10
+
+
 # 7 near duplicates
 
 
