@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..storage import materialize, shared_dir
 
-__all__ = ["Words", "fresh", "map_arrow", "materialize", "mix64", "run_hashes", "shared_dir", "slices", "table", "words_in", "words_of"]
+__all__ = ["Words", "fresh", "limit_batches", "map_arrow", "materialize", "mix64", "release", "run_hashes", "shared_dir", "slices", "table", "words_in", "words_of"]
 
 #: Rows, and bytes of text, that a task turns into Python objects at once; one longer text counts as a slice.
 SLICE_ROWS, SLICE_BYTES = 512, 1 << 20
@@ -44,7 +44,7 @@ def slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
         at = end
 
 
-def _release() -> None:
+def release() -> None:
     """Gives freed memory back to the system, since workers outlive their tasks."""
     pa.default_memory_pool().release_unused()
     try:
@@ -53,15 +53,20 @@ def _release() -> None:
         pass
 
 
+def limit_batches(spark: SparkSession) -> None:
+    """Lowers the session's limit on rows of an Arrow batch to ``BATCH_ROWS`` where it is higher."""
+    limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(limit)) <= BATCH_ROWS:
+        spark.conf.set(limit, BATCH_ROWS)
+
+
 def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]], schema, text: int | None = None) -> DataFrame:
     """``mapInArrow`` with state per task: ``make()`` runs once per task and gives the batch function.
 
     With ``text``, the place of a text column, the function gets small slices of the batches.
     The session's limit on rows of a batch is lowered to ``BATCH_ROWS`` where it is higher.
     """
-    conf, limit = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(limit)) <= BATCH_ROWS:
-        conf.set(limit, BATCH_ROWS)
+    limit_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
@@ -71,7 +76,7 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Itera
                     yield from step(part)
         finally:
             del step
-            _release()
+            release()
 
     return df.mapInArrow(run, schema)
 

@@ -31,12 +31,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize
+from .common import limit_batches, materialize, release, slices
 
 SEQUENCE = 1024
 END_ID = 2
 #: Pieces of underfull bins that one task packs again, about.
-GROUP = 200_000
+GROUP = 50_000
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 
@@ -242,7 +242,7 @@ def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k", size: int = SEQUENCE
         encode = Encoder.get(vocabulary)
         ids: list[int | None] = []
         rows: list[np.ndarray] = []
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             got = []
             for text in batch.column(1).to_pylist():
                 tokens = np.append(encode(text or ""), np.uint32(end_id)).astype("<u4")
@@ -252,6 +252,7 @@ def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k", size: int = SEQUENCE
             ids[len(ids) - batch.num_rows :] = batch.column(0).to_pylist()
             if got:
                 rows.append(np.array(got, dtype=np.int64))
+        release()
         if not rows:
             return
         table = np.concatenate(rows)
@@ -262,6 +263,7 @@ def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k", size: int = SEQUENCE
         doc = pa.array(ids, pa.int64()).take(pa.array(table[:, 0]))
         columns = [doc, pa.array(table[:, 1].astype(np.int32)), *(pa.array(table[:, k]) for k in (2, 3, 4)), pa.array(sequence), pa.array(offset), pa.array(whole)]
         yield from _parts(pa.RecordBatch.from_arrays(columns, [*NAMES, "whole"]))
+        release()
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -275,6 +277,7 @@ def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k", size: int = SEQUENCE
         columns = [*(rows.column(c).combine_chunks() for c in NAMES[:5]), pa.array(sequence), pa.array(offset)]
         yield from _parts(pa.RecordBatch.from_arrays(columns, NAMES))
 
+    limit_batches(docs.sparkSession)
     first = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, f"{SCHEMA}, whole boolean")
     placed = materialize(first, "packed")
     loose = placed.filter("not whole").drop("whole")
