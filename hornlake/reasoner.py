@@ -170,6 +170,11 @@ class Reasoner:
     def _schema(self) -> set[tuple]:
         return set(single_atom_closure([r for r in self.ontology.rules if is_single(r)]))
 
+    def _told(self, *rule) -> bool:
+        """Whether chains of single-atom rules alone say so, whatever the facts; no closure is needed then."""
+        self._guard()
+        return rule in self._schema()
+
     def subsumes(self, sup: str, sub: str) -> bool:
         """Whether every member of ``sub`` is one of ``sup``: by the schema, else by a fresh member."""
         self._guard()
@@ -192,7 +197,7 @@ class Reasoner:
 
     def subproperty(self, sup: str, sub: str) -> bool:
         p, q = term(sup), term(sub)
-        return p == q or (iri(q), iri(p), 0, 1) in self._schema() or self._pair_probe([(self._A, q, self._B)], self._A, p, self._B)
+        return p == q or self._told(iri(q), iri(p), 0, 1) or self._pair_probe([(self._A, q, self._B)], self._A, p, self._B)
 
     property_subsumes = subproperty
 
@@ -201,20 +206,23 @@ class Reasoner:
 
     def inverse_properties(self, a: str, b: str) -> bool:
         p, q = term(a), term(b)
-        return self._pair_probe([(self._A, p, self._B)], self._B, q, self._A) and self._pair_probe([(self._A, q, self._B)], self._B, p, self._A)
+        return all(self._told(iri(x), iri(y), 1, 0) or self._pair_probe([(self._A, x, self._B)], self._B, y, self._A) for x, y in ((p, q), (q, p)))
 
     def is_symmetric(self, prop: str) -> bool:
-        return self._pair_probe([(self._A, term(prop), self._B)], self._B, prop, self._A)
+        p = term(prop)
+        return self._told(iri(p), iri(p), 1, 0) or self._pair_probe([(self._A, p, self._B)], self._B, prop, self._A)
 
     def is_transitive(self, prop: str) -> bool:
         p = term(prop)
         return self._pair_probe([(self._A, p, self._B), (self._B, p, self._C)], self._A, p, self._C)
 
     def has_domain(self, prop: str, concept: str) -> bool:
-        return self._pair_probe([(self._A, term(prop), self._B)], self._A, TYPE, concept)
+        p = term(prop)
+        return self._told(iri(p), iri(term(concept)), 0, None) or self._pair_probe([(self._A, p, self._B)], self._A, TYPE, concept)
 
     def has_range(self, prop: str, concept: str) -> bool:
-        return self._pair_probe([(self._A, term(prop), self._B)], self._B, TYPE, concept)
+        p = term(prop)
+        return self._told(iri(p), iri(term(concept)), 1, None) or self._pair_probe([(self._A, p, self._B)], self._B, TYPE, concept)
 
     def is_satisfiable(self, concept: str) -> bool:
         self._guard()

@@ -23,7 +23,6 @@ from ..functions.registry import Operation, Registry, Result
 
 #: Fixed values.
 STATUSES = ("ok", "no_route", "no_match", "out_of_region", "domain_error", "incomplete", "unavailable", "cancelled", "deadline", "protocol_error", "snapshot_changed", "resource_limit")
-CACHED = ("ok", "no_route")
 
 
 def encode(value) -> list:
