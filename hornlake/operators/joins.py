@@ -22,6 +22,11 @@ def _micros(df: DataFrame, name: str) -> Column:
     return F.unix_micros(F.col(name).cast("timestamp")) if kind.startswith("timestamp") else F.col(name).cast("long")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Dealt over all shuffle partitions, which adaptive execution joins to a few if a table is small, however many rows a join makes of it."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def stabbing_join(intervals: DataFrame, probes: DataFrame, start: str, end: str, at: str, width: int) -> DataFrame:
     """Interval rows with the probes in [start, end); column names must differ. ``width``: bucket microseconds.
 
@@ -77,7 +82,8 @@ def candidates(points: DataFrame, probes: DataFrame, radius: float, point: tuple
     around = F.array(*(F.lit(k) for k in (-1, 0, 1)))
     for k in "xyz":
         q = q.withColumn(f"__d{k}", F.explode(around)).withColumn(f"__c{k}", cell(f"__q{k}") + F.col(f"__d{k}")).drop(f"__d{k}")
-    met = p.join(q, [f"__c{k}" for k in "xyz"])
+    cells = [f"__c{k}" for k in "xyz"]
+    met = spread(p, *cells).join(q, cells)  # small tables make many pairs
     slack = radius * (1 + 1e-9) + 1e-6
     for k in "xyz":
         met = met.filter(F.abs(F.col(f"__p{k}") - F.col(f"__q{k}")) <= slack)
@@ -85,6 +91,8 @@ def candidates(points: DataFrame, probes: DataFrame, radius: float, point: tuple
 
 
 def radius_join(points: DataFrame, probes: DataFrame, radius: float, point: tuple[str, str], probe: tuple[str, str]) -> DataFrame:
-    """Pairs within ``radius`` metres (inclusive) along the ellipsoid, with ``metres``."""
-    met = candidates(points, probes, radius, point, probe)
-    return met.withColumn("metres", geodesic_metres(*(F.col(c) for c in (*point, *probe)))).filter(F.col("metres") <= radius)
+    """Pairs within ``radius`` metres (inclusive) along the ellipsoid, with ``metres``, measured once for each pair of different places."""
+    met = candidates(points.select(*point).distinct(), probes.select(*probe).distinct(), radius, point, probe)
+    met = met.withColumn("metres", geodesic_metres(*(F.col(c) for c in (*point, *probe)))).filter(F.col("metres") <= radius)
+    found = spread(points, *point).join(probes.join(met, list(probe)), list(point))
+    return found.select(*points.columns, *probes.columns, "metres")
