@@ -3,6 +3,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F, types as T
 
@@ -26,6 +27,36 @@ def test_geodesic_known_values():
     assert abs(geodesic([179.9], [10], [-179.9], [10])[0] - geodesic([0.1], [10], [-0.1], [10])[0]) < 1e-6
 
 
+def test_geodesic_measures_equal_pairs_once(monkeypatch):
+    from hornlake.functions import spatial
+
+    sizes, along = [], spatial._along
+    monkeypatch.setattr(spatial, "_along", lambda alpha1, *rest: sizes.append(len(alpha1)) or along(alpha1, *rest))
+    found = geodesic([7.0] * 500 + [1.0, 3.0], [50.0] * 500 + [2.0, 4.0], [7.5] * 500 + [1.0, 3.0], [50.5] * 500 + [2.0, 4.5])
+    assert max(sizes) <= 2 and len(sizes) < 40
+    assert len(set(found[:500])) == 1 and found[500] == 0 and abs(found[501] - 55290.19056612) < 1e-5
+    assert geodesic([5], [5], [5], [5])[0] == 0 and math.isnan(geodesic([float("nan")], [0], [1], [1])[0])
+    # near the equator the azimuth of equal latitudes is hardly fixed, the distance is
+    low, mid, high = (geodesic([0], [-0.0004078160060458913], [118.31826434436954], [-0.0004078160060458913 + d])[0] for d in (-1e-7, 0, 1e-7))
+    assert abs(low - mid) < 1e-6 and abs(high - mid) < 1e-6
+
+
+def test_radius_join_measures_places_once(spark, monkeypatch):
+    from hornlake.operators import joins
+
+    @F.pandas_udf("double")
+    def once(lon1: pd.Series, lat1: pd.Series, lon2: pd.Series, lat2: pd.Series) -> pd.Series:
+        if pd.DataFrame([lon1, lat1, lon2, lat2]).T.duplicated().any():
+            raise ValueError("a pair of places is measured twice")
+        return pd.Series(geodesic(lon1, lat1, lon2, lat2))
+
+    monkeypatch.setattr(joins, "geodesic_metres", once)
+    p = spark.createDataFrame([(i, i % 3 / 1000, 0.0) for i in range(30)] + [(99, None, 1.0)], "i long, lon double, lat double")
+    q = spark.createDataFrame([(j, j % 2 / 1000, 0.0) for j in range(20)], "j long, lon2 double, lat2 double")
+    got = sorted((r.i, r.j) for r in radius_join(p, q, 120.0, ("lon", "lat"), ("lon2", "lat2")).collect())
+    assert got == sorted((i, j) for i in range(30) for j in range(20) if abs(i % 3 - j % 2) <= 1)
+
+
 def test_radius_join_is_exhaustive(spark):
     rng = random.Random(1)
     spots = [(i, rng.choice([-180.0, 179.99, 0.0]) + rng.random() * 0.01, rng.choice([0.0, 89.99, -60.0]) + rng.random() * 0.005) for i in range(60)]
