@@ -196,3 +196,14 @@ def test_parameters_and_scan(spark):
     out = run(spark, HEAD + "answer(?x, ?y) :- r(?x), scan <urn:x:near>(?x) as ?y.", {Q + "r": r}, "answer", registry=registry)
     assert {tuple(x) for x in out.collect()} == {(1, 10), (7, 70)}
     assert isinstance(parse(HEAD + "a() :- b().").rules[0].head, Atom) and str(Var("x")) == "?x" and issubclass(ParseError, EngineError)
+
+
+@pytest.mark.parametrize("op, holds", [("greaterThan", lambda a, b: a > b), ("lessThanOrEqual", lambda a, b: a <= b)])
+def test_compared_pairs_are_not_made_distinct_afterwards(spark, op, holds):
+    left = [(1, 2, 5), (1, 2, 9), (1, 2, 9), (2, 2, 1), (3, 1, 4)]
+    right = [(7, Decimal("5.50")), (7, Decimal("0.25")), (8, Decimal("9.00")), (8, Decimal("9.00"))]
+    text = f"version 1\nprefix num: <urn:dlp:numeric:>\nanswer(?c, ?s, 4) :- p(?c, 2, ?a), q(?s, ?b), filter num:{op}(?a, ?b)."
+    found = run(spark, text, {"urn:dlp:query:p": spark.createDataFrame(left, "a long, n long, b int"), "urn:dlp:query:q": spark.createDataFrame(right, "s long, b decimal(9,2)")}, "answer")
+    assert sorted(tuple(r) for r in found.collect()) == sorted({(c, s, 4) for c, n, a in left for s, b in right if n == 2 and holds(a, b)})
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Aggregate")  # each side is grouped below the join, nothing above it
