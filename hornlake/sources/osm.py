@@ -122,8 +122,11 @@ def _road(prefix: str = ""):
     return F.coalesce((F.col(f"{prefix}type") == "way") & tags["highway"].isin(*ROAD_HIGHWAYS) & F.coalesce(tags["area"] != "yes", F.lit(True)), F.lit(False))
 
 
-def project(elements: DataFrame, snapshot: str) -> DataFrame:
-    """(s, p, o) of a snapshot: elements, tags, way nodes, memberships, road segments and parts of routes."""
+def project(elements: DataFrame, snapshot: str, once: bool = False) -> DataFrame:
+    """(s, p, o) of a snapshot: elements, tags, way nodes, memberships, road segments and parts of routes.
+
+    ``once``: no (type, id) is repeated, so only parts of routes can be, and just these are made distinct.
+    """
     iri = lambda kind, i: F.concat(F.lit(f"<{DATA}"), kind, F.lit("/"), i.cast("string"), F.lit(">"))
     own = iri(F.col("type"), F.col("id"))
     prop = lambda n: F.lit(f"<{NAMESPACE}{n}>")
@@ -156,9 +159,10 @@ def project(elements: DataFrame, snapshot: str) -> DataFrame:
         row(nodes, F.col("row"), prop("position"), number(F.col("k"), "integer")), row(nodes, F.col("row"), prop("memberNode"), iri(F.lit("node"), F.col("ref"))),
         row(members, F.col("row"), rdf_type, prop("RelationMembership")), row(members, F.col("row"), prop("ownerRelation"), F.col("own")),
         row(members, F.col("row"), prop("position"), number(F.col("k"), "integer")), row(members, F.col("row"), prop("memberElement"), target),
-        row(members, F.col("row"), prop("role"), quoted(F.col("m.role"))), row(parts, F.col("target"), prop("partOfRoad"), F.col("own")),
+        row(members, F.col("row"), prop("role"), quoted(F.col("m.role"))),
     ]
-    return reduce(DataFrame.union, frames).distinct()
+    routes = row(parts, F.col("target"), prop("partOfRoad"), F.col("own"))
+    return reduce(DataFrame.union, [*frames, routes.distinct()]) if once else reduce(DataFrame.union, [*frames, routes]).distinct()
 
 
 PBF_AVAILABLE = False
