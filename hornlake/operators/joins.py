@@ -38,6 +38,15 @@ def stabbing_join(intervals: DataFrame, probes: DataFrame, start: str, end: str,
     return spread.join(dealt, "__bucket").filter((F.col(start) <= F.col(at)) & (F.col(at) < F.col(end))).drop("__bucket")
 
 
+def disjoint(intervals: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
+    """All that each key's [start, end) cover, as intervals that don't overlap, so that no probe is in two of a key."""
+    from pyspark.sql import Window
+
+    earlier = Window.partitionBy(*keys).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
+    some = intervals.filter(F.col(start) < F.col(end))
+    return some.withColumn(start, F.greatest(F.col(start), F.max(end).over(earlier))).filter(F.col(start) < F.col(end))
+
+
 def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], a: tuple[str, str], b: tuple[str, str], width: int) -> DataFrame:
     """Pairs of overlapping intervals with equal ``keys``, each once: it is made in the bucket where the later one starts."""
     def spread(df: DataFrame, s: str, e: str) -> DataFrame:

@@ -289,3 +289,33 @@ def test_point_candidates_hold_all_pairs(spark):
         places = ingest(frame, crs)
         found = {(r.id_a, r.id_b) for r in radius_pairs(places, places, 4.0).collect()}
         assert found == {(a, b) for a, x, y in spots for b, u, v in spots if math.hypot(x - u, y - v) * unit <= 4.0}
+
+
+def test_disjoint_intervals_meet_a_probe_once(spark):
+    from hornlake.operators.joins import disjoint
+
+    rng = random.Random(3)
+    rows = [(rng.randrange(6), s, s + rng.randrange(-1, 9)) for s in (rng.randrange(60) for _ in range(80))]
+    rows += rows[:10] + [(7, 0, 50), (7, 3, 5), (7, 40, 60), (7, 60, 61)]
+    cut = disjoint(spark.createDataFrame(rows, "k long, s long, e long"), ["k"], "s", "e")
+    found = [(r.k, r.at) for r in stabbing_join(cut, spark.range(-2, 70).toDF("at"), "s", "e", "at", 7).collect()]
+    assert sorted(found) == sorted({(k, at) for k, s, e in rows for at in range(s, e)})
+
+
+def test_stabbing_query_shuffles_no_pairs(spark, tmp_path):
+    from hornlake.queries import QUERIES
+
+    spark.sql("select id o_orderkey, id o_custkey, timestamp_ntz'1995-01-01' + make_interval(0, 0, 0, cast(id % 40 as int)) o_orderdate from range(50)").union(spark.sql("select 3L, 3L, timestamp_ntz'1995-01-09'")).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.sql("select timestamp_ntz'1995-01-20' + make_interval(0, 0, 0, cast(id % 9 as int)) l_shipdate from range(30)").write.parquet(f"{tmp_path}/lineitem.parquet")
+    df = QUERIES["stabbing_join"](spark, str(tmp_path))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan[: plan.index("Join")]
+    found = [tuple(r) for r in df.collect()]
+    assert len(found) == len(set(found)) and (3, "1995-01-28") in found
+
+
+def test_projection_of_elements_known_once(spark):
+    elements = spark.createDataFrame([("node", 1, 1, 1.0, 2.0, [], [], {"name": "a", "x": "b"}, "", ""), ("way", 2, 1, None, None, [1, 1], [], {"highway": "road"}, "", ""), ("relation", 3, 1, None, None, [], [("way", 2, ""), ("way", 2, "")], {"type": "route", "route": "road"}, "", "")], osm.ELEMENT)
+    every, quick = osm.project(elements, "s"), osm.project(elements, "s", once=True)
+    assert sorted(map(tuple, quick.collect())) == sorted(map(tuple, every.collect()))
+    assert "Aggregate" not in quick.filter("p like '%latitude>'")._jdf.queryExecution().optimizedPlan().toString()
