@@ -100,7 +100,7 @@ def ontology_max_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, customers = _read(spark, sf_dir, "orders"), _read(spark, sf_dir, "customer")
     has = orders.join(customers, F.col("c_custkey") == F.col("o_custkey")).selectExpr("'urn:x:has' p", "concat('<urn:c:', c_custkey, '>') s", "concat('<urn:o:', lpad(o_orderkey, 12, '0'), '>') o")
     facts = has.union(customers.filter("c_mktsegment = 'BUILDING'").selectExpr("'urn:x:Single'", "concat('<urn:c:', c_custkey, '>')", "cast(null as string)"))
-    found = _ontology(spark, facts.distinct(), "SubClassOf(ex:Single restriction(ex:has maxCardinality(1)))")
+    found = _ontology(spark, facts, "SubClassOf(ex:Single restriction(ex:has maxCardinality(1)))")
     return _merged(found, has.select(F.col("o").alias("s")))
 
 
