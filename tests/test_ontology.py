@@ -242,3 +242,47 @@ def test_rules_over_an_ontology(spark):
             typed(spark.createDataFrame([(bad,)], "t string"), {"t": "date"}).collect()
     with pytest.raises(DomainError):
         decode(None, "colour")
+
+
+def test_shared_keys_with_tests_of_the_key_make_stars(spark):
+    from hornlake.ontology.compiler import compile_graph
+    from hornlake.plans.closure import Reckoner, shared_key
+    from hornlake.ontology.syntax import parse_ontology
+
+    compiled = compile_graph(parse_ontology("Namespace(ex = <urn:x:>) Ontology(SubClassOf(ex:Single restriction(ex:has maxCardinality(1))))"))
+    rule = next(r for r in compiled.rules if r.head is not None)
+    assert shared_key(rule) is not None
+    facts = [("urn:x:has", f"<urn:c:{c}>", f"<urn:o:{c}{k}>") for c in "abc" for k in range(9)] + [("urn:x:Single", "<urn:c:a>", None), ("urn:x:Single", "<urn:c:c>", None)]
+    reckoner = Reckoner(spark, compiled, facts=None)
+    table = spark.createDataFrame(facts + facts, "p string, s string, o string")
+    edges = reckoner.round(table.distinct(), table.distinct(), {"urn:x:has", "urn:x:Single"}, full=True)
+    assert sorted((r.s, r.o) for r in edges.collect()) == [(f"<urn:o:{c}{k}>", f"<urn:o:{c}0>") for c in "ac" for k in range(1, 9)]
+    found = reckoner.closure(table)
+    assert {(r.node, r.rep) for r in found.aliases.collect()} == {(f"<urn:o:{c}{k}>", f"<urn:o:{c}0>") for c in "ac" for k in range(1, 9)}
+    assert found.facts.count() == found.facts.distinct().count() == 2 + 2 + 9
+
+
+def test_first_round_runs_a_rule_once(spark, monkeypatch):
+    from hornlake.ontology.compiler import compile_graph
+    from hornlake.plans.closure import Reckoner
+    from hornlake.ontology.syntax import parse_ontology
+
+    compiled = compile_graph(parse_ontology("Namespace(ex = <urn:x:>) Ontology(Class(ex:Pressed complete intersectionOf(ex:Customer restriction(ex:hasOrder someValuesFrom(ex:Urgent)))))"))
+    runs, derived = [], Reckoner._derived
+    monkeypatch.setattr(Reckoner, "_derived", lambda self, rule, views: runs.append(len(rule.body)) or derived(self, rule, views))
+    facts = [("urn:x:Customer", "<a>", None), ("urn:x:hasOrder", "<a>", "<o>"), ("urn:x:Urgent", "<o>", None), ("urn:x:Customer", "<b>", None)]
+    found = Reckoner(spark, compiled, facts=None).closure(spark.createDataFrame(facts, "p string, s string, o string")).facts
+    assert runs[0] == 3 and runs[1] != 3  # the three joined atoms once, though all three are new
+    assert [r.s for r in found.filter("p = 'urn:x:Pressed'").collect()] == ["<a>"]
+
+
+def test_triples_of_unmerged_closures_need_no_distinct(spark):
+    text = "Namespace(ex = <urn:x:>) Ontology(SubClassOf(ex:A ex:B) Individual(ex:i type(ex:A) value(ex:p ex:j)))"
+    triples = Reasoner.from_text(spark, text).to_triples()
+    plan = triples._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Join" not in plan
+    rows = [tuple(r) for r in triples.collect()]
+    assert len(rows) == len(set(rows)) and ("<urn:x:i>", "<urn:x:p>", "<urn:x:j>") in rows
+    merged = Reasoner.from_text(spark, text[:-1] + " SameIndividual(ex:i ex:k))").to_triples()
+    again = [tuple(r) for r in merged.collect()]
+    assert len(again) == len(set(again)) and {("<urn:x:i>", "<urn:x:p>", "<urn:x:j>"), ("<urn:x:k>", "<urn:x:p>", "<urn:x:j>")} <= set(again)
