@@ -207,3 +207,16 @@ def test_compared_pairs_are_not_made_distinct_afterwards(spark, op, holds):
     assert sorted(tuple(r) for r in found.collect()) == sorted({(c, s, 4) for c, n, a in left for s, b in right if n == 2 and holds(a, b)})
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join") < plan.index("Aggregate")  # each side is grouped below the join, nothing above it
+
+
+def test_products_and_quotients_are_computed_once_a_pair(spark):
+    from hornlake.functions import numeric
+
+    calls = []
+    once = numeric._once(lambda x, y: calls.append((x, y)) or numeric._quotient_of(x, y)).func
+    import pyarrow as pa
+
+    batch = [pa.array([Decimal(v) for v in vs], pa.decimal128(37, 18)) for vs in (["100", "1", "100"] * 50, ["10", "3", "10"] * 50)]
+    found = once(*batch).to_pylist()
+    assert len(calls) == 2 and len(found) == 150
+    assert found[0] == {"value": Decimal(10), "error": None} and found[2] == found[0] and found[1]["error"].startswith("INEXACT")
